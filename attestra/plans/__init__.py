@@ -5,3 +5,4 @@ from attestra.plans.registry import ORACLES, QUERIES
 __all__ = ["ORACLES", "QUERIES"]
 
 from attestra.plans import text_functions  # noqa: E402,F401
+from attestra.plans import source_queries  # noqa: E402,F401
