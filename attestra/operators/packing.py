@@ -15,6 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.session import ships_with_job
+
+ships_with_job(__name__)
+
 TILE = 1024
 
 

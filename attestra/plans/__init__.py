@@ -6,3 +6,5 @@ __all__ = ["ORACLES", "QUERIES"]
 
 from attestra.plans import text_functions  # noqa: E402,F401
 from attestra.plans import source_queries  # noqa: E402,F401
+from attestra.plans import table_queries  # noqa: E402,F401
+from attestra.plans import search_queries  # noqa: E402,F401

@@ -30,3 +30,12 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     return out.withColumn(name, (F.col("_i") - F.col("_first") + 1).cast("long")).drop(
         "_at", "_task", "_start", "_i", "_first"
     )
+
+
+def pinned(df: DataFrame, name: str, value) -> DataFrame:
+    """``withColumn`` whose value is computed once per row.
+
+    The optimiser merges projections by reference count and cannot see that a use inside a lambda
+    repeats; a one-element explode keeps the value where it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

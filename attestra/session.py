@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def build_session(app: str = "attestra", cores: str = "*", shuffle: int = 8) -> SparkSession:
     """Local session for tests and the benchmark; on a cluster the submitter provides one."""
     builder = (
@@ -28,7 +33,16 @@ def build_session(app: str = "attestra", cores: str = "*", shuffle: int = 8) ->
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. Text tables that arrive in fewer pieces than there are cores are spread out once;
+
+    tables of a size worth a cluster are split by the scan itself and are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    return df
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -44,3 +58,8 @@ def durable(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestra-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def ships_with_job(module: str) -> None:
+    """Python code of this module travels with the task, so executors need no installed copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

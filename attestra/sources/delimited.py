@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.text import strip
+from attestra.scale import pinned
 from attestra.sources.blocks import row_text
 
 DELIMITERS = [",", ";", "\t", "|"]  # fixed values, in order of preference
@@ -50,14 +51,14 @@ def read_delimited(files: DataFrame, key: str = "doc_id", text: str = "text", ti
 
     Every row is cut or padded to the width of the header.
     """
-    src = files.select(F.col(key).alias("doc_id"), sniff(F.col(text)).alias("sep"), F.col(text).alias("_t"))
+    src = pinned(files.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")), "sep", sniff(F.col("_t")))
     clean = F.replace(F.col("_t"), F.lit("\r\n"), F.lit("\n"))
     records = F.regexp_extract_all(clean, F.lit(RECORD), F.lit(0))
     rows = F.filter(
         F.transform(records, lambda rec: split_record(rec, F.col("sep"))),
         lambda cells: F.exists(cells, lambda v: strip(v) != ""),
     )
-    parsed = src.select("doc_id", rows.alias("rows"))
+    parsed = pinned(src, "rows", rows).select("doc_id", "rows")
     header = F.transform(
         F.get("rows", F.lit(0)),
         lambda h, i: F.when(strip(h) == "", F.concat(F.lit("col"), (i + 1).cast("string"))).otherwise(strip(h)),
