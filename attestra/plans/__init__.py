@@ -9,3 +9,4 @@ from attestra.plans import source_queries  # noqa: E402,F401
 from attestra.plans import table_queries  # noqa: E402,F401
 from attestra.plans import search_queries  # noqa: E402,F401
 from attestra.plans import ref_queries  # noqa: E402,F401
+from attestra.plans import result_queries  # noqa: E402,F401

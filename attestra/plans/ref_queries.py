@@ -7,7 +7,7 @@ from attestra.operators import refs as R
 from attestra.operators.chunks import make_chunks
 from attestra.plans.derived import LINES_SQL, part_cells, sectioned
 from attestra.plans.registry import register
-from attestra.session import load
+from attestra.session import durable, load
 from attestra.sources import blocks as B
 from attestra.sources import grid, html
 
@@ -99,7 +99,7 @@ def resolve_cells(spark, d):
     cells = part_cells(spark, d)
     blocks = grid.sheet_blocks(cells, grid.detect_header(cells)).filter("kind = 'row'")
     sheet_no = F.regexp_extract("sheet", r"(\d+)$", 1).cast("long")
-    blocks = blocks.withColumn("seq", sheet_no * grid.ROW_SPACE + F.col("r")).filter("r > 4")
+    blocks = durable(blocks.withColumn("seq", sheet_no * grid.ROW_SPACE + F.col("r")).filter("r > 4"))
     k = F.col("p_partkey")
     s = F.floor(k / 400)
     targets = load(spark, d, "part").select(

@@ -1,0 +1 @@
+"""Background refresh of a corpus as a stream."""
