@@ -185,10 +185,10 @@ def export_results(spark: SparkSession, folder: str, numbers: list[int], out: st
     for number in numbers:
         # a saved result has at most a thousand rows, so its types are read from them
         mine = rows.filter(F.col("result_id") == number).select("row_no", "row_json")
-        fields = mine.select(F.explode(F.from_json("row_json", "map<string,string>")).alias("k", "v")).groupBy("k").agg(
-            F.bool_and(F.col("v").isNull() | F.col("v").try_cast("double").isNotNull()).alias("numeric"), F.count("v").alias("n")
-        )
-        numeric = {r["k"] for r in fields.collect() if r["numeric"] and r["n"]}
+        fields = mine.select(F.explode(F.from_json("row_json", "map<string,variant>")).alias("k", "x"))
+        fields = fields.select("k", F.schema_of_variant("x").alias("kind")).filter("kind <> 'VOID'").groupBy("k")
+        kinds = fields.agg(F.bool_and(~F.col("kind").isin("STRING", "BOOLEAN")).alias("numeric")).collect()
+        numeric = {r["k"] for r in kinds if r["numeric"]}
         columns = registry.filter(F.col("result_id") == number).first()["columns"]
         values = F.from_json("row_json", "map<string,string>")
         wide = mine.select("row_no", values.alias("m")).orderBy("row_no").select(
