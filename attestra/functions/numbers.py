@@ -35,6 +35,8 @@ MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10,
     "nov": 11, "dec": 12,
 }
+DIGIT = r"(?U)\d"
+YEAR = r"(?U)\d{4}"  # every date has one
 SQL_NUMBER = r"(?U)(?<![\w.'])(\d+(?:\.\d+)?)(?![\w.'])"
 # -------------------------------------------------------------------------------------------------
 
@@ -82,20 +84,19 @@ def find_numbers(c: Column) -> Column:
     The text between figures comes from splitting on the same pattern, so the words before a figure
     are known without match positions.
     """
-    digits = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(2))
-    suffixes = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(3))
     whole = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))
     gaps = F.split(c, NUMBER)
     powers = _lookup(SUFFIXES)
 
     def parts(z: Column) -> Column:
-        raw = F.replace(z["d"], F.lit(","), F.lit(""))
+        raw = F.replace(F.regexp_extract(z["w"], NUMBER, 2), F.lit(","), F.lit(""))
+        suffix = F.regexp_extract(z["w"], NUMBER, 3)
         return F.struct(
             strip(z["w"]).alias("text"),
             raw.alias("raw"),
-            (F.length(raw) - F.coalesce(F.nullif(F.locate(".", raw), F.lit(0)), F.length(raw))).alias("decimals"),
-            F.try_element_at(powers, z["s"]).alias("power"),
-            (z["s"] == "%").alias("percent"),
+            F.when(raw.contains("."), F.length(F.substring_index(raw, ".", -1))).otherwise(0).alias("decimals"),
+            F.try_element_at(powers, suffix).alias("power"),
+            (suffix == "%").alias("percent"),
             z["g"].alias("before"),
         )
 
@@ -112,11 +113,23 @@ def find_numbers(c: Column) -> Column:
             p["before"],
         )
 
-    zipped = F.arrays_zip(digits.alias("d"), suffixes.alias("s"), whole.alias("w"), gaps.alias("g"))
     # the text after the last figure is the one gap without a figure
-    return F.when(c.rlike(r"(?U)\d"), F.transform(F.transform(F.filter(zipped, lambda z: z["d"].isNotNull()), parts), one)).otherwise(
-        F.array().cast(f"array<{FIGURE}>")
-    )
+    zipped = F.filter(F.arrays_zip(whole.alias("w"), gaps.alias("g")), lambda z: z["w"].isNotNull())
+    figures = F.transform(F.transform(zipped, parts), one)
+    return F.when(c.rlike(DIGIT), figures).otherwise(F.array().cast(f"array<{FIGURE}>"))
+
+
+def number_values(c: Column) -> Column:
+    """Only the values of ``find_numbers``, for evidence: one pass over the text."""
+    powers = _lookup(SUFFIXES)
+
+    def value(w: Column) -> Column:
+        raw = F.replace(F.regexp_extract(w, NUMBER, 2), F.lit(","), F.lit("")).try_cast("double")
+        power = F.try_element_at(powers, F.regexp_extract(w, NUMBER, 3))
+        return F.when(power.isNull(), raw).otherwise(raw * F.pow(F.lit(10.0), power))
+
+    values = F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)), value)
+    return F.when(c.rlike(DIGIT), values).otherwise(F.array().cast("array<double>"))
 
 
 def find_dates(c: Column) -> Column:
@@ -140,12 +153,13 @@ def find_dates(c: Column) -> Column:
     found = F.regexp_extract_all(c, F.lit(DATE), F.lit(0))
     real = F.filter(F.transform(found, parts), valid)
     none = F.lit(False)
-    return F.transform(
+    days = F.transform(
         real,
         lambda p: _figure(
             p["m"], p["y"] * 10000 + p["mon"] * 100 + p["d"], F.lit(0), none, F.lit(0), none, F.lit("")
         ),
     )
+    return F.when(c.rlike(YEAR), days).otherwise(F.array().cast(f"array<{FIGURE}>"))
 
 
 def word_numbers(c: Column) -> Column:
@@ -164,15 +178,16 @@ def count_words(c: Column) -> Column:
     pairs = F.flatten(F.zip_with(firsts, second, lambda a, b: F.array(a, b)))
     words = F.filter(pairs, lambda w: w.isNotNull() & ~w.rlike(r"(?U)^\d+$"))
     none = F.lit(False)
-    return F.transform(
+    counts = F.transform(
         words,
         lambda w: _figure(w, F.element_at(values, F.lower(w)), F.lit(0), none, F.lit(0), none, F.lit("")),
     )
+    return F.when(c.rlike(r"(?iU)\sof\s"), counts).otherwise(F.array().cast(f"array<{FIGURE}>"))
 
 
 def evidence_numbers(c: Column) -> Column:
     """Every value a source states: figures, spelled-out numbers and dates."""
-    nums = F.transform(find_numbers(c), lambda n: n["value"])
+    nums = number_values(c)
     days = F.transform(find_dates(c), lambda n: n["value"])
     return F.concat(nums, word_numbers(c), days)
 

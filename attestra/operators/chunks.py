@@ -32,14 +32,16 @@ def make_chunks(blocks: DataFrame, chunk_chars: int = CHUNK_CHARS, n_blocks: str
     ``blocks`` needs doc_id, doc_type, seq, anchor, kind, section, text and, for sheets and slides,
     sheet and slide. Slide decks give one chunk per slide, pdf pages one per block; elsewhere a chunk
     ends before a heading, a sheet, or the block that would make it too long, and a sheet summary
-    stands alone. ``n_blocks`` may name a column above every seq of the document; without it long
-    documents are found by an aggregate.
+    stands alone. ``n_blocks`` may name a column above every seq of the document (blocks of text bring
+    n_lines); without one long documents are found by an aggregate.
     """
     have = set(blocks.columns)
     full = blocks
     for name, typ in (("sheet", "string"), ("slide", "int"), ("doc_type", "string")):
         if name not in have:
             full = full.withColumn(name, F.lit(None).cast(typ))
+    if n_blocks is None and "n_lines" in have:
+        n_blocks = "n_lines"
     if n_blocks is None:
         top = full.groupBy("doc_id").agg((F.max("seq") + 1).alias("_n"))
         full = full.join(top, "doc_id")

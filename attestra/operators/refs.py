@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.anchors import LINES, parse_cells, parse_lines, parse_ref
 from attestra.functions.text import truncate_text
+from attestra.scale import first_within
 from attestra.session import durable
 
 BUCKET = 256
@@ -55,12 +56,13 @@ def _overlap(blocks: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
 
 def _exact(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_id, target, seq) by anchor: the anchor itself in its case, or its children in any case."""
-    dots = F.filter(
-        F.transform(F.split("anchor", ""), lambda ch, i: F.when(ch == ".", i)), lambda i: i.isNotNull() & (i > 0)
-    )
+    n_dots = F.length("anchor") - F.length(F.replace(F.col("anchor"), F.lit("."), F.lit("")))
     parents = F.when(
-        F.col("anchor").contains("."),
-        F.transform(dots, lambda i: F.concat(F.lit("."), F.lower(F.substring(F.col("anchor"), F.lit(1), i)))),
+        n_dots > 0,
+        F.transform(
+            F.sequence(F.lit(1), n_dots),
+            lambda i: F.concat(F.lit("."), F.lower(F.call_function("substring_index", F.col("anchor"), F.lit("."), i))),
+        ),
     ).otherwise(F.array().cast("array<string>"))
     keyed = blocks.select("doc_id", "seq", F.explode(F.concat(F.array(F.concat(F.lit("="), "anchor")), parents)).alias("k"))
     asked = targets.select(
@@ -156,11 +158,10 @@ def unresolved(refs: DataFrame, docs: DataFrame, blocks: DataFrame) -> DataFrame
 def within_budget(lines: DataFrame, by: list[str], order: list[str], text: str, n: int) -> DataFrame:
     """Leading lines whose running length, one line break each, stays within ``n`` characters.
 
-    Every line costs at least one, so no more than ``n`` lines of a key are ever looked at; Spark cuts
-    to those before the shuffle.
+    Every line costs at least one, so no more than ``n`` lines of a key are ever gathered.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    first = lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    first = first_within(lines, by, order, n, "_rn")
     used = first.withColumn("used", F.sum(F.length(text) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return used.filter(F.col("used") <= n).drop("_rn")
 
@@ -179,7 +180,7 @@ def read_refs(refs: DataFrame, docs: DataFrame, blocks: DataFrame, context: int
         at = between(blocks, spans).select("ref", "doc_id", "seq")
     seen = at.join(blocks, ["doc_id", "seq"])
     w = Window.partitionBy("ref").orderBy("seq")
-    top = seen.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_chars)
+    top = first_within(seen, ["ref"], ["seq"], max_chars, "_rn")
     before = F.lag("section").over(w)
     title = (F.col("section") != "") & ~F.col("section").eqNullSafe(before) & (F.col("kind") != "heading")
     level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6)) if "level" in blocks.columns else F.lit(1)

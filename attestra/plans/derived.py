@@ -42,7 +42,7 @@ NAMES = ["Part key", "Name", "Brand", "Size", "Retail price", "Note"]
 
 
 def part_cells(spark, d) -> DataFrame:
-    p = load(spark, d, "part")
+    p = load(spark, d, "part", spread=True)
     k = F.col("p_partkey")
     sheet_no = F.floor(k / 400)
 

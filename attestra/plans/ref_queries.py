@@ -7,6 +7,7 @@ from attestra.operators import refs as R
 from attestra.operators.chunks import make_chunks
 from attestra.plans.derived import LINES_SQL, part_cells, sectioned
 from attestra.plans.registry import register
+from attestra.plans.source_queries import UNESC, _block_sql
 from attestra.session import durable, load
 from attestra.sources import blocks as B
 from attestra.sources import grid, html
@@ -199,7 +200,19 @@ def char_budget(spark, d):
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("used").alias("used"))
 
 
-@register("outline")
+@register(
+    "outline",
+    f"""
+    with b as (select page_id as doc_id, unnest(string_split({_block_sql()}, chr(1))) as part,
+        generate_subscripts(string_split({_block_sql()}, chr(1)), 1) as i from pages),
+    t as (select doc_id, i, regexp_extract(part, '^(h[1-6]|li|tr|pp):', 1) as tag,
+        trim(regexp_replace({UNESC.format("regexp_replace(part, '^(?:h[1-6]|li|tr|pp):', '')")}, '\\s+', ' ', 'g')) as body from b),
+    k as (select * from t where body <> ''),
+    h as (select *, last_value(case when tag like 'h%' then i end ignore nulls) over (partition by doc_id order by i rows unbounded preceding) as hd from k)
+    select doc_id, (hd - 1)::int as seq, repeat('  ', (max(case when i = hd then substr(tag, 2, 1)::int end) - 1)::int) || '[p' || hd || '] ' || max(case when i = hd then body end)
+      || '  (' || (count(*) - 1) || ' blocks)' as item from h where hd is not null group by doc_id, hd
+    """,
+)
 def outline(spark, d):
     """Headings of pages with the blocks under them."""
     blocks = html.html_sections(html.html_blocks(load(spark, d, "pages")))

@@ -1,6 +1,6 @@
 """SQL shapes, saved results, edits, corpus refresh and operations over the given tables."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from attestra.operators import ops as O
 from attestra.operators import results as R
 from attestra.plans.derived import LINES_SQL, PART_CELLS_SQL, SECTIONED_SQL, part_cells, sectioned
 from attestra.plans.registry import register
-from attestra.session import load
+from attestra.session import load, scratch_folder
 from attestra.sources import blocks as B
 
 
@@ -154,8 +154,7 @@ def row_cap(spark, d):
 @register("save_result")
 def save_result(spark, d):
     """An aggregate saved with its query and sources, and read back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="results-", dir=folder if folder and folder.startswith("/") else None)
+    folder = f"{scratch_folder(spark)}/results-{uuid.uuid4().hex}"
     df = R.run_sql(spark, AGG, tables(spark, d, "lineitem"))
     number = R.save_result(spark, df, ["l_returnflag", "l_linestatus"], AGG, {"lineitem": "data/lineitem.parquet"}, folder)
     head, rows = R.read_result(spark, folder, number)

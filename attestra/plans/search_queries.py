@@ -4,7 +4,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from attestra.functions.text import fold, strip
 from attestra.operators import chunks as C
 from attestra.operators import search as S
 from attestra.operators import vectors as V
@@ -167,9 +166,7 @@ def diversify(spark, d):
 def search_documents(spark, d):
     """Flagship: lines as blocks, blocks packed into chunks, stemmed ranking, fusion and diversification by source."""
     docs = load(spark, d, "documents")
-    lines = docs.select(F.col("doc_id"), F.size(F.split("text", "\n")).alias("n"))
-    blocks = B.line_blocks(docs).join(lines, "doc_id")
-    chunks = C.make_chunks(blocks, n_blocks="n")
+    chunks = C.make_chunks(B.line_blocks(docs))
     heads = docs.select("doc_id", "source", F.split("text", "\n", 2)[0].alias("title"))
     named = chunks.join(heads, "doc_id").select(
         F.concat(F.col("doc_id").cast("string"), F.lit("#"), "anchor").alias("chunk_id"),
@@ -179,13 +176,6 @@ def search_documents(spark, d):
     return hits.select("search_id", "place", "chunk_id", "doc_id", "score", F.array_join("matched", ",").alias("matched"))
 
 
-def _line_chunks(spark, d, size=1800):
-    docs = load(spark, d, "documents")
-    lines = docs.select("doc_id", F.size(F.split("text", "\n")).alias("n"))
-    blocks = B.line_blocks(docs)
-    return blocks, C.make_chunks(blocks.join(lines, "doc_id"), size, n_blocks="n")
-
-
 @register(
     "pin_blocks",
     f"""

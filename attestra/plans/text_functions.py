@@ -34,7 +34,7 @@ def slugify(spark, d):
 @register("sql_ident", f"select p_partkey, {ident_sql('p_size || p_name')} as ident, "
           f"{ident_sql('p_brand')} as brand_ident from part")
 def sql_ident(spark, d):
-    part = load(spark, d, "part")
+    part = load(spark, d, "part", spread=True)
     sized = F.concat(F.col("p_size").cast("string"), "p_name")
     return part.select("p_partkey", X.sql_ident(sized).alias("ident"), X.sql_ident(F.col("p_brand")).alias("brand_ident"))
 
@@ -114,7 +114,7 @@ def content_hash(spark, d):
     """,
 )
 def format_value(spark, d):
-    items = load(spark, d, "lineitem")
+    items = load(spark, d, "lineitem", spread=True)
     shown = items.select(
         N.format_value(F.col("l_extendedprice"), "double").alias("shown_price"),
         N.format_value(F.col("l_discount"), "double", F.lit("0%")).alias("shown_discount"),
@@ -135,7 +135,7 @@ def format_value(spark, d):
     """,
 )
 def display_number(spark, d):
-    part = load(spark, d, "part")
+    part = load(spark, d, "part", spread=True)
     share = F.col("p_size") / F.col("p_retailprice")
     return part.select(
         "p_partkey", N.display_number(F.col("p_retailprice")).alias("price"), N.display_number(share).alias("share")
@@ -157,7 +157,7 @@ def _grouped(c):
 )
 def find_numbers(spark, d):
     """Order lines rendered as prose; codes glued to words must not count, the k suffix marks a rounded figure."""
-    orders = load(spark, d, "orders")
+    orders = load(spark, d, "orders", spread=True)
     prose = F.concat(
         F.lit("Invoice INV-"), F.col("o_orderkey").cast("string"), F.lit(" totals $"), _grouped(F.col("o_totalprice")),
         F.lit(" for client "), F.format_number("o_custkey", 0), F.lit("; around "),
@@ -185,7 +185,7 @@ def find_numbers(spark, d):
 )
 def find_dates(spark, d):
     """Each order date in three spellings next to an impossible date and a code that only looks like one."""
-    orders = load(spark, d, "orders")
+    orders = load(spark, d, "orders", spread=True)
     day = F.col("o_orderdate")
     prose = F.concat(
         F.lit("Placed "), F.date_format(day, "yyyy-MM-dd"), F.lit(", that is "), F.date_format(day, "d MMMM yyyy"),
@@ -206,7 +206,7 @@ _SMALL = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight"
     "case when l_linenumber = 1 then 1 else 2 end::bigint as n_counts from lineitem",
 )
 def word_numbers(spark, d):
-    items = load(spark, d, "lineitem")
+    items = load(spark, d, "lineitem", spread=True)
     words = F.array(*[F.lit(w) for w in _SMALL])
     name = lambda n: F.element_at(words, (n + 1).cast("int"))
     prose = F.concat(
@@ -236,7 +236,7 @@ def evidence_numbers(spark, d):
 )
 def figure_match(spark, d):
     """The price as written, rounded to a whole, rounded to hundreds with and without 'about'."""
-    part = load(spark, d, "part")
+    part = load(spark, d, "part", spread=True)
     price = F.col("p_retailprice")
     up = F.floor(price / 100) * 100 + 100
     near = F.bround(price / 100, 0) * 100
@@ -264,7 +264,7 @@ def figure_match(spark, d):
     """,
 )
 def col_letter(spark, d):
-    items = load(spark, d, "lineitem").withColumn("k", F.col("l_partkey") % 16384 + 1)
+    items = load(spark, d, "lineitem", spread=True).withColumn("k", F.col("l_partkey") % 16384 + 1)
     lettered = items.select("l_orderkey", "l_linenumber", A.col_letter(F.col("k")).alias("letters"))
     return lettered.withColumn("back", A.col_index(F.col("letters")))
 
@@ -281,7 +281,7 @@ def col_letter(spark, d):
     """,
 )
 def merge_anchor(spark, d):
-    n = load(spark, d, "lineitem").select(
+    n = load(spark, d, "lineitem", spread=True).select(
         "l_orderkey",
         "l_linenumber",
         (F.col("l_orderkey") % 5).alias("form"),
@@ -317,7 +317,7 @@ def merge_anchor(spark, d):
     """,
 )
 def human_location(spark, d):
-    n = load(spark, d, "lineitem").withColumn("p", F.col("l_partkey")).withColumn("k", F.col("l_orderkey") % 8)
+    n = load(spark, d, "lineitem", spread=True).withColumn("p", F.col("l_partkey")).withColumn("k", F.col("l_orderkey") % 8)
     s = lambda c: c.cast("string")
     p = F.col("p")
     forms = [

@@ -38,21 +38,21 @@ def part_blocks(spark, d):
         F.lit("key: "), _s(_k()), F.lit(" | name: "), "p_name", F.lit(" | brand: "), "p_brand", F.lit(" | size: "), _s(F.col("p_size")),
         F.lit(" | price: "), _s(F.col("p_retailprice")),
     )
-    return load(spark, d, "part").select(
+    return load(spark, d, "part", spread=True).select(
         _doc().alias("doc_id"), (_k() % 100).alias("seq"), F.concat(F.lit("R"), _s(_k() % 100 + 1)).alias("anchor"), F.lit("row").alias("kind"),
         F.lit("").alias("section"), text.alias("text"),
     )
 
 
 def part_docs(spark, d):
-    docs = load(spark, d, "part").select(_doc().alias("doc_id")).distinct()
+    docs = load(spark, d, "part", spread=True).select(_doc().alias("doc_id")).distinct()
     return docs.select("doc_id", F.concat(F.lit("lists/2024-03-05 "), "doc_id", F.lit(".csv")).alias("path"), F.lit("Part list").alias("title"), F.lit("csv").alias("doc_type"))
 
 
 def brand_results(spark, d):
     """Average price per brand as saved results numbered by the brand's number."""
     number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
-    per = load(spark, d, "part").groupBy(number.alias("result_id"), "p_brand").agg(F.avg("p_retailprice").alias("avg_price"))
+    per = load(spark, d, "part", spread=True).groupBy(number.alias("result_id"), "p_brand").agg(F.avg("p_retailprice").alias("avg_price"))
     rows = per.select("result_id", F.lit(1).alias("row_no"), F.to_json(F.struct("p_brand", "avg_price")).alias("row_json"))
     heads = per.select(
         "result_id",
@@ -64,7 +64,7 @@ def brand_results(spark, d):
 
 
 def part_drafts(spark, d):
-    part = load(spark, d, "part")
+    part = load(spark, d, "part", spread=True)
     avg = part.groupBy("p_brand").agg(F.avg("p_retailprice").alias("avg_price"))
     p = part.join(avg, "p_brand")
     cc = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
@@ -185,12 +185,24 @@ def borrow_citations(spark, d):
     return rows.select("order_id", "n", F.regexp_extract(ref, r"^part-(\d+)#", 1).cast("bigint").alias("part"))
 
 
-@register("evidence")
+@register(
+    "evidence",
+    """
+    with p as (select p_partkey as k, p_partkey // 100 as g, regexp_extract(p_brand, '(\\d+)$', 1) as b from part)
+    select 'parts-' || g || '#R' || (k % 100 + 1) as ref, 1::bigint as n_blocks, true as dated, 'none' as error from p
+    union all select 'parts-' || g, count(*), true, 'none' from p group by g
+    union all select distinct 'calc:' || b, 0, false, 'none' from p
+    union all select 'parts-' || g || '#R101', 0, true, 'Anchor ''R101'' not found in parts-' || g from p group by g
+    """,
+)
 def evidence(spark, d):
     _, docs, blocks, heads, rows = _inputs(spark, d)
-    refs = load(spark, d, "part").select(F.explode(F.array(_ref(), _doc(), F.concat(F.lit("calc:"), F.regexp_extract("p_brand", r"(\d+)$", 1)))).alias("ref"))
+    calc = F.concat(F.lit("calc:"), F.regexp_extract("p_brand", r"(\d+)$", 1))
+    asked = F.array(_ref(), _doc(), calc, F.concat(_doc(), F.lit("#R101")))
+    refs = load(spark, d, "part", spread=True).select(F.explode(asked).alias("ref"))
     ev = V.evidence(refs, docs, blocks, heads, rows)
-    return ev.select("ref", "n_blocks", F.size("numbers").alias("n_numbers"), "error")
+    dated = F.array_contains("numbers", F.lit(20240305.0))
+    return ev.select("ref", "n_blocks", dated.alias("dated"), F.coalesce("error", F.lit("none")).alias("error"))
 
 
 @register(
@@ -268,7 +280,18 @@ def claim_pairs(spark, d):
     return pairs.groupBy("draft_id").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("evidence") == "(unresolved)").alias("n_unresolved"))
 
 
-@register("number_sources")
+@register(
+    "number_sources",
+    V_SQL
+    + """f as (select draft_id, k, v, 'parts-' || k // 100 as doc, regexp_extract(p_brand, '(\\d+)$', 1) as b, p_brand from p where v not in (2, 6, 8)),
+    r as (select draft_id, min(k) as k, case when v = 4 then 'nope-1#R1' when v = 5 then doc || '#R9999' when v = 11 then doc when v = 9 then 'calc:' || b
+          else doc || '#R' || (k % 100 + 1) end as ref, any_value(doc) as doc, any_value(p_brand) as p_brand from f group by 1, 3)
+    select draft_id, (row_number() over (partition by draft_id order by k))::int as number, ref,
+      case when ref like 'calc:%' then 'Calculation ' || ref || ' over data/part.parquet. SQL: select p_brand, avg(p_retailprice) from part where p_brand = ''' || p_brand
+          || ''' group by 1' when ref like 'nope%' then ref || ' (unresolved)'
+        else 'Part list — lists/2024-03-05 ' || doc || '.csv' || case when contains(ref, '#') then ', ' || split_part(ref, '#', 2) else '' end end as entry from r
+    """,
+)
 def number_sources(spark, d):
     _, docs, _, heads, _ = _inputs(spark, d)
     cites = parse_citations(spark, d).filter("ok").select("draft_id", "pos", "ref")

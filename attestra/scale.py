@@ -39,3 +39,21 @@ def pinned(df: DataFrame, name: str, value) -> DataFrame:
     repeats; a one-element explode keeps the value where it is.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+PUSHED_LIMIT = 1000  # Spark cuts ranked groups before the shuffle up to this limit (window.group.limit.threshold)
+SALTS = 64
+
+
+def first_within(df: DataFrame, by: list[str], order: list, n: int, name: str = "rn") -> DataFrame:
+    """The first ``n`` rows per key with their rank, for keys of any size.
+
+    Small limits are cut by Spark on every task before the shuffle. For larger ones the rows of a key are
+    first cut in ``SALTS`` parts, so that the last step sees at most ``SALTS * n`` of them.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    if n > PUSHED_LIMIT:
+        part = Window.partitionBy(*by, "_salt").orderBy(*order)
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*by, *order), F.lit(SALTS)))
+        df = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
+    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)

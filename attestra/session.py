@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ def build_session(app: str = "attestra", cores: str = "*", shuffle: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "12g"))
@@ -32,32 +34,39 @@ def build_session(app: str = "attestra", cores: str = "*", shuffle: int = 8) ->
     return spark
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Text tables that arrive in fewer pieces than there are cores are spread out once;
-
-    tables of a size worth a cluster are split by the scan itself and are left as they are.
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """A table of the folder. Rows that take much work each (``spread``; by default the text tables) and arrive
+    in fewer pieces than there are cores are dealt out once; tables of a size worth a cluster are split by
+    the scan itself and are left as they are.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES:
+    if name in TEXT_TABLES if spread is None else spread:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
             return df.repartition(cores)
     return df
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for such files; one of our own only where none is named (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="attestra-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    Used where a job reads one intermediate result several times and each read must see the same
-    rows (ranks, tiles), so that a lost executor never recomputes a different version of it. The
-    folder the cluster names is used; a folder of our own is set only where there is none.
+    Used where a job reads one intermediate result several times and each read must see the same rows
+    (ranks, tiles, matches): a lost executor never recomputes a different version of it, the work before
+    it is not repeated, and its size is known when the joins after it are planned.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestra-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(spark)}/attestra-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ships_with_job(module: str) -> None:

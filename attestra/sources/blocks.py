@@ -64,9 +64,11 @@ def front_matter(text: Column) -> Column:
 
 def line_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every non-blank line is one block ``L{n}``: a narrow job, nothing is shuffled."""
-    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("seq", "line"))
+    src = docs.select(F.col(key).alias("doc_id"), F.split(text, "\n").alias("ls"))
+    lines = src.select("doc_id", F.size("ls").alias("n_lines"), F.posexplode("ls").alias("seq", "line"))
     return lines.select(
         "doc_id",
+        "n_lines",
         "seq",
         F.concat(F.lit("L"), (F.col("seq") + 1).cast("string")).alias("anchor"),
         F.lit("line").alias("kind"),
@@ -78,8 +80,9 @@ def line_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def _lines(docs: DataFrame, key: str, text: str, markdown: bool) -> DataFrame:
     skip = front_matter(F.col(text))["skip"] if markdown else F.lit(0)
     src = docs.select(F.col(key).alias("doc_id"), skip.alias("skip"), F.split(text, "\n").alias("lines"))
-    rows = src.select("doc_id", "skip", F.posexplode("lines").alias("i", "line")).filter(F.col("i") >= F.col("skip"))
-    return rows.select("doc_id", (F.col("i") + 1).alias("ln"), "line", strip(F.col("line")).alias("bare"))
+    size = F.size("lines").alias("n_lines")
+    rows = src.select("doc_id", "skip", size, F.posexplode("lines").alias("i", "line")).filter(F.col("i") >= F.col("skip"))
+    return rows.select("doc_id", "n_lines", (F.col("i") + 1).alias("ln"), "line", strip(F.col("line")).alias("bare"))
 
 
 def with_sections(df: DataFrame, key: str, pos: str, level: str, title: str) -> DataFrame:
@@ -108,8 +111,8 @@ def segment_text(docs: DataFrame, key: str = "doc_id", text: str = "text", markd
     """Headings, paragraphs, lists and pipe tables as blocks with line anchors.
 
     Blank lines end a block unless inside a code fence; headings count outside fences only. Without
-    ``markdown`` headings are plain paragraphs. Columns: doc_id, seq, anchor, kind, section, text,
-    level, header, rows (the last two for pipe tables).
+    ``markdown`` headings are plain paragraphs. Columns: doc_id, n_lines (of the document), seq, anchor,
+    kind, section, text, level, header, rows (the last two for pipe tables).
     """
     w = Window.partitionBy("doc_id").orderBy("ln")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -129,7 +132,7 @@ def segment_text(docs: DataFrame, key: str = "doc_id", text: str = "text", markd
     lines = with_sections(lines, "doc_id", "ln", "level", "title")
     lines = lines.filter(F.col("body") | F.col("level").isNotNull())
     parts = F.array_sort(F.collect_list(F.struct("ln", "line")))
-    blocks = lines.groupBy("doc_id", "block").agg(
+    blocks = lines.groupBy("doc_id", "n_lines", "block").agg(
         F.min("ln").alias("first"),
         F.max("ln").alias("last"),
         F.max("level").alias("level"),
@@ -164,6 +167,7 @@ def segment_text(docs: DataFrame, key: str = "doc_id", text: str = "text", markd
     span = F.concat(F.lit("L"), F.col("first").cast("string"))
     return blocks.select(
         "doc_id",
+        "n_lines",
         (F.col("block") - 1).cast("int").alias("seq"),
         F.when(F.col("first") == F.col("last"), span)
         .otherwise(F.concat(span, F.lit("-L"), F.col("last").cast("string")))
