@@ -5,7 +5,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from attestra.functions.text import slugify
 from attestra.operators import chunks as C
 from attestra.operators import packing
 from attestra.scale import rank_within
@@ -107,4 +106,3 @@ def test_doc_ids(spark):
     got = {r.path: r.doc_id for r in C.assign_doc_ids(new, held).collect()}
     assert len(set(got.values()) | set(existing)) == len(paths) + len(existing)
     assert got == want
-    assert slugify is not None

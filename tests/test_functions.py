@@ -17,10 +17,10 @@ def one(spark, value, *fns):
 @pytest.mark.parametrize(
     "text, values",
     [
-        ("AB-204 broke after 12,500 runs in P3", [12500.0]),
-        ("xPP-50 is $4.45, 45% of all", [4.45, 45.0]),
-        ("148k runs, 1.2M units, 3bn", [148000.0, 1200000.0, 3e9]),
-        ("2026-02-09", [2026.0]),
+        ("QX-31 broke after 12,500 runs in Z3", [12500.0]),
+        ("qRR-70 is $8.15, 62% of all", [8.15, 62.0]),
+        ("263k runs, 2.4M lots, 3bn", [263000.0, 2400000.0, 3e9]),
+        ("2025-04-03", [2025.0]),
         ("é5 and 5 m and 7 mm and v1.2.3", [5000000.0, 7.0]),
         ("1,234.50 then 12,34", [1234.5, 12.0, 34.0]),
         ("", []),
@@ -32,8 +32,8 @@ def test_find_numbers(spark, text, values):
 
 
 def test_figure_fields(spark):
-    a, b, c = one(spark, "about $150,000 or 11.60 or 148.5k", N.find_numbers)
-    assert (a.text, a.decimals, a.trailing_zeros, a.approx) == ("$150,000", 0, 4, True)
+    a, b, c = one(spark, "about $240,000 or 11.60 or 148.5k", N.find_numbers)
+    assert (a.text, a.decimals, a.trailing_zeros, a.approx) == ("$240,000", 0, 4, True)
     assert (b.decimals, b.trailing_zeros, b.approx) == (2, 0, False)
     assert (c.value, c.decimals, c.trailing_zeros, c.approx) == (148500.0, 0, 2, True)
 
@@ -41,15 +41,15 @@ def test_figure_fields(spark):
 @pytest.mark.parametrize(
     "claim, evidence, expected",
     [
-        ("148,250", [148250.0], True),
-        ("12", [11.6], True),
-        ("12.5", [11.6], False),
-        ("110,000", [107833.33], False),
-        ("about 110,000", [107833.33], True),
-        ("108k", [107833.33], True),
-        ("46.81%", [0.4681], True),
-        ("46.81%", [46.81], True),
-        ("46.81%", [0.4781], False),
+        ("52,417", [52417.0], True),
+        ("19", [18.7], True),
+        ("19.5", [18.7], False),
+        ("230,000", [227911.4], False),
+        ("about 230,000", [227911.4], True),
+        ("228k", [227911.4], True),
+        ("71.35%", [0.7135], True),
+        ("71.35%", [71.35], True),
+        ("71.35%", [0.7235], False),
         ("1.01", [1.005], True),
         ("0.3", [0.25], True),
         ("5", [], False),
@@ -69,20 +69,20 @@ def test_half_up_equals_decimal(spark):
 
 
 def test_dates_words_counts(spark):
-    text = "On 9 February 2026 (2026-02-09, Feb. 9th, 2026) not 2026-02-30 nor 31 April 2020"
-    assert [d.value for d in one(spark, text, N.find_dates)] == [20260209.0] * 3
-    assert one(spark, "Seven tests, twenty-five and Nine", N.word_numbers) == [7.0, 5.0, 9.0]
+    text = "On 3 April 2025 (2025-04-03, Apr. 3rd, 2025) not 2025-02-30 nor 31 June 2020"
+    assert [d.value for d in one(spark, text, N.find_dates)] == [20250403.0] * 3
+    assert one(spark, "Seven runs, twenty-five and Nine", N.word_numbers) == [7.0, 5.0, 9.0]
     words = [w.text for w in one(spark, "six of the eight; one of two; 5 out of twelve; ten of 11", N.count_words)]
     assert words == ["six", "eight", "two", "twelve", "ten"]
-    assert one(spark, "where x >= 120000 and y < 1.5 and z = 'a7'", N.sql_numbers) == [120000.0, 1.5]
+    assert one(spark, "where x >= 80000 and y < 1.5 and z = 'a7'", N.sql_numbers) == [80000.0, 1.5]
 
 
 def test_text(spark):
-    assert one(spark, "Báo cáo thử nghiệm ghế Đà Nẵng", X.slugify) == "bao-cao-thu-nghiem-ghe-da-nang"
+    assert one(spark, "Kế hoạch mở rộng xưởng Đồng Nai", X.slugify) == "ke-hoach-mo-rong-xuong-dong-nai"
     assert one(spark, "½ ﬁne™ ***", X.slugify) == "12-finetm"
     assert one(spark, "!!!", X.slugify) == "x"
     assert one(spark, "2 cols", X.sql_ident) == "c_2_cols"
-    assert one(spark, "GHẾ é́", X.fold) == "ghe e"
+    assert one(spark, "XƯỞNG é́", X.fold) == "xuong e"
     assert one(spark, "“A — b”  c’s", X.norm_quote) == "\"a - b\" c's"
     t = one(spark, "aaaa\nbbbb\ncccccccc", lambda c: X.truncate_text(c, 12))
     assert (t.text, t.cut) == ("aaaa\nbbbb", True)
@@ -98,11 +98,11 @@ def test_decode(spark):
 
 
 def test_values(spark):
-    df = spark.createDataFrame([(0.1, 0.45), (148250.0, 1.0), (1e-7, 0.123)], "x double, y double")
+    df = spark.createDataFrame([(0.1, 0.45), (93640.0, 1.0), (1e-7, 0.123)], "x double, y double")
     got = df.select(
         N.format_value(F.col("x"), "double"), N.format_value(F.col("y"), "double", F.lit("0%")), N.display_number(F.col("x"))
     ).collect()
-    assert [tuple(r) for r in got] == [("0.1", "45%", "0.1"), ("148250", "100%", "148250"), ("0.0000001", "12.3%", "1e-07")]
+    assert [tuple(r) for r in got] == [("0.1", "45%", "0.1"), ("93640", "100%", "93640"), ("0.0000001", "12.3%", "1e-07")]
 
 
 def test_globs(spark):
@@ -118,9 +118,9 @@ def test_anchors(spark):
     assert (cells.sheet, cells.lo, cells.hi) == ("My 'x' sheet", 5, 9)
     assert one(spark, "L10-R14", A.parse_lines) is None
     assert one(spark, "My sheet", A.sheet_ref) == "'My sheet'"
-    p = one(spark, "@kick-off#t1.r2", A.parse_ref)
-    assert (p.doc, p.anchor, p.ok) == ("kick-off", "t1.r2", True)
-    assert one(spark, "Kick off", A.parse_ref).ok is False
+    p = one(spark, "@launch#t1.r2", A.parse_ref)
+    assert (p.doc, p.anchor, p.ok) == ("launch", "t1.r2", True)
+    assert one(spark, "Launch day", A.parse_ref).ok is False
 
 
 @pytest.mark.parametrize(

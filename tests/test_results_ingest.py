@@ -79,7 +79,7 @@ def test_refresh(spark):
 
 
 def test_routes(spark):
-    texts = ["make a deck of results", "please write-up the summary", "which chair is best?", "/what is this one", "hm what", "nothing to match here"]
+    texts = ["make a deck of results", "please write-up the summary", "which frame is best?", "/what is this one", "hm what", "nothing to match here"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(O.route(F.col("t"))).collect()] == ["deck", "report", "ask", None, None, None]
 

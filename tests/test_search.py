@@ -8,10 +8,10 @@ from attestra.operators import vectors as V
 from tests import spec
 
 CHUNKS = [
-    (1, "a", "Chair tests", "fatigue", "The shells cracked at 38,500 cycles in unit KS-204"),
-    (2, "a", "Chair tests", "results", "Testing the shell: tested twice. KS 204 and 204 KS"),
-    (3, "b", "Market", "chairs", "Ghế văn phòng, online share 62%"),
-    (4, "c", "Notes", "", "cracks and crack growth; shells"),
+    (1, "a", "Frame tests", "fatigue", "The frames cracked after long use, code QX-204"),
+    (2, "a", "Frame tests", "results", "Testing the frame: tested twice. QX 204 and 204 QX"),
+    (3, "b", "Market", "seats", "Xưởng gỗ, online orders grow"),
+    (4, "c", "Notes", "", "cracks and crack growth; frames"),
 ]
 SCHEMA = "chunk_id long, doc_id string, title string, section string, text string"
 
@@ -21,8 +21,8 @@ def queries(spark, *qs):
 
 
 def test_query_terms(spark):
-    rows = S.parse_queries(queries(spark, 'What is the "shell fatigue" of KS-204\'s, (test)')).orderBy("term_no").collect()
-    assert [r.tokens for r in rows] == [["shell", "fatigue"], ["ks", "204", "s"], ["test"]]
+    rows = S.parse_queries(queries(spark, 'What is the "frame fatigue" of QX-204\'s, (test)')).orderBy("term_no").collect()
+    assert [r.tokens for r in rows] == [["frame", "fatigue"], ["qx", "204", "s"], ["test"]]
 
 
 def test_stems_phrases_and_folding(spark):
@@ -32,10 +32,10 @@ def test_stems_phrases_and_folding(spark):
         return {r.chunk_id: r for r in S.bm25(chunks, queries(spark, q)).collect()}
 
     assert set(hits("testing")) == {1, 2}
-    assert set(hits("shell")) == {1, 2, 4}
-    assert set(hits("ghe")) == {3}
-    assert set(hits("KS-204")) == {1, 2}
-    both = hits("cracked shell")
+    assert set(hits("frame")) == {1, 2, 4}
+    assert set(hits("xuong")) == {3}
+    assert set(hits("QX-204")) == {1, 2}
+    both = hits("cracked frame")
     assert {k for k, r in both.items() if r.n_hit == r.n_terms} == {1, 4}
 
 
@@ -56,10 +56,10 @@ def S_tokens(text):
 
 def test_search_end_to_end(spark):
     chunks = spark.createDataFrame(CHUNKS, SCHEMA)
-    hits = S.search(chunks, queries(spark, "cracked shell", "fatigue"), k=3).orderBy("place").collect()
+    hits = S.search(chunks, queries(spark, "cracked frame", "fatigue"), k=3).orderBy("place").collect()
     assert hits[0].chunk_id == 1 and hits[0].matched == ["q000000", "q000001"]
     only_b = spark.createDataFrame([("b",)], "doc_id string")
-    assert [r.doc_id for r in S.search(chunks, queries(spark, "chair share"), 3, allowed=only_b).collect()] == ["b"]
+    assert [r.doc_id for r in S.search(chunks, queries(spark, "seat orders"), 3, allowed=only_b).collect()] == ["b"]
 
 
 def test_diversify_is_the_greedy_pick(spark):
@@ -77,13 +77,13 @@ def test_diversify_is_the_greedy_pick(spark):
 
 
 def test_snippets_and_pins(spark):
-    words = " ".join(["pad"] * 40 + ["the", "shell", "cracked"] + ["end"] * 40)
+    words = " ".join(["pad"] * 40 + ["the", "frame", "cracked"] + ["end"] * 40)
     df = spark.createDataFrame([(1, words)], "id int, text string")
-    got = S.snippets(df, "text", F.array(F.lit("shell"), F.lit("cracked")), 5).first().snippet
-    assert got == "… pad pad the «shell» «cracked» …"
-    blocks = spark.createDataFrame([("d", i, f"L{i}", t) for i, t in enumerate(["head", "Shells crack", "shell", "cracking shells"])], "doc_id string, seq int, anchor string, text string")
+    got = S.snippets(df, "text", F.array(F.lit("frame"), F.lit("cracked")), 5).first().snippet
+    assert got == "… pad pad the «frame» «cracked» …"
+    blocks = spark.createDataFrame([("d", i, f"L{i}", t) for i, t in enumerate(["head", "Frames crack", "frame", "cracking frames"])], "doc_id string, seq int, anchor string, text string")
     hit = spark.createDataFrame([(1, "c", "d", 0, 3)], "search_id int, chunk_id string, doc_id string, first_seq int, last_seq int")
-    pins = S.pin_blocks(hit, blocks, queries(spark, "the cracks of a shell")).orderBy("seq").collect()
+    pins = S.pin_blocks(hit, blocks, queries(spark, "the cracks of a frame")).orderBy("seq").collect()
     assert [p.anchor for p in pins] == ["L1", "L3"] or [p.anchor for p in pins] == ["L1"]
 
 
