@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.anchors import merge_anchor
-from attestra.functions.text import slugify
-from attestra.operators.packing import pack
-from attestra.scale import rank_within
+from attestra.functions.text import slugify, strip
+from attestra.operators.packing import TILE, pack
+from attestra.scale import pinned, rank_within
+from attestra.sources.blocks import line_blocks
 
 # fixed values
 CHUNK_CHARS = 1800
@@ -73,6 +74,52 @@ def make_chunks(blocks: DataFrame, chunk_chars: int = CHUNK_CHARS, n_blocks: str
     return chunks.unionByName(single)
 
 
+def line_chunks(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, carry=(), tile: int = TILE
+) -> DataFrame:
+    """``make_chunks`` of the non-blank lines of documents, with columns of the document carried along.
+
+    The lines of a document are in one row, so documents of up to ``tile`` lines are folded where they
+    are and nothing is shuffled; only longer ones go the way of packed sequences.
+    """
+    src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *carry)
+    n_lines = F.size(F.split("_text", "\n"))
+    line = lambda x, i: F.struct(i.cast("long").alias("seq"), strip(x).alias("t"))
+    kept = F.filter(F.transform(F.split("_text", "\n"), line), lambda x: x["t"] != "")
+    short = pinned(src.filter(n_lines <= tile), "_ls", kept)
+    state = "struct<n:int,size:bigint,starts:array<int>>"
+
+    def step(acc, x):
+        fresh = (acc["size"] < 0) | (acc["size"] + F.length(x["t"]) > chunk_chars)
+        return F.struct(
+            (acc["n"] + 1).alias("n"),
+            (F.when(fresh, 0).otherwise(acc["size"]) + F.length(x["t"]) + 1).alias("size"),
+            F.when(fresh, F.concat(acc["starts"], F.array(acc["n"]))).otherwise(acc["starts"]).alias("starts"),
+        ).cast(state)
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("size"), F.array().cast("array<int>").alias("starts")).cast(state)
+    cut = pinned(short, "_starts", F.aggregate("_ls", zero, step)["starts"])
+    ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts"), F.lit(1))), F.array(F.size("_ls")))
+    part = lambda a, b: F.slice("_ls", a + 1, b - a)
+    rows = cut.select("doc_id", *carry, F.explode(F.zip_with("_starts", ends, part)).alias("_part")).filter("_part is not null")
+    first, last = F.get("_part", F.lit(0))["seq"], F.element_at("_part", -1)["seq"]
+    address = lambda n: F.concat(F.lit("L"), (n + 1).cast("string"))
+    small = rows.select(
+        "doc_id",
+        first.alias("first_seq"),
+        last.alias("last_seq"),
+        merge_anchor(address(first), address(last)).alias("anchor"),
+        F.lit("").alias("section"),
+        F.array_join(F.transform("_part", lambda x: x["t"]), "\n").alias("text"),
+        *carry,
+    )
+    large = src.filter(n_lines > tile)
+    packed = make_chunks(line_blocks(large, "doc_id", "_text"), chunk_chars)
+    if carry:
+        packed = packed.join(large.select("doc_id", *carry), "doc_id")
+    return small.unionByName(packed.select(small.columns))
+
+
 def split_long(pages: DataFrame, key: str, text: str, limit: int = PAGE_CHARS) -> DataFrame:
     """Pages over ``limit`` characters as parts of at most half of it, cut between lines; a longer line stays whole.
 

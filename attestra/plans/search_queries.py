@@ -165,12 +165,11 @@ def diversify(spark, d):
 @register("search_documents")
 def search_documents(spark, d):
     """Flagship: lines as blocks, blocks packed into chunks, stemmed ranking, fusion and diversification by source."""
-    docs = load(spark, d, "documents")
-    chunks = C.make_chunks(B.line_blocks(docs))
-    heads = docs.select("doc_id", "source", F.split("text", "\n", 2)[0].alias("title"))
-    named = chunks.join(heads, "doc_id").select(
-        F.concat(F.col("doc_id").cast("string"), F.lit("#"), "anchor").alias("chunk_id"),
-        F.col("source").alias("doc_id"), "title", F.col("source").alias("section"), "text",
+    docs = load(spark, d, "documents").withColumn("title", F.substring_index("text", "\n", 1))
+    chunks = C.line_chunks(docs, carry=["title", "source"])
+    named = chunks.select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("#"), "anchor").alias("chunk_id"), F.col("source").alias("doc_id"), "title",
+        F.col("source").alias("section"), "text",
     )
     hits = S.search(durable(named), searches(spark))
     return hits.select("search_id", "place", "chunk_id", "doc_id", "score", F.array_join("matched", ",").alias("matched"))

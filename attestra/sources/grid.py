@@ -118,7 +118,9 @@ def sheet_blocks(cells: DataFrame, headers: DataFrame) -> DataFrame:
         F.lit("row").alias("kind"),
         F.when(above, plain).otherwise(shown).alias("text"),
     )
-    counts = rows.groupBy(*SHEET).agg(F.count_if(body).alias("n_data"))
+    # numbers of rows only, not their cells
+    below = data.select(*SHEET, "r").distinct().join(headers, SHEET)
+    counts = below.groupBy(*SHEET).agg(F.count_if(body).alias("n_data"))
     gaps = formula_gaps(cells)
     info = names.join(counts, SHEET).join(gaps, SHEET, "left")
     where = F.when(

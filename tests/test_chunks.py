@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.operators import chunks as C
 from attestra.operators import packing
 from attestra.scale import rank_within
+from attestra.sources import blocks as B
 from tests import spec
 
 item = st.tuples(st.integers(0, 12), st.booleans(), st.booleans())
@@ -106,3 +107,17 @@ def test_doc_ids(spark):
     got = {r.path: r.doc_id for r in C.assign_doc_ids(new, held).collect()}
     assert len(set(got.values()) | set(existing)) == len(paths) + len(existing)
     assert got == want
+
+
+def test_line_chunks_equal_packed_blocks(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        n = rng.choice([1, 3, 12, 80])
+        rows.append((i, "\n".join(" " * (rng.random() < 0.2) + "w" * rng.choice([0, 1, 7, 30, 120]) for _ in range(n)), f"s{i % 3}"))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    want = {(r.doc_id, r.first_seq, r.last_seq, r.anchor, r.text) for r in C.make_chunks(B.line_blocks(docs), 100).collect()}
+    for tile in (1, 20, 1000):
+        got = C.line_chunks(docs, chunk_chars=100, carry=["source"], tile=tile).collect()
+        assert {(r.doc_id, r.first_seq, r.last_seq, r.anchor, r.text) for r in got} == want
+        assert all(r.source == f"s{r.doc_id % 3}" for r in got)
