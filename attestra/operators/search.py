@@ -129,7 +129,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, stemmed: bool = True, id: str =
     """
     qtokens = query_tokens(parse_queries(queries))
     near = near_occurrences(postings(chunks, id), qtokens, stemmed)
-    matches = term_matches(near, expand_stems(qtokens, near) if stemmed else qtokens)
+    matches = durable(term_matches(near, expand_stems(qtokens, near) if stemmed else qtokens))
     stats = corpus_stats(chunks, id)
     term = ["search_id", "query_no", "term_no"]
     df = matches.groupBy(*term).agg(F.count("*").alias("df"))

@@ -369,13 +369,13 @@ def latest_role(spark, d):
 @register(
     "usage_cost",
     """
-    with m as (select role as agent, case conv_id % 4 when 0 then 'claude-opus-x' when 1 then 'claude-sonnet-x' when 2 then 'claude-haiku-x' else '<synthetic>' end as model,
+    with m as (select role as agent, case conv_id % 4 when 0 then 'm-opus-x' when 1 then 'm-sonnet-x' when 2 then 'm-haiku-x' else '<synthetic>' end as model,
         conv_id || '-' || turn as message_id, length(text) as i, length(text) // 2 as o, turn as r, conv_id % 5 as w from conversations),
     p as (select agent, model, case conv when 'o' then 4.0 when 's' then 2.0 else 1.0 end as pi, case conv when 'o' then 20.0 when 's' then 10.0 else 5.0 end as po, i, o, r, w
       from (select *, case when model like '%opus%' then 'o' when model like '%sonnet%' then 's' else 'h' end as conv from m where model not like '<%')),
     t as (select agent, model, sum(((i + r * 0.1 + w * 2.0) * pi + o * po) / 1e6) as usd from p group by 1, 2)
     select agent, model, round(usd, 8)::double as usd, round(usd / sum(usd) over (), 6)::double as share from t
-    """.replace("claude-", "m-"),
+    """,
 )
 def usage_cost(spark, d):
     """Turns as messages: text length as tokens, every message sent twice."""
