@@ -16,7 +16,8 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     A window would put one key into one task. Here the rows are range-sorted by (keys, order) — a hot
     key then spans many tasks — and numbered by their place; the first place of each key is an
     aggregate with map-side combine, and there is one count per task of the sort (a number the session
-    fixes). The sorted rows are written once, so that places cannot move between the passes.
+    fixes). The sorted rows are written once, so that places cannot move between the passes. A NULL key is
+    a key like any other, as in a window.
     """
     placed = durable(df.sort(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_task", F.shiftright("_at", SHIFT))
@@ -26,7 +27,9 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     local = F.col("_at").bitwiseAND((1 << SHIFT) - 1)
     numbered = placed.join(starts, "_task").withColumn("_i", F.col("_start") + local)
     firsts = numbered.groupBy(*keys).agg(F.min("_i").alias("_first"))
-    out = numbered.join(firsts, keys)
+    firsts = firsts.select("_first", *(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
+    same = [numbered[k].eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    out = numbered.join(firsts, same).drop(*(f"_key{i}" for i in range(len(keys))))
     return out.withColumn(name, (F.col("_i") - F.col("_first") + 1).cast("long")).drop(
         "_at", "_task", "_start", "_i", "_first"
     )

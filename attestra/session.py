@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import sys
 import tempfile
@@ -48,12 +49,35 @@ def load(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for such files; one of our own only where none is named (tests)."""
+    """The folder of this application inside the shared one that ``spark.checkpoint.dir`` names.
+
+    Only a session on the ``local`` master, where driver and tasks are one process, may leave the setting
+    out (tests); it then gets a temporary folder. Anywhere else that is an error, because executors could not
+    read each other's files. The folder is removed when the driver ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="attestra-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+        spark.sparkContext.setCheckpointDir(named)
+    folder = f"{named.rstrip('/')}/attestra-{spark.sparkContext.applicationId}"
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        atexit.register(_drop, spark, folder)
+    return folder
+
+
+_OWNED: set[str] = set()
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    """Remove the written tables of this application; a session that is gone already leaves them to its cluster."""
+    jvm = spark.sparkContext._jvm
+    if jvm is None or spark.sparkContext._jsc is None:
+        return
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -64,7 +88,7 @@ def durable(df: DataFrame) -> DataFrame:
     it is not repeated, and its size is known when the joins after it are planned.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/attestra-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
