@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestra.llm import quality
+from attestra.llm import bpe, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,12 @@ def register(fn: Query) -> Query:
     return fn
 
 
+@register
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encoded("text").alias("e"))
+    return docs.select("doc_id", "e.n_tokens", F.sha2("e.ids", 256).alias("ids_sha256"), F.sha2("e.decoded", 256).alias("decoded_sha256"))
+
+
 @register
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
