@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, main_text, minhash, quality
+from attestra.llm import bpe, main_text, minhash, quality, token_files
+from attestra.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +61,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "e.n_tokens", F.sha2("e.ids", 256).alias("ids_sha256"), F.sha2("e.decoded", 256).alias("decoded_sha256"))
 
 
+@register
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return token_files.token_checksums(spark, folder)
+
+
 @register
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
