@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, decontam, main_text, minhash, quality, token_files, url_filter
+from attestra.llm import bpe, decontam, line_dedup, main_text, minhash, quality, token_files, url_filter
 from attestra.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,36 @@ FROM r
 """
 
 
+@register
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("_row.doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.col("_text").alias("text"))
+
+
+ORACLES["op6_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l
+), k AS (SELECT *, array_to_string(words, ' ') AS key, row_number() OVER (ORDER BY doc_id, pos) AS place FROM w),
+c AS (SELECT key, any_value(words) AS words, min(place) AS first FROM k WHERE len(words) > 0 GROUP BY key),
+v AS (
+  SELECT key, first, i, array_to_string(words[1 : i - 1] || words[i + 1 : len(words)], ' ') AS variant
+  FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM c WHERE len(words) >= 8)
+), g AS (SELECT variant, i, min(first) AS lo FROM v GROUP BY ALL),
+late AS (
+  SELECT key FROM v JOIN g USING (variant, i) WHERE lo < first
+  UNION SELECT v.key FROM v JOIN c ON c.key = v.variant WHERE len(c.words) >= 8 AND c.first < v.first
+  UNION SELECT c.key FROM v JOIN c ON c.key = v.variant WHERE len(c.words) >= 8 AND v.first < c.first
+), d AS (
+  SELECT k.*, len(k.words) > 0 AND (late.key IS NOT NULL OR place > c.first) AS gone FROM k LEFT JOIN c USING (key) LEFT JOIN late ON late.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM d GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
 @register
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
