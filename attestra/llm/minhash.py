@@ -11,10 +11,10 @@ From keys to links without the pairs of a group:
 1. documents with equal sets are one class, which goes on as its smallest id;
 2. a signature that no other class has is dropped before the collections are combined (its keys are its own);
 3. in every key's group, each class is compared with the smallest one (a star), on full sets;
-4. where a group still holds classes of different components, its classes go through an exact prefix join:
-   sets that are similar enough share one of their rarest shingles, and only pairs of different components
-   that do are compared. No link between components is lost, and a passage that many documents share,
-   being frequent, is no one's rarest shingle.
+4. where a group still holds classes of different components, they are compared with another member, and then go
+   through an exact prefix join: sets that are similar enough share one of their rarest shingles, and only
+   pairs of different components that do are compared. No link between components is lost, and a passage
+   that many documents share, being frequent, is no one's rarest shingle.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer
 words than ``width`` make one shingle; a null id is reported with a null component and kept; rows that share an id
@@ -122,11 +122,12 @@ def near_duplicates(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
     stars = keys.join(hubs, "key").filter(F.col("rep") != F.col("hub"))
     links = durable(_similar(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), sets))
     labels = durable(components(links))
-    # 4. what stars leave open
-    rest = _open_pairs(keys, labels, sets)
-    found = durable(_similar(rest, sets))
-    if not found.isEmpty():
-        labels = durable(components(links.union(found)))
+    # 4. what stars leave open: once more with other hubs, then exactly
+    for open_pairs in (_other_stars, _open_pairs):
+        found = durable(_similar(open_pairs(keys, labels, sets), sets))
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = durable(components(links))
     owner = members.select("doc_id", "s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     linked = owner.select("doc_id", "s1", "s2", F.coalesce("label", "rep").alias("component_id")).filter("component_id <> doc_id").distinct()
     out = rows.join(linked, ["doc_id", "s1", "s2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -167,24 +168,41 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
+def _in_mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, rep, label`` of the groups that hold more than one component."""
+    labelled = keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = durable(labelled.select("key", "rep", "label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter(F.col("_low") < F.col("_high"))
+    return labelled.join(mixed.select("key"), "key")
+
+
+def _other_stars(keys: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """In every mixed group, a hub by chance, and the members of other components than its own."""
+    mixed = durable(_in_mixed(keys, labels))
+    hubs = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep", "label")).alias("hub")).select("key", "hub.rep", "hub.label")
+    hubs = hubs.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
+    return mixed.join(hubs, "key").filter(F.col("label") != F.col("lb")).select(F.col("rep").alias("a"), "b").distinct()
+
+
 def _open_pairs(keys: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components, among classes in groups of more than one, that can still be similar.
+    """Pairs of different components, among classes in mixed groups, that can still be similar.
 
-    Exact: of two sets with a similarity of p percent, each holds at least p percent of the other's size in common,
-    so the first n - ceil(p * n / 100) + 1 shingles of each, in one order for all, have one in common. The order
-    is by frequency here.
+    Exact: let both sets be ordered alike, here by frequency, and n <= m be their sizes. They need k = p / (100 + p)
+    of n + m shingles in common, so the first n - ceil(k * 2 * n) + 1 of the smaller and m - ceil(p * m / 100) + 1 of
+    the larger have one in common; and at the first they share, at places i and j, min(n - i, m - j) are left at most.
     """
-    labelled = keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = durable(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter(F.col("_low") < F.col("_high"))
-    wanted = labelled.join(mixed.select("key"), "key").select("rep", "label").distinct()
+    wanted = _in_mixed(keys, labels).select("rep", "label").distinct()
     own = durable(sets.join(wanted, "rep").select("rep", "label", "n", F.explode("set").alias("s")))
-    often = own.groupBy("s").agg(F.count("*").alias("often"))
-    ordered = own.join(often, "s").groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("o"))
-    size = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
-    first = durable(ordered.select("rep", "label", "n", F.explode(F.slice("o", F.lit(1), size)).alias("o")).select("rep", "label", "n", "o.s"))
+    often = own.groupBy("s").agg(F.count("*").alias("often")).filter(F.col("often") > 1)
+    ordered = own.join(often, "s", "left").groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "s"))).alias("o"))
+    as_smaller = F.col("n") - F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT)) + 1
+    as_larger = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
+    first = ordered.select("rep", "label", "n", as_smaller.alias("short"), F.posexplode(F.slice("o", F.lit(1), as_larger)).alias("i", "o"))
+    first = durable(first.filter(F.col("o.often") > 1).select("rep", "label", "n", "i", (F.col("i") < F.col("short")).alias("short"), "o.s"))
     span = first.groupBy("s").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter(F.col("_low") < F.col("_high"))
     first = durable(first.join(span.select("s"), "s"))
-    other = first.select("s", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    pairs = first.join(other, "s").filter((F.col("label") < F.col("lb")) & (100 * F.least("n", "nb") >= PERCENT * F.greatest("n", "nb")))
+    other = first.select("s", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("i").alias("j"))
+    enough = (100 + PERCENT) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= PERCENT * (F.col("n") + F.col("m"))
+    similar_size = (F.col("n") <= F.col("m")) & (100 * F.col("n") >= PERCENT * F.col("m"))
+    pairs = first.filter("short").join(other, (first["s"] == other["s"]) & (F.col("label") != F.col("lb")) & similar_size & enough)
     return pairs.select(F.col("rep").alias("a"), "b").distinct()
