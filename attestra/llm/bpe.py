@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 NEVER = 1 << 60
 SHORT = 96  # parts; longer words are merged with a heap, which gives the same merges
-KNOWN_CHUNKS = 400_000  # entries of the newer of two tables a worker keeps; when full, it becomes the older one
+KNOWN_CHUNKS = 250_000  # entries of the newer of two tables a worker keeps; when full, it becomes the older one
 
 
 def byte_letters() -> list[str]:
