@@ -4,8 +4,9 @@ Text likelihoods come from a multinomial model over the letters' sequences of up
 sample of at most ``SAMPLE`` labelled documents per language, drawn by hash. Everything else is counted over all pages:
 
 * how often each declared language goes with each language of the text (a confusion table, smoothed);
-* how often each address suffix does (the last label, and the first part of the path, as in ``/fr/``);
-* each host's languages, shrunk towards those of its domain, these towards those of its suffix, these towards all.
+* how often each language part of the address does (the first part of the path, as in ``/fr/``);
+* each host's languages, shrunk towards those of its domain, these towards those of its address suffix (the last label),
+  these towards those of all pages.
 
 Counts weigh pages by what the text alone says (its posterior), summed by grouped aggregation; a page's own
 weight is taken off its host's counts before they judge it. The posterior is the normalised product.
@@ -17,8 +18,8 @@ table gives no rows; a sample without labels is an error that says so; other col
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +39,21 @@ GRAMS = 30_000  # most frequent sequences the model keeps
 TRUST = 0.05  # weight of a sequence's likelihood: neighbouring sequences are not independent
 STRENGTH = 5.0  # pseudo-pages behind each level of the host prior
 SMOOTH = 1.0
+KNOWN_WORDS = 200_000  # a worker keeps
 DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})"
 LETTERS = re.compile(r"[\W\d_]+")
 
 
-def grams(text: str) -> pd.Series:
-    """Sequences of 1 to ORDER letters with word ends, and how often each occurs."""
-    joined = " " + " ".join(LETTERS.split(text.lower())).strip() + " "
-    found = [joined[i : i + k] for k in range(1, ORDER + 1) for i in range(len(joined) - k + 1)]
-    return pd.Series(found, dtype=object).value_counts()
+def words(text: str | None) -> Counter:
+    found = Counter(LETTERS.split(text.lower())) if text else Counter()
+    found.pop("", None)
+    return found
+
+
+def grams(word: str) -> list[str]:
+    """Sequences of 1 to ORDER characters of a word with a blank on either side."""
+    padded = f" {word} "
+    return [padded[i : i + k] for k in range(1, ORDER + 1) for i in range(len(padded) - k + 1)]
 
 
 class TextModel:
@@ -57,17 +64,26 @@ class TextModel:
         self.index = {g: i for i, g in enumerate(sorted(counts))}
         table = np.array([counts[g] for g in sorted(counts)]) + 0.5
         self.logs = np.log(table / table.sum(axis=0))
+        self.known: dict[str, list[float]] = {}
+
+    def word(self, word: str) -> list[float]:
+        """Log-likelihoods of one word; frequent ones are kept, up to a bound."""
+        got = self.known.get(word)
+        if got is None:
+            at = [i for i in map(self.index.get, grams(word)) if i is not None]
+            got = self.logs[at].sum(axis=0).tolist()
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            if len(word) <= 64:
+                self.known[word] = got
+        return got
 
     def likelihoods(self, text: str | None) -> list[float]:
         """Log-likelihood of each language, relative to the best. The text is read whole."""
-        total = np.zeros(len(self.languages))
-        joined = " " + " ".join(LETTERS.split((text or "").lower())).strip() + " "
-        find = self.index.get
-        for k in range(1, ORDER + 1):
-            at = [i for i in map(find, map("".join, zip(*(joined[j:] for j in range(k))))) if i is not None]
-            if at:
-                total += np.bincount(at, minlength=len(self.logs)) @ self.logs
-        total *= TRUST
+        found = words(text)
+        if not found:
+            return [0.0] * len(self.languages)
+        total = TRUST * (np.fromiter(found.values(), float, len(found)) @ np.array([self.word(w) for w in found]))
         return (total - total.max()).tolist()
 
 
@@ -80,8 +96,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang_, texts in b.groupby("lang")["text"]:
-                c = grams(" ".join(texts))
-                yield pd.DataFrame({"lang": lang_, "gram": c.index, "n": c.to_numpy()})
+                c: Counter = Counter()
+                for word, n in words(" ".join(texts)).items():
+                    for g in grams(word):
+                        c[g] += n
+                yield pd.DataFrame({"lang": lang_, "gram": list(c), "n": list(c.values())})
 
     counted = rows.mapInPandas(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counted = durable(counted)
@@ -136,7 +155,7 @@ def identify(pages: DataFrame, model: TextModel, **names: str) -> DataFrame:
     total = sum(every[f"n{i}"] or 0.0 for i in range(k))
     overall = [((every[f"n{i}"] or 0.0) + 1.0) / (total + k) for i in range(k)]
     rows = seen
-    # Declared language, suffix and section given the language: tables as long as there are such values.
+    # Declared language and section given the language: tables as long as there are such values.
     for name in ("declared", "section"):
         table = durable(seen.filter(F.col(name) != "").groupBy(name).agg(*_sums(langs)))
         values = table.count()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, decontam, line_dedup, main_text, minhash, personal, quality, token_files, url_filter
+from attestra.llm import bpe, decontam, language, line_dedup, main_text, minhash, personal, quality, token_files, url_filter
 from attestra.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,12 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+@register
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), model)
+
+
 @register
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(table(spark, sf_dir, "documents"))
