@@ -55,7 +55,8 @@ def _half(name: str, side: str, long: bool) -> Column:
     return F.when(wanted, F.xxhash64(F.lit(side), h, part)).alias(name)
 
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its counted rows (short ones) are few enough."""
     return F.broadcast(df) if rows <= SENT_ROWS else df
 
 
@@ -82,7 +83,7 @@ def _nearly_repeated(docs: DataFrame, classes: DataFrame, doc_id: str, text: str
     shared = own.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter(F.col("lo") < F.col("hi")).select("half")
     wanted = durable(own.join(shared, "half").select("first").distinct())
     lines = _lines(docs, doc_id, text).withColumn("first", _place(F.col("_id"), F.col("pos")))
-    known = durable(lines.join(_sent(wanted, wanted.count()), "first").select("first", _words(F.col("line")).alias("w")))
+    known = durable(lines.join(sent(wanted, wanted.count()), "first").select("first", _words(F.col("line")).alias("w")))
     codes = F.unhex(F.array_join(F.transform("w", lambda x: F.lpad(F.hex(F.xxhash64(x)), 16, "0")), ""))
     coded = known.select("first", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("again"), "w").alias("h2"), codes.alias("c")).filter(F.col("n") >= NEAR_WORDS)
     without = F.concat(F.substring("c", F.lit(1), 8 * F.col("i")), F.substring("c", 8 * F.col("i") + 9, 8 * F.col("n")))
@@ -113,7 +114,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """All rows of ``docs`` as ``_row``, with ``_text`` (what remains), ``_lines`` and ``_dropped`` (numbers of lines)."""
     drops = dropped_lines(docs, doc_id, text)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
-    rows = rows.join(_sent(drops, drops.count()), ["_id", "_t"], "left")
+    rows = rows.join(sent(drops, drops.count()), ["_id", "_t"], "left")
     lines = F.split("_text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
     kept = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
