@@ -132,26 +132,27 @@ def number_values(c: Column) -> Column:
     return F.when(c.rlike(DIGIT), values).otherwise(F.array().cast("array<double>"))
 
 
-def find_dates(c: Column) -> Column:
-    """Full dates as figures whose value is YYYYMMDD; impossible dates are dropped."""
+def _date_parts(m: Column) -> Column:
     months = _lookup(MONTHS)
+    iso = m.rlike(r"^\d{4}-")
+    day_first = m.rlike(r"(?U)^\d{1,2}(?!\d)") & ~iso
+    pick = lambda rx, g: F.regexp_extract(m, "(?iU)" + rx, g)
+    y = F.when(iso, pick(ISO_DATE, 1)).when(day_first, pick(DAY_FIRST, 3)).otherwise(pick(MONTH_FIRST, 3))
+    d = F.when(iso, pick(ISO_DATE, 3)).when(day_first, pick(DAY_FIRST, 1)).otherwise(pick(MONTH_FIRST, 2))
+    name = F.lower(F.when(day_first, pick(DAY_FIRST, 2)).otherwise(pick(MONTH_FIRST, 1)))
+    mon = F.when(iso, pick(ISO_DATE, 2).try_cast("int")).otherwise(F.try_element_at(months, name))
+    return F.struct(m.alias("m"), y.try_cast("int").alias("y"), mon.alias("mon"), d.try_cast("int").alias("d"))
 
-    def parts(m: Column) -> Column:
-        iso = m.rlike(r"^\d{4}-")
-        day_first = m.rlike(r"(?U)^\d{1,2}(?!\d)") & ~iso
-        pick = lambda rx, g: F.regexp_extract(m, "(?iU)" + rx, g)
-        y = F.when(iso, pick(ISO_DATE, 1)).when(day_first, pick(DAY_FIRST, 3)).otherwise(pick(MONTH_FIRST, 3))
-        d = F.when(iso, pick(ISO_DATE, 3)).when(day_first, pick(DAY_FIRST, 1)).otherwise(pick(MONTH_FIRST, 2))
-        name = F.lower(F.when(day_first, pick(DAY_FIRST, 2)).otherwise(pick(MONTH_FIRST, 1)))
-        mon = F.when(iso, pick(ISO_DATE, 2).try_cast("int")).otherwise(F.try_element_at(months, name))
-        return F.struct(m.alias("m"), y.try_cast("int").alias("y"), mon.alias("mon"), d.try_cast("int").alias("d"))
 
-    def valid(p: Column) -> Column:
-        day = F.format_string("%04d-%02d-%02d", p["y"], p["mon"], p["d"]).try_cast("date")
-        return (p["y"] > 0) & day.isNotNull()
+def _is_date(p: Column) -> Column:
+    day = F.format_string("%04d-%02d-%02d", p["y"], p["mon"], p["d"]).try_cast("date")
+    return (p["y"] > 0) & day.isNotNull()
 
+
+def find_dates(c: Column) -> Column:
+    """Full dates as figures whose value is YYYYMMDD; impossible dates are dropped."""
     found = F.regexp_extract_all(c, F.lit(DATE), F.lit(0))
-    real = F.filter(F.transform(found, parts), valid)
+    real = F.filter(F.transform(found, _date_parts), _is_date)
     none = F.lit(False)
     days = F.transform(
         real,
@@ -162,6 +163,15 @@ def find_dates(c: Column) -> Column:
     return F.when(c.rlike(YEAR), days).otherwise(F.array().cast(f"array<{FIGURE}>"))
 
 
+def blank_dates(c: Column) -> Column:
+    """The text with blanks where :func:`find_dates` finds a date, at exactly those places."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(DATE), F.lit(0)), _date_parts)
+    shown = F.transform(found, lambda p: F.when(F.coalesce(_is_date(p), F.lit(False)), F.repeat(F.lit(" "), F.length(p["m"]))).otherwise(p["m"]))
+    pieces = F.arrays_zip(F.split(c, DATE).alias("gap"), shown.alias("date"))
+    joined = F.array_join(F.transform(pieces, lambda z: F.concat(z["gap"], F.coalesce(z["date"], F.lit("")))), "")
+    return F.when(c.rlike(YEAR), joined).otherwise(c)
+
+
 def word_numbers(c: Column) -> Column:
     """Values of spelled-out numbers ("seven"), not the first half of "twenty-five"."""
     values = _lookup(WORD_NUMBERS)
@@ -237,9 +247,11 @@ def numbers_match(figure: Column, evidence: Column) -> Column:
 def plain_number(x: Column) -> Column:
     """Shortest decimal form of a double without exponent: 0.1, 148250."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    text = F.round(x, 10).cast("decimal(38,10)").cast("string")
+    text = F.round(x, 10).try_cast("decimal(38,10)").cast("string")
     short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
-    return F.when(whole, x.cast("decimal(20,0)").cast("string")).otherwise(short)
+    # beyond the decimal's range, or where its ten places lose more than noise: as Spark writes it
+    kept = F.coalesce(F.abs(text.cast("double") - x) <= F.abs(x) * 1e-9, F.lit(False))
+    return F.when(whole, x.try_cast("decimal(20,0)").cast("string")).when(kept, short).otherwise(x.cast("string"))
 
 
 def format_value(c: Column, data_type: str, number_format: Column | None = None) -> Column:

@@ -9,8 +9,8 @@ from attestra.functions.text import strip
 
 # --- fixed values: the citation syntax -------------------------------------------------------------
 GROUP = r"\[@([^\]\n]+)\]"
-ITEM = r"""(?U)^\s*@?((?:[^\s"'“”;]|'[^']*')+)(?:\s+["“]([^"”]*)["”])?\s*$"""
-ITEMS = r"""(?:[^;"“]|["“][^"”]*(?:["”]|$))+"""  # a semicolon inside quotes does not part items
+ITEM = r"""(?U)^\s*+@?((?:[^\s"'“”;]++|'[^']*+')++)(?:\s++["“]([^"”]*+)["”])?\s*$"""  # possessive: long items must not nest
+ITEMS = r"""(?:[^;"“]++|["“][^"”]*+(?:["”]|$))++"""  # a semicolon inside quotes does not part items
 CITE_AFTER_STOP = r"(?U)([.!?])\s*(\[@[^\]\n]+\](?:\s*\[@[^\]\n]+\])*)"
 SENTENCE_BREAK = r"""(?U)(?<=[.!?])\s+(?=["“(\[A-Z0-9À-Ỹ*_])"""
 # ---------------------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ def parse_edits(edits: DataFrame, default_sheet: str | None = None) -> DataFrame
     bare = F.replace(F.regexp_replace(sheet, "^'|'$", ""), F.lit("''"), F.lit("'"))
     named = F.when(sheet != "", bare).otherwise(F.lit(default_sheet))
     return edits.select(
-        "doc_id", "ref", "value",
+        "doc_id", "ref", "value", *(c for c in edits.columns if c == "_at"),
         F.trim("ref").rlike(CELL).alias("ok"),
         named.alias("sheet"),
         F.regexp_extract("ref", CELL, 3).try_cast("int").alias("r"),
@@ -25,17 +25,30 @@ def parse_edits(edits: DataFrame, default_sheet: str | None = None) -> DataFrame
     )
 
 
-def apply_cell_edits(cells: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells after, changes old to new, refused edits with the reason). New cells may be set."""
-    parsed = parse_edits(edits)
+def apply_cell_edits(
+    cells: DataFrame, edits: DataFrame, default_sheet: str | None = None, order: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells after, changes old to new, refused edits with the reason). New cells may be set.
+
+    Of several edits of one cell the last in ``order`` (a column of ``edits``; without it, by reference and value) holds.
+    Edits that name no sheet go to ``default_sheet``. Cells keep all their columns; an edited one loses its
+    formula and format, and its kind is that of a number or of text.
+    """
+    place = edits[order] if order else F.lit(0)
+    keyed = edits.select("doc_id", "ref", "value", place.alias("_at"))
+    parsed = parse_edits(keyed.select("doc_id", "ref", "value", "_at"), default_sheet)
     sheets = cells.select("doc_id", "sheet").distinct()
     bad = parsed.filter("not ok").select("doc_id", "ref", F.lit("bad cell reference").alias("reason"))
     homeless = parsed.filter("ok").join(sheets, ["doc_id", "sheet"], "left_anti")
     refused = bad.unionByName(homeless.select("doc_id", "ref", F.lit("no such sheet").alias("reason")))
-    good = parsed.filter("ok").join(sheets, ["doc_id", "sheet"], "left_semi").select("doc_id", "sheet", "r", "c", "value")
-    old = cells.select("doc_id", "sheet", "r", "c", "v")
-    both = old.withColumn("_was", F.lit(True)).join(good.withColumn("_set", F.lit(True)), ["doc_id", "sheet", "r", "c"], "full")
-    after = both.select("doc_id", "sheet", "r", "c", F.when(F.col("_set"), F.col("value")).otherwise(F.col("v")).alias("v"))
+    key = ["doc_id", "sheet", "r", "c"]
+    good = parsed.filter("ok").join(sheets, ["doc_id", "sheet"], "left_semi")
+    good = good.groupBy(*key).agg(F.max(F.struct("_at", "ref", "value")).alias("_last")).select(*key, F.col("_last.value").alias("value"), F.lit(True).alias("_set"))
+    both = cells.join(good, key, "full")
+    typed = F.when(F.col("value").isNull(), None).when(F.col("value").try_cast("double").isNotNull(), "f").otherwise("s")
+    new = {"v": F.col("value"), "kind": typed}
+    rest = [c for c in cells.columns if c not in key]
+    after = both.select(*key, *(F.when(F.col("_set"), new.get(c, F.lit(None))).otherwise(F.col(c)).alias(c) for c in rest))
     changes = both.filter("_set").select("doc_id", "sheet", "r", "c", F.col("v").alias("old"), F.col("value").alias("new"))
     return after, changes, refused
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType, NumericType, TimestampNTZType, TimestampType
 
 from attestra.functions.anchors import human_location, parse_ref
+from attestra.scale import rank_within
 
 # fixed values
 MAX_SAVED_ROWS = 1000
@@ -18,8 +20,7 @@ WRITE_VERBS = (
     r"^\s*(insert|update|delete|create|drop|alter|attach|copy|export|install|load|pragma|set|call|merge|truncate|refresh|"
     r"cache|uncache|clear|analyze|add|reset|use|msck|repair)\b"
 )
-FILE_RELATION = r"\b(?:parquet|csv|json|orc|text|avro|delta|binaryfile)\s*\.\s*`"
-FILE_FUNCTION = r"\b(?:read_files|read_csv|read_parquet|read_json|reflect|java_method|try_reflect)\s*\("
+FILE_CALL = re.compile(r"\b(?:read_files|read_csv|read_parquet|read_json|reflect|java_method|try_reflect)\s*\(", re.IGNORECASE)
 
 
 class SqlRefused(ValueError):
@@ -27,25 +28,55 @@ class SqlRefused(ValueError):
 
 
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """A read query over named tables only: no writes, no files, no session changes."""
+    """A read query over named tables only: no writes, no files, no session changes, no other views.
+
+    The parsed statement decides: it may hold no command and no statement text, and every relation it reads must be in
+    ``tables`` or a common table expression of its own. The names are taken off the session again.
+    """
     if re.match(WRITE_VERBS, sql, re.IGNORECASE):
-        raise SqlRefused("Only read queries (SELECT / WITH / DESCRIBE) are allowed.")
-    bare = re.sub(r"'(?:[^']|'')*'", "''", sql)
-    if re.search(FILE_RELATION, bare, re.IGNORECASE) or re.search(FILE_FUNCTION, bare, re.IGNORECASE):
-        raise SqlRefused("Queries may only touch named tables, not files.")
-    if re.match(r"^\s*with\b.*\binsert\b", bare, re.IGNORECASE | re.DOTALL) or ";" in bare.rstrip().rstrip(";"):
-        raise SqlRefused("One read query at a time.")
+        raise SqlRefused("This statement would change something; only SELECT, WITH and DESCRIBE are run.")
+    text = sql.rstrip().rstrip(";")
+    summary = re.match(r"^\s*summarize\s+(\w+)\s*$", text, re.IGNORECASE)
+    if summary and summary.group(1) in tables:
+        return summarize(tables[summary.group(1)])
+    _refuse_all_but_reads(spark, text, tables)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    summary = re.match(r"^\s*summarize\s+(\w+)\s*;?\s*$", sql, re.IGNORECASE)
-    if summary:
-        return summarize(spark.table(summary.group(1)))
     try:
-        return spark.sql(sql.rstrip().rstrip(";"))
+        return spark.sql(text)
     except Exception as exc:
-        text = str(exc).split("\n", 1)[0]
-        hint = " Look up exact table and column names in the catalog." if "NOT_FOUND" in text or "UNRESOLVED" in text else ""
-        raise SqlRefused(text + hint) from None
+        first = str(exc).split("\n", 1)[0]
+        hint = " Look up exact table and column names in the catalog." if "NOT_FOUND" in first or "UNRESOLVED" in first else ""
+        raise SqlRefused(first + hint) from None
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+
+
+RELATION = re.compile(r"'?UnresolvedRelation \[([^\]]*)\]")
+NAMED_HERE = re.compile(r"(?:CTE|UnresolvedWith) \[([^\]]*)\]")
+NO_READ = re.compile(r"ExecuteImmediate|InsertInto|CompoundBody|SingleStatement|UnresolvedTableValuedFunction \[(?!range\b|explode|posexplode|inline|stack\b|json_tuple)", re.I)
+
+
+def _refuse_all_but_reads(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> None:
+    jvm = spark._jvm
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as exc:
+        raise SqlRefused(str(exc).strip().split("\n", 1)[0]) from None
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command", True, loader)
+    shown = plan.treeString()
+    described = re.match(r"^\s*desc(?:ribe)?\s+(?:table\s+)?`?(\w+)`?\s*$", sql, re.IGNORECASE)
+    if described and described.group(1) in tables:
+        return
+    if command.isInstance(plan) or NO_READ.search(shown) or FILE_CALL.search(re.sub(r"'(?:[^']|'')*'", "''", sql)):
+        raise SqlRefused("Only a read of the named tables is run: SELECT, WITH or DESCRIBE of one of them.")
+    own = {n.strip().lower() for names in NAMED_HERE.findall(shown) for n in names.split(",")}
+    known = {n.lower() for n in tables}
+    for name in {r.split(", ,")[0].strip().lower() for r in RELATION.findall(shown)}:
+        if name not in known and (name not in own or spark.catalog.tableExists(name)):
+            raise SqlRefused(f"'{name}' is not among the tables of this query: {', '.join(sorted(known))}. Look up names in the catalog.")
 
 
 def used_tables(sql: str, names: Iterable[str]) -> list[str]:
@@ -130,52 +161,65 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def result_rows(df: DataFrame, order: list, max_rows: int = MAX_SAVED_ROWS) -> DataFrame:
-    """(row_no, row_json) of the rows that are kept of a result."""
-    kept = row_cap(df, order, max_rows).drop("more")
-    numbered = kept.withColumn("_no", F.row_number().over(Window.orderBy(*order)))
+def result_rows(df: DataFrame, order: list, max_rows: int | None = None) -> DataFrame:
+    """(row_no, row_json) of a result's rows in order: all of them, or the first ``max_rows``.
+
+    Rows are numbered by their place in a distributed sort, so a result of any size is saved by many tasks.
+    """
+    safe_names = df.columns
+    kept = df if max_rows is None else row_cap(df, order, max_rows).drop("more")
+    numbered = rank_within(kept.withColumn("_all", F.lit(1)), ["_all"], order, "_no").drop("_all")
     safe = json_safe(numbered)
-    names = [c for c in safe.columns if c != "_no"]
-    return safe.select(F.col("_no").alias("row_no"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("row_json"))
+    return safe.select(F.col("_no").alias("row_no"), F.to_json(F.struct(*safe_names), {"ignoreNullFields": "false"}).alias("row_json"))
 
 
-def save_result(spark: SparkSession, df: DataFrame, order: list, sql: str, tables: dict[str, str], folder: str) -> int:
+def save_result(spark: SparkSession, df: DataFrame, order: list, sql: str, tables: dict[str, str], folder: str, max_rows: int | None = None) -> int:
     """Append a result under ``folder`` and return its number. ``tables`` maps table name to source file.
 
-    Rows and registry are two appended tables; the number is one above the highest in the registry. The
-    registry row is written last, so a number seen there has all its rows.
+    Every number has a folder of rows of its own, which a second writer cannot take as well: it goes on to the next
+    number. The registry row is written last, so a number seen there has all its rows. ``row_count`` counts the
+    result itself; ``more`` says whether ``max_rows`` left some of them out.
     """
     registry = f"{folder}/registry"
     try:
         last = spark.read.parquet(registry).agg(F.max("result_id")).first()[0] or 0
-    except Exception as exc:
+    except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         last = 0
     number = last + 1
     used = used_tables(sql, tables)
-    rows = result_rows(df, order).withColumn("result_id", F.lit(number))
-    rows.write.mode("append").parquet(f"{folder}/rows")
-    count = spark.read.parquet(f"{folder}/rows").filter(F.col("result_id") == number).agg(F.count("*").alias("row_count"))
+    rows = result_rows(df, order, max_rows)
+    while True:
+        try:
+            rows.write.mode("errorifexists").parquet(f"{folder}/rows/result_id={number}")
+            break
+        except AnalysisException as exc:
+            if "PATH_ALREADY_EXISTS" not in str(exc):
+                raise
+            number += 1
+    saved = spark.read.parquet(f"{folder}/rows/result_id={number}").count()
+    total = saved if max_rows is None else df.count()
     strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    entry = count.select(
+    entry = spark.range(1).select(
         F.lit(number).alias("result_id"),
         F.current_timestamp().alias("created"),
         F.lit(sql.strip()).alias("sql"),
         strings(used).alias("tables"),
         strings(sorted({tables[t] for t in used})).alias("source_files"),
         strings(df.columns).alias("columns"),
-        "row_count",
+        F.lit(total).cast("long").alias("row_count"),
+        F.lit(total > saved).alias("more"),
     )
     entry.write.mode("append").parquet(registry)
     return number
 
 
-def read_result(spark: SparkSession, folder: str, number: int, shown: int = SHOWN_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(registry row, first rows) of a saved result."""
+def read_result(spark: SparkSession, folder: str, number: int, shown: int | None = SHOWN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(registry row, first rows) of a saved result; all rows where ``shown`` is None."""
     head = spark.read.parquet(f"{folder}/registry").filter(F.col("result_id") == number)
     rows = spark.read.parquet(f"{folder}/rows").filter(F.col("result_id") == number)
-    return head, rows.orderBy("row_no").limit(shown)
+    return head, rows if shown is None else rows.filter(F.col("row_no") <= shown)
 
 
 def export_results(spark: SparkSession, folder: str, numbers: list[int], out: str) -> DataFrame:
@@ -183,7 +227,6 @@ def export_results(spark: SparkSession, folder: str, numbers: list[int], out: st
     registry = spark.read.parquet(f"{folder}/registry").filter(F.col("result_id").isin(numbers))
     rows = spark.read.parquet(f"{folder}/rows")
     for number in numbers:
-        # a saved result has at most a thousand rows, so its types are read from them
         mine = rows.filter(F.col("result_id") == number).select("row_no", "row_json")
         fields = mine.select(F.explode(F.from_json("row_json", "map<string,variant>")).alias("k", "x"))
         fields = fields.select("k", F.schema_of_variant("x").alias("kind")).filter("kind <> 'VOID'").groupBy("k")

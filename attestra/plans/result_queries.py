@@ -151,15 +151,25 @@ def row_cap(spark, d):
     return R.row_cap(o, [F.col("o_totalprice").desc(), "o_orderkey"]).select("o_orderkey", "more")
 
 
-@register("save_result")
+SAVED = "select o_orderkey, o_custkey, o_orderstatus, o_orderdate from orders where o_orderstatus <> 'P'"
+
+
+@register(
+    "save_result",
+    """
+    with s as (select *, row_number() over (order by o_orderdate desc, o_orderkey) as row_no, count(*) over () as row_count from orders where o_orderstatus <> 'P')
+    select 1 as result_id, row_count, 'orders' as tables, false as more, row_no, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey ||
+      ',"o_orderstatus":"' || o_orderstatus || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}' as row_json from s
+    """,
+)
 def save_result(spark, d):
-    """An aggregate saved with its query and sources, and read back."""
+    """A result of any number of rows saved with its query and sources, and read back whole."""
     folder = f"{scratch_folder(spark)}/results-{uuid.uuid4().hex}"
-    df = R.run_sql(spark, AGG, tables(spark, d, "lineitem"))
-    number = R.save_result(spark, df, ["l_returnflag", "l_linestatus"], AGG, {"lineitem": "data/lineitem.parquet"}, folder)
-    head, rows = R.read_result(spark, folder, number)
-    info = head.select("result_id", "row_count", F.array_join("tables", ",").alias("tables"))
-    return rows.join(info, "result_id").select("result_id", "row_count", "tables", "row_no", "row_json")
+    df = R.run_sql(spark, SAVED, tables(spark, d, "orders"))
+    number = R.save_result(spark, df, [F.col("o_orderdate").desc(), "o_orderkey"], SAVED, {"orders": "data/orders.parquet"}, folder)
+    head, rows = R.read_result(spark, folder, number, shown=None)
+    info = head.select("result_id", "row_count", "more", F.array_join("tables", ",").alias("tables"))
+    return rows.join(info, "result_id").select("result_id", "row_count", "tables", "more", "row_no", "row_json")
 
 
 @register(
@@ -225,7 +235,7 @@ def apply_cell_edits(spark, d):
     edits = part.select(doc.alias("doc_id"), ref.alias("ref"), F.concat(F.lit("Brand of "), k.cast("string")).alias("value"))
     lost = part.select(doc.alias("doc_id"), F.lit("Nowhere!A1").alias("ref"), F.lit("x").alias("value"))
     after, _, _ = E.apply_cell_edits(part_cells(spark, d), edits.unionByName(lost))
-    return after
+    return after.select("doc_id", "sheet", "r", "c", "v")
 
 
 @register(

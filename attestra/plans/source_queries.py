@@ -295,9 +295,9 @@ def detect_header(spark, d):
     g as (select doc_id, sheet, count(*) as n_gaps from {PART_CELLS_SQL} where v is null and formula like '=%' group by 1, 2)
     select doc_id, sheet, r, ref || '!B' || r || ':G' || r as anchor, 'row' as kind, text from b join q using (doc_id, sheet)
     union all select doc_id, sheet, r::bigint, ref || '!A' || r || ':G' || r, 'row', v from x join q using (doc_id, sheet) where r < 4
-    union all select doc_id, sheet, 0, ref || '!A1:G' || n_rows, 'sheet', 'Sheet ' || sheet || ': ' || n_data ||
-      ' data rows x 6 columns; header on row 4. Columns: Part key, Name, Brand, Size, Retail price, Note.' ||
-      case when n_gaps is null then '' else ' WARNING: ' || n_gaps || ' formula cells have no cached value (open and save in Excel).' end
+    union all select doc_id, sheet, 0, ref || '!A1:G' || n_rows, 'sheet', sheet || ' has ' || n_data ||
+      ' rows of data in 6 columns, header in row 4: Part key, Name, Brand, Size, Retail price, Note.' ||
+      case when n_gaps is null then '' else ' Not calculated yet: ' || n_gaps || ' formulas without a stored value.' end
       from q left join g using (doc_id, sheet)
     """,
 )

@@ -42,8 +42,8 @@ def coerce_cell(spark, d):
     f"""
     select doc_id, sheet, c, case c when 2 then 'BIGINT' when 5 then 'DOUBLE' when 6 then 'DOUBLE' else 'VARCHAR' end as type,
       count_if(v is not null and not (kind = 's' and lower(trim(v)) in ('', 'n/a')))::bigint as n,
-      case when c = 5 and count_if(v = 'n/a') > 0 then count_if(v = 'n/a') || ' placeholder value(s) ''n/a'' stored as NULL'
-        when c = 6 then count_if(kind = 's') || ' non-numeric value(s) stored as NULL: ''on request''' else '' end as notes
+      case when c = 5 and count_if(v = 'n/a') > 0 then 'read as missing: ' || count_if(v = 'n/a') || ' times ''n/a'''
+        when c = 6 then 'no number, left empty: ' || count_if(kind = 's') || ' values such as ''on request''' else '' end as notes
     from {PART_CELLS_SQL} where r between 5 and 404 and c <= 7 group by doc_id, sheet, c
     """.replace("when 5 then 'DOUBLE'", "when 5 then 'BIGINT'"),
 )

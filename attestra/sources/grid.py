@@ -124,13 +124,12 @@ def sheet_blocks(cells: DataFrame, headers: DataFrame) -> DataFrame:
     gaps = formula_gaps(cells)
     info = names.join(counts, SHEET).join(gaps, SHEET, "left")
     where = F.when(
-        F.col("header_row").isNotNull(), F.concat(F.lit("; header on row "), F.col("header_row").cast("string"))
-    ).otherwise("; no header row detected")
+        F.col("header_row").isNotNull(), F.concat(F.lit(", header in row "), F.col("header_row").cast("string"))
+    ).otherwise(", without a header row")
     warn = F.when(
         F.col("n_gaps") > 0,
         F.concat(
-            F.lit(" WARNING: "), F.col("n_gaps").cast("string"),
-            F.lit(" formula cells have no cached value (open and save in Excel)."),
+            F.lit(" Not calculated yet: "), F.col("n_gaps").cast("string"), F.lit(" formulas without a stored value."),
         ),
     ).otherwise("")
     summary = info.select(
@@ -139,8 +138,8 @@ def sheet_blocks(cells: DataFrame, headers: DataFrame) -> DataFrame:
         F.concat(ref, F.lit("!A1:"), last, F.col("n_rows").cast("string")).alias("anchor"),
         F.lit("sheet").alias("kind"),
         F.concat(
-            F.lit("Sheet "), F.col("sheet"), F.lit(": "), F.col("n_data").cast("string"), F.lit(" data rows x "),
-            F.size("names").cast("string"), F.lit(" columns"), where, F.lit(". Columns: "),
+            F.col("sheet"), F.lit(" has "), F.col("n_data").cast("string"), F.lit(" rows of data in "),
+            F.size("names").cast("string"), F.lit(" columns"), where, F.lit(": "),
             F.array_join(F.map_values("names"), ", "), F.lit("."), warn,
         ).alias("text"),
     )

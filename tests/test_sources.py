@@ -94,8 +94,8 @@ def test_grid(spark):
     got = {r.anchor: r.text for r in grid.sheet_blocks(c, grid.detect_header(c)).collect()}
     assert got["Main!B5:D5"] == "ID: a1 | col_C: ok | Width: 4.5"
     assert got["Main!A1:D1"] == "Results"
-    assert got["Main!A1:D6"].startswith("Sheet Main: 2 data rows x 3 columns; header on row 4. Columns: ID, col_C, Width. WARNING: 1 formula")
-    assert got["'My notes'!A1:A2"].endswith("no header row detected. Columns: col_A.")
+    assert got["Main!A1:D6"].startswith("Main has 2 rows of data in 3 columns, header in row 4: ID, col_C, Width. Not calculated yet: 1 formula")
+    assert got["'My notes'!A1:A2"].endswith("without a header row: col_A.")
 
 
 def test_infer_types(spark):
@@ -107,9 +107,9 @@ def test_infer_types(spark):
 
     num = [(str(i), "i") for i in range(18)]
     assert column(num)[0] == "BIGINT"
-    assert column([*num, ("1.5", "f"), ("soon", "s")]) == ("DOUBLE", "1 non-numeric value(s) stored as NULL: 'soon'")
+    assert column([*num, ("1.5", "f"), ("soon", "s")]) == ("DOUBLE", "no number, left empty: 1 values such as 'soon'")
     assert column([*num, ("true", "b"), ("n/a", "s")]) == (
-        "DOUBLE", "1 placeholder value(s) 'n/a' stored as NULL; 1 non-numeric value(s) stored as NULL: ",
+        "DOUBLE", "read as missing: 1 times 'n/a'; no number, left empty: 1 values such as ",
     )
     assert column([("true", "b")])[0] == "BOOLEAN"
     assert column([("-", "s"), (None, None)])[0] == "VARCHAR"
