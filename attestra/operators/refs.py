@@ -166,11 +166,42 @@ def within_budget(lines: DataFrame, by: list[str], order: list[str], text: str,
     return used.filter(F.col("used") <= n).drop("_rn")
 
 
-def read_refs(refs: DataFrame, docs: DataFrame, blocks: DataFrame, context: int = 0, max_chars: int = 8000) -> DataFrame:
-    """(ref, text, cut): what a reader sees, with neighbours, section lines where they change, marked headings.
+CALC_REF = r"^calc:\d+$"
+CALC_ROWS = 25
 
-    The output of a ref is cut at ``max_chars``, so at most that many lines of it are gathered.
+
+def read_refs(
+    refs: DataFrame, docs: DataFrame, blocks: DataFrame, context: int = 0, max_chars: int = 8000, results: DataFrame | None = None, rows: DataFrame | None = None
+) -> DataFrame:
+    """(ref, text, cut) for every ref that is asked: what a reader sees, or why there is nothing to see.
+
+    Blocks come with neighbours, section lines where they change and marked headings; a saved result (``results``:
+    result_id, sql, source_files; ``rows``: result_id, row_no, row_json) with its SQL, its files and its first rows; a dead or
+    malformed ref with the reason. The output of a ref is cut at ``max_chars``, so at most that many lines are gathered.
     """
+    asked = refs.select("ref").distinct()
+    calc = F.col("ref").rlike(CALC_REF)
+    placed = asked.filter(~calc)
+    dead = unresolved(placed, docs, blocks).select("ref", F.concat(F.lit("(unresolved: "), "reason", F.lit(")")).alias("text"), F.lit(False).alias("cut"))
+    out = _read_blocks(placed, docs, blocks, context, max_chars).unionByName(dead.distinct())
+    return out.unionByName(_read_results(asked.filter(calc), results, rows, max_chars))
+
+
+def _read_results(asked: DataFrame, results: DataFrame | None, rows: DataFrame | None, max_chars: int) -> DataFrame:
+    none = F.lit("(unresolved: no such result)")
+    if results is None or rows is None:
+        return asked.select("ref", none.alias("text"), F.lit(False).alias("cut"))
+    named = asked.withColumn("result_id", F.substring_index("ref", ":", -1).try_cast("long"))
+    first = rows.filter(F.col("row_no") <= CALC_ROWS).join(named.select("result_id").distinct(), "result_id", "left_semi")
+    shown = first.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "row_json"))).alias("r"))
+    known = named.join(results.select("result_id", "sql", "source_files"), "result_id", "left").join(shown, "result_id", "left")
+    lines = F.array_join(F.transform(F.coalesce("r", F.array().cast("array<struct<row_no:bigint,row_json:string>>")), lambda x: x["row_json"]), "\n")
+    body = F.concat(F.lit("SQL: "), "sql", F.lit("\nFiles: "), F.array_join("source_files", ", "), F.lit("\n"), lines)
+    cut = known.select("ref", truncate_text(F.coalesce(body, none), max_chars).alias("t"))
+    return cut.select("ref", F.col("t.text").alias("text"), F.col("t.cut").alias("cut"))
+
+
+def _read_blocks(refs: DataFrame, docs: DataFrame, blocks: DataFrame, context: int, max_chars: int) -> DataFrame:
     at = resolve_refs(refs, docs, blocks)
     spans = at.groupBy("ref", "doc_id").agg(
         (F.min("seq") - context).cast("long").alias("lo"), (F.max("seq") + context).cast("long").alias("hi")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from attestra.functions.anchors import parse_ref
 from attestra.operators import refs as R
 from attestra.operators.chunks import make_chunks
+from attestra.operators.results import result_rows
 from attestra.plans.derived import LINES_SQL, part_cells, sectioned
 from attestra.plans.registry import register
 from attestra.plans.source_queries import UNESC, _block_sql
@@ -177,13 +178,22 @@ def unresolved_refs(spark, d):
     e as (select doc_id from b where ln = 2)
     select ref, md5(string_agg('[' || anchor || '] ' || text, chr(10) order by ln)) as body from t join e using (doc_id) join b using (doc_id)
     where ln between 1 and 3 group by 1
+    union all select ref, md5('(unresolved: anchor not found)') from t where doc_id not in (select doc_id from e)
+    union all select 'Doc ' || doc_id, md5('(unresolved: malformed)') from documents where doc_id % 5 = 0
+    union all select 'calc:' || n_nationkey, case when n_nationkey = 7 then md5('SQL: select n_name from nation' || chr(10) || 'Files: data/nation.parquet' || chr(10)
+        || (select string_agg('{{"n_name":"' || n_name || '"}}', chr(10) order by n_name) from nation)) else md5('(unresolved: no such result)') end from nation
     """,
 )
 def read_context(spark, d):
-    """The second line of every document with one line around it."""
+    """The second line of every document with one line around it, refs that are dead or malformed, and saved results."""
     rows = doc_rows(spark, d)
+    nation = load(spark, d, "nation")
     refs = rows.select(F.concat("doc_id", F.lit("#L2")).alias("ref"))
-    read = R.read_refs(refs, rows, line_blocks(spark, d), context=1, max_chars=1000000)
+    refs = refs.unionByName(load(spark, d, "documents").filter("doc_id % 5 = 0").select(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("ref")))
+    refs = refs.unionByName(nation.select(F.concat(F.lit("calc:"), F.col("n_nationkey").cast("string")).alias("ref")))
+    saved = result_rows(nation.select("n_name"), ["n_name"]).withColumn("result_id", F.lit(7))
+    info = spark.range(1).select(F.lit(7).alias("result_id"), F.lit("select n_name from nation").alias("sql"), F.array(F.lit("data/nation.parquet")).alias("source_files"))
+    read = R.read_refs(refs, rows, line_blocks(spark, d), context=1, max_chars=1000000, results=info, rows=saved)
     return read.select("ref", F.md5("text").alias("body"))
 
 

@@ -159,7 +159,7 @@ SAVED = "select o_orderkey, o_custkey, o_orderstatus, o_orderdate from orders wh
     """
     with s as (select *, row_number() over (order by o_orderdate desc, o_orderkey) as row_no, count(*) over () as row_count from orders where o_orderstatus <> 'P')
     select 1 as result_id, row_count, 'orders' as tables, false as more, row_no, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey ||
-      ',"o_orderstatus":"' || o_orderstatus || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}' as row_json from s
+      ',"o_orderstatus":"' || o_orderstatus || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '"}' as row_json from s
     """,
 )
 def save_result(spark, d):

@@ -210,7 +210,20 @@ def section_path(spark, d):
     return B.with_sections(titled, "doc_id", "ln", "level", "title").select("doc_id", "ln", "section")
 
 
-@register("split_long")
+@register(
+    "split_long",
+    """
+    with recursive s as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+    l as (select doc_id, generate_subscripts(ls, 1) as seq, length(unnest(ls)) as n from s where length(text) > 3000),
+    p(doc_id, seq, start, size, n) as (
+      select doc_id, seq, seq, n + 1, n from l where seq = 1
+      union all select l.doc_id, l.seq, case when p.size + l.n > 1500 then l.seq else p.start end, case when p.size + l.n > 1500 then 0 else p.size end + l.n + 1, l.n
+      from p join l on l.doc_id = p.doc_id and l.seq = p.seq + 1),
+    g as (select doc_id, start, sum(n) + count(*) - 1 as n_chars from p group by 1, 2)
+    select doc_id, (row_number() over (partition by doc_id order by start))::int as part, (count(*) over (partition by doc_id))::int as n_parts, n_chars::int as n_chars from g
+    union all select doc_id, 1, 1, length(text)::int from documents where length(text) <= 3000
+    """,
+)
 def split_long_pages(spark, d):
     parts = split_long(load(spark, d, "documents"), "doc_id", "text")
     return parts.select("doc_id", "part", "n_parts", F.length("text").alias("n_chars"))

@@ -105,7 +105,17 @@ def checked(spark, d):
 V_SQL = "with p as (select p_partkey // 10 as draft_id, p_partkey % 12 as v, p_partkey % 10 as n, p_partkey as k, * from part), "
 
 
-@register("parse_citations")
+@register(
+    "parse_citations",
+    V_SQL + """c as (select draft_id, k, v, unnest(case when v = 10 then [1, 2] else [1] end) as i from p where v not in (2, 6)),
+    r as (select draft_id, k, v, i, case when v = 4 then 'nope-1#R1' when v = 5 then 'parts-' || k // 100 || '#R9999' when v = 11 then 'parts-' || k // 100
+        when v = 9 then 'calc:' || regexp_extract((select p_brand from part where p_partkey = k), '(\\d+)$', 1) else 'parts-' || k // 100 || '#R' || (k % 100 + 1) end as ref,
+      case when v = 3 then 'name: golden ' || (select p_name from part where p_partkey = k)
+        when v = 10 and i = 1 then 'NAME: ' || (select p_name from part where p_partkey = k) || ' … price' end as quote from c)
+    select draft_id, (row_number() over (partition by draft_id order by k, i) - 1)::int as pos, case when v <> 8 then ref end as ref, quote,
+      case when i = 2 then '@' else '' end || ref || case when quote is not null then ' "' || quote || '"' when v = 8 then ' oops' else '' end as item, v <> 8 as ok from r
+    """,
+)
 def parse_citations(spark, d):
     rows = part_drafts(spark, d).select("draft_id", F.posexplode(C.parse_citations(F.col("text"))).alias("pos", "c"))
     return rows.select("draft_id", "pos", "c.ref", "c.quote", "c.item", "c.ok")
@@ -156,7 +166,13 @@ def exempt_units(spark, d):
     return rows.select("conv_id", "turn", V.is_exempt(F.col("t")).alias("exempt"))
 
 
-@register("split_sentences")
+@register(
+    "split_sentences",
+    r"""
+    select doc_id, case when starts_with(text, '|') then 1 else len(list_filter(string_split(
+      regexp_replace(text, '([.!?])[\s\x0b\x1c-\x1f\x85\pZ]+(["“(\[A-Z0-9À-Ỹ*_])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)) <> ''))::int end as n_sentences from documents
+    """,
+)
 def split_sentences(spark, d):
     docs = load(spark, d, "documents")
     return docs.select("doc_id", F.size(C.split_sentences(F.col("text"))).alias("n_sentences"))
