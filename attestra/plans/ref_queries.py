@@ -9,6 +9,7 @@ from attestra.operators.results import result_rows
 from attestra.plans.derived import LINES_SQL, part_cells, sectioned
 from attestra.plans.registry import register
 from attestra.plans.source_queries import UNESC, _block_sql
+from attestra.plans.table_queries import CHUNKS_SQL
 from attestra.session import durable, load
 from attestra.sources import blocks as B
 from attestra.sources import grid, html
@@ -253,7 +254,7 @@ def corpus_stats(spark, d):
     )
 
 
-@register("chunk_stats")
+@register("chunk_stats", CHUNKS_SQL + "select doc_id, count(*) as n_chunks, max(n_chars) as longest from c group by 1")
 def chunk_stats(spark, d):
     """Sizes of the chunks of sectioned documents."""
     chunks = make_chunks(B.segment_text(sectioned(spark, d)))

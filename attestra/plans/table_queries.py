@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from attestra.functions.text import sql_ident
 from attestra.operators import chunks as C
 from attestra.operators import typed as T
-from attestra.plans.derived import PART_CELLS_SQL, part_cells, sectioned
+from attestra.plans.derived import SECTIONED_SQL, PART_CELLS_SQL, part_cells, sectioned
 from attestra.plans.registry import register
 from attestra.plans.text_functions import ident_sql
 from attestra.session import load
@@ -166,7 +166,26 @@ def series_to_wide(spark, d):
     return T.series_to_wide(points, "category", "l_returnflag", "q", ["A", "N", "R"])
 
 
-@register("make_chunks")
+CHUNKS_SQL = f"""
+    with recursive l as (select doc_id, unnest(string_split({SECTIONED_SQL}, chr(10))) as line,
+                 generate_subscripts(string_split({SECTIONED_SQL}, chr(10)), 1) as ln from documents),
+    f as (select *, regexp_matches(line, '^#{{1,6}}\\s+') as h, trim(line) = '' as blank from l),
+    g as (select *, coalesce(lag(h or blank) over w, true) or h as opens from f window w as (partition by doc_id order by ln)),
+    k as (select *, sum(case when opens and not blank then 1 else 0 end) over (partition by doc_id order by ln) as b from g),
+    t as (select doc_id, b, min(ln) as lo, max(ln) as hi, bool_or(h) as h,
+            trim(string_agg(line, chr(10) order by ln), ' ' || chr(10) || chr(9)) as body from k where not blank group by 1, 2),
+    o as (select doc_id, b - 1 as seq, lo, hi, h, row_number() over (partition by doc_id order by b) as i,
+            length(case when h then trim(regexp_replace(regexp_replace(body, '^#+\\s+', ''), '\\s*#*\\s*$', '')) else body end) as n from t where body <> ''),
+    p(doc_id, i, seq, lo, hi, n, start, size) as (
+      select doc_id, i, seq, lo, hi, n, i, n + 1 from o where i = 1
+      union all select o.doc_id, o.i, o.seq, o.lo, o.hi, o.n, case when o.h or p.size + o.n > 1800 then o.i else p.start end, case when o.h or p.size + o.n > 1800 then 0 else p.size end + o.n + 1
+      from p join o on o.doc_id = p.doc_id and o.i = p.i + 1),
+    c as (select doc_id, min(seq)::bigint as first_seq, max(seq)::bigint as last_seq, case when min(lo) = max(hi) then 'L' || min(lo) else 'L' || min(lo) || '-L' || max(hi) end as anchor,
+            (sum(n) + count(*) - 1)::int as n_chars from p group by doc_id, start)
+"""
+
+
+@register("make_chunks", CHUNKS_SQL + "select * from c")
 def make_chunks(spark, d):
     docs = sectioned(spark, d)
     blocks = B.segment_text(docs)
