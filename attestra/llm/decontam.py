@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm.line_dedup import sent
 from attestra.llm.url_filter import LOWER, UPPER
 from attestra.session import durable
 
@@ -83,7 +84,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, span: int = SP
     met = moved.join(second, ["_id", "_t", "term2", "pos2"], "left_semi").select("_id", "_t", "pos", "term", "term2", "step").distinct()
     placed = met.join(terms.withColumn("step", F.col("at2") - F.col("at")), ["term", "term2", "step"])
     places = placed.groupBy("_id", "_t").agg(F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("start"), "n", "win")).alias("places"))
-    found = keyed.join(durable(places), ["_id", "_t"]).select("_id", "_t", "places", word_list("_text").alias("w"))
+    places = durable(places)
+    asked = places.select("_id", "_t")
+    texts = keyed.join(sent(asked, asked.count()), ["_id", "_t"], "left_semi")  # only these texts may travel
+    found = texts.join(places, ["_id", "_t"]).select("_id", "_t", "places", word_list("_text").alias("w"))
     if slop:
         first = lambda p: F.greatest(p["start"] - slop, F.lit(0))
         stretch = lambda p: F.slice(F.col("w"), first(p) + 1, p["start"] + p["n"] + slop - first(p))
@@ -121,6 +125,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contaminated_words(docs, benchmark).select("_id", "_t", "n_hit")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "doc_id", "text")
     rows = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_t"))
-    rows = rows.join(found, ["_id", "_t"], "left")
+    found = durable(found)
+    rows = rows.join(sent(found, found.count()), ["_id", "_t"], "left")
     bad = F.col("n_hit").isNotNull() & (SHARE * F.col("n_hit") >= F.size(word_list("_row.text")))
     return rows.filter(~bad).select("_row.*")
