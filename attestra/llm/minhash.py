@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.llm.components import components
+from attestra.llm.line_dedup import sent
 from attestra.session import durable
 
 TABLES, ROWS = 16, 3
@@ -154,7 +155,8 @@ def _in_two(df: DataFrame, key: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    found = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).join(wanted, "rep", "left_semi")
+    wanted = durable(wanted)
+    found = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).join(sent(wanted, wanted.count()), "rep", "left_semi")
     return found.select("rep", full_set("_text", width).alias("set")).withColumn("n", F.size("set"))
 
 
