@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 REF = r"^([a-z0-9][a-z0-9._-]*)(?:#(.+))?$"
 CELLS = r"^('(?:[^']|'')+'|[^!]+)!\$?([A-Z]{1,3})\$?(\d+)(?::\$?([A-Z]{1,3})\$?(\d+))?$"
 LINES = r"^([LR])(\d+)(?:-([LR])(\d+))?$"
-CALC = r"^calc:(\d+)$"
 
 
 def parse_ref(c: Column) -> Column:

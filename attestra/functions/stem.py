@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -97,5 +98,11 @@ def porter(word: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def stem(tokens: pd.Series) -> pd.Series:
-    return tokens.map(porter)
+def _stem_words(words: pd.Series) -> pd.Series:
+    return words.map(porter, na_action="ignore")
+
+
+def stem(tokens: Column) -> Column:
+    """Stems of tokens. Only words of three and more letters a-z have suffixes; numbers, codes and the like stay in the JVM."""
+    word = tokens.rlike("^[a-z]{3,}$")
+    return F.when(word, _stem_words(F.when(word, tokens))).otherwise(tokens)

@@ -22,12 +22,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path") -> DataFram
 
 
 def hash_confirm(diff: DataFrame, old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
-    """Modified files whose content digest is the same were only touched."""
-    o = old.select(key, F.col("sha256").alias("_oh"))
-    n = new.select(key, F.col("sha256").alias("_nh"))
-    both = diff.join(o, key, "left").join(n, key, "left")
+    """Modified files whose content digest is the same were only touched. One shuffle brings a file's three rows together."""
+    none = F.lit(None).cast("string")
+    rows = diff.select(key, "status", none.alias("_oh"), none.alias("_nh"))
+    rows = rows.unionByName(old.select(key, none.alias("status"), F.col("sha256").cast("string").alias("_oh"), none.alias("_nh")))
+    rows = rows.unionByName(new.select(key, none.alias("status"), none.alias("_oh"), F.col("sha256").cast("string").alias("_nh")))
+    both = rows.groupBy(key).agg(*(F.max(c).alias(c) for c in ("status", "_oh", "_nh"))).filter("status is not null")
     same = (F.col("status") == "modified") & (F.col("_oh") == F.col("_nh"))
-    return both.select(key, F.when(same, "touched").otherwise(F.col("status")).alias("status"))
+    return both.select(key, F.when(F.coalesce(same, F.lit(False)), "touched").otherwise(F.col("status")).alias("status"))
 
 
 def apply_changes(state: DataFrame, fresh: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFrame:

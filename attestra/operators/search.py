@@ -85,13 +85,16 @@ def query_tokens(terms: DataFrame) -> DataFrame:
 def near_occurrences(occurrences: DataFrame, qtokens: DataFrame, stemmed: bool) -> DataFrame:
     """Occurrences a search may need: of its very tokens or, when stemming, of tokens with the same first letters.
 
-    A stem and its words share their first two letters. What is left is written once; vocabulary,
-    term rarity and scores all read it from there, so the corpus is not tokenised again for each.
+    A word starts with its stem without the stem's last letter: stems of three letters and more share the first two
+    with their words, shorter ones the first. What is left is written once; vocabulary, term rarity and
+    scores all read it from there, so the corpus is not tokenised again for each.
     """
     if not stemmed:
         return durable(occurrences.join(qtokens.select("token").distinct(), "token", "left_semi"))
-    start = F.substring("token", 1, 2)
-    starts = qtokens.select(start.alias("start")).distinct()
+    asked = qtokens.select("token").distinct().withColumn("stem", stem(F.col("token")))
+    brief = [r[0] for r in asked.filter(F.length("stem") < 3).select(F.substring("stem", 1, 1)).distinct().collect()]  # single letters
+    start = F.when(F.substring("token", 1, 1).isin(brief), F.substring("token", 1, 1)).otherwise(F.substring("token", 1, 2))
+    starts = asked.select(start.alias("start")).distinct()
     near = occurrences.withColumn("start", start).join(starts, "start", "left_semi").drop("start")
     return durable(near.select("token", "chunk_id", "n_tokens", "field", "pos"))
 

@@ -90,11 +90,5 @@ def delimited_blocks(rows: DataFrame, section: Column | None = None) -> DataFram
     )
 
 
-def delimited_cells(rows: DataFrame) -> DataFrame:
-    """The same records as cells for typed loading."""
-    cells = rows.select("doc_id", "r", F.posexplode("fitted").alias("c", "v"))
-    return cells.select("doc_id", "r", (F.col("c") + 1).alias("c"), "v")
-
-
 def empty_files(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return files.filter(strip(F.col(text)) == "").select(F.col(key).alias("doc_id"), F.lit("empty CSV").alias("warning"))

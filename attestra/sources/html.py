@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,12 @@ from attestra.sources.blocks import with_sections
 # fixed values: parts of a page that are not main text, and tags that start a new block
 DROPPED = ["script", "style", "nav", "footer", "aside", "noscript", "template", "svg", "form"]
 BLOCK_TAGS = "p|div|br|section|article|main|header|ul|ol|table|thead|tbody|blockquote|pre|hr|dl|dt|dd|figure"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
 MARK = "\x01"
 
 
 def unescape(c: Column) -> Column:
-    """Named entities of the fixed list and all numeric ones."""
+    """Numeric character references and the named ones of HTML; unknown names stay as they are."""
     rx = r"&#(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});"
     codes = F.regexp_extract_all(c, F.lit(rx), F.lit(1))
     char = lambda n: F.when(
@@ -28,9 +30,11 @@ def unescape(c: Column) -> Column:
         F.flatten(F.zip_with(F.split(c, rx), chars, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""
     )
     out = F.when(c.contains("&#"), joined).otherwise(c)
-    for name, ch in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(ch))
-    return out
+    named = r"&([A-Za-z][A-Za-z0-9]{1,30});"
+    known = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+    shown = F.transform(F.regexp_extract_all(out, F.lit(named), F.lit(1)), lambda n: F.coalesce(F.try_element_at(known, n), F.concat(F.lit("&"), n, F.lit(";"))))
+    words = F.array_join(F.flatten(F.zip_with(F.split(out, named), shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(out.rlike(named), words).otherwise(out)
 
 
 def html_title(html: Column) -> Column:

@@ -85,3 +85,44 @@ def test_extreme_numbers_as_text(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double").select(N.format_value(F.col("x"), "double").alias("t"))
     got = [r["t"] for r in df.collect()]
     assert [float(t) for t in got[:2]] == values[:2] and got[2:6] == ["nan", "inf", "0.1", "148250"] and [float(t) for t in got[6:]] == values[6:]
+
+
+def test_words_start_with_their_stem_but_its_last_letter():
+    import itertools
+
+    from attestra.functions.stem import porter
+
+    parts = ["", "a", "t", "go", "cat", "hop", "trad", "relat", "y", "ies", "ing", "ed", "s", "ational", "iveness", "ation", "fulli", "ee", "ll"]
+    for bits in itertools.product(parts, repeat=3):
+        word = "".join(bits)
+        if len(word) > 2:
+            assert word.startswith(porter(word)[:-1]), word
+
+
+def test_stems_of_what_is_no_word(spark):
+    from attestra.functions.stem import stem
+
+    df = spark.createDataFrame([("running",), ("2024s",), ("as",), ("été",), (None,)], "t string")
+    assert [r[0] for r in df.select(stem(F.col("t"))).collect()] == ["run", "2024s", "as", "été", None]
+
+
+def test_character_references(spark):
+    from attestra.sources.html import unescape
+
+    texts = ["caf&eacute; &mdash; 5&euro;&hellip; &amp;lt; &#233;&#xe9;", "a &unknown; b&nbsp;c &", None, "&copy;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(unescape(F.col("t")))
+    assert [r[0] for r in df.collect()] == ["café — 5€… &lt; éé", "a &unknown; b c &", None, "©"]
+
+
+def test_every_asked_reference_is_answered(spark):
+    from attestra.operators.refs import read_refs
+
+    docs = spark.createDataFrame([("a", "A", "a.md", "md")], "doc_id string, title string, path string, doc_type string")
+    blocks = spark.createDataFrame([("a", 0, "L1", "para", "", "one", 1)], "doc_id string, seq int, anchor string, kind string, section string, text string, level int")
+    asked = spark.createDataFrame([("a#L1",), ("a#L9",), ("b#L1",), ("Bad Ref",), ("calc:1",), ("calc:2",)], "ref string")
+    results = spark.createDataFrame([(1, "select 1", ["t.csv"])], "result_id int, sql string, source_files array<string>")
+    rows = spark.createDataFrame([(1, i, f'{{"n":{i}}}') for i in range(1, 40)], "result_id int, row_no int, row_json string")
+    got = {r["ref"]: r["text"] for r in read_refs(asked, docs, blocks, results=results, rows=rows).collect()}
+    assert set(got) == {r["ref"] for r in asked.collect()}
+    assert got["a#L1"] == "[L1] one" and got["a#L9"] == "(unresolved: anchor not found)" and got["calc:2"] == "(unresolved: no such result)"
+    assert got["calc:1"].startswith('SQL: select 1\nFiles: t.csv\n{"n":1}\n') and got["calc:1"].endswith('{"n":25}')
