@@ -78,11 +78,12 @@ class WaveletMatrix:
     @staticmethod
     def pack(ids: np.ndarray, bits: int) -> list[bytes]:
         """Planes from the highest bit on; each reorders the sequence, zeros first."""
-        planes, now = [], ids
+        planes, now, kind = [], ids, ids.dtype.type
         for b in reversed(range(bits)):
-            ones = (now >> np.uint32(b) & np.uint32(1)).astype(bool)
+            ones = (now & kind(1 << b)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little").tobytes())
-            now = np.concatenate([now[~ones], now[ones]])
+            if b:
+                now = np.concatenate([now[~ones], now[ones]])
         return planes
 
     def all(self) -> np.ndarray:
@@ -183,12 +184,13 @@ class Encoder:
             known.clear()
         cut = [spaced(normalised(t)) if t and "<|" not in t else None for t in texts]
         new: set[str] = set()
-        for chunks in cut:
-            if chunks:
-                for c in set(chunks).difference(known):
-                    new.update((c[:-1], c[-1]) if _ends_plain(c) else (c,))
-        new.difference_update(known)
-        asked = list(new)
+        for c in set().union(*filter(None, cut)).difference(known):
+            if _ends_plain(c):
+                new.add(c[:-1])
+                new.add(c[-1])
+            else:
+                new.add(c)
+        asked = [c for c in new if c not in known]
         for c, e in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False)):
             known[c] = array("I", e.ids).tobytes()
         find = known.get
