@@ -194,7 +194,17 @@ def pin_blocks(spark, d):
     return pinned.select(F.col("chunk_id").alias("doc_id"), "seq", "anchor", F.col("n").cast("int").alias("n"))
 
 
-@register("snippet")
+@register(
+    "snippet",
+    r"""
+    with d as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as p from documents where regexp_matches(text, '(?i)\b(license|version)\b')),
+    h as (select *, list_transform(p, lambda x: case when regexp_matches(lower(x), '(^|[^a-z0-9])(license|version)($|[^a-z0-9])') then 1 else 0 end) as f from d),
+    c as (select *, list_transform(range(1, greatest(len(p) - 27, 1) + 1), lambda s: list_sum(f[s : s + 27])) as n from h),
+    b as (select *, list_position(n, list_max(n)) as best from c)
+    select doc_id, case when best > 1 then '… ' else '' end || array_to_string(list_transform(range(best, least(best + 28, len(p) + 1)),
+      lambda i: case when f[i] = 1 then '«' || p[i] || '»' else p[i] end), ' ') || case when best + 27 < len(p) then ' …' else '' end as snippet from b
+    """,
+)
 def snippet(spark, d):
     docs = load(spark, d, "documents").filter(F.col("text").rlike(r"(?iu)\b(license|version)\b"))
     words = F.array(F.lit("license"), F.lit("version"))

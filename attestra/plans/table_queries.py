@@ -37,16 +37,16 @@ def coerce_cell(spark, d):
     return out.select("l_orderkey", "l_linenumber", money.alias("v"), F.col("x.kind").alias("kind"))
 
 
-@register(
-    "infer_types",
-    f"""
+TYPES_SQL = f"""
     select doc_id, sheet, c, case c when 2 then 'BIGINT' when 5 then 'DOUBLE' when 6 then 'DOUBLE' else 'VARCHAR' end as type,
       count_if(v is not null and not (kind = 's' and lower(trim(v)) in ('', 'n/a')))::bigint as n,
       case when c = 5 and count_if(v = 'n/a') > 0 then 'read as missing: ' || count_if(v = 'n/a') || ' times ''n/a'''
         when c = 6 then 'no number, left empty: ' || count_if(kind = 's') || ' values such as ''on request''' else '' end as notes
     from {PART_CELLS_SQL} where r between 5 and 404 and c <= 7 group by doc_id, sheet, c
-    """.replace("when 5 then 'DOUBLE'", "when 5 then 'BIGINT'"),
-)
+    """.replace("when 5 then 'DOUBLE'", "when 5 then 'BIGINT'")
+
+
+@register("infer_types", TYPES_SQL)
 def infer_types(spark, d):
     body = part_cells(spark, d).filter("r between 5 and 404 and c <= 7")
     return T.infer_types(body)
@@ -115,7 +115,17 @@ def table_names(spark, d):
     return T.table_names(tables).select("table_no", "table_name")
 
 
-@register("catalog")
+@register(
+    "catalog",
+    f"""
+    with y as ({TYPES_SQL}),
+    n as (select doc_id, sheet, count(distinct r) as n_rows from {PART_CELLS_SQL} where r between 5 and 404 and c <= 7 group by 1, 2)
+    select doc_id || '__' || lower(replace(sheet, ' ', '_')) as table_name, 'data/' || doc_id || '.xlsx' as path, n_rows,
+      'part_key bigint ("Part key"), name varchar ("Name"), brand varchar ("Brand"), size bigint ("Size"), retail_price double ("Retail price"), note varchar ("Note")' as columns,
+      coalesce((select string_agg(case c when 5 then 'size: ' else 'retail_price: ' end || y.notes, '; ' order by c desc) from y
+        where y.doc_id = n.doc_id and y.sheet = n.sheet and y.notes <> ''), '') as notes from n
+    """,
+)
 def catalog(spark, d):
     """The workbooks of parts as a table catalog, searched by name."""
     cells = part_cells(spark, d)
@@ -193,7 +203,22 @@ def make_chunks(spark, d):
     return chunks.select("doc_id", "first_seq", "last_seq", "anchor", F.length("text").alias("n_chars"))
 
 
-@register("assign_doc_ids")
+@register(
+    "assign_doc_ids",
+    r"""
+    with f as (select distinct regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/$', '.html') as path from pages),
+    held as (select '4-' || n_nationkey as id from nation union select '144'),
+    s as (select path, regexp_replace(regexp_extract(path, '[^/]+$'), '[.][^.]+$', '') as base, string_split(path, '/')[-2] as parent from f),
+    r as (select *, row_number() over (partition by base order by path) + (base in (select id from held))::int as nth from s),
+    taken as (select id from held union select base from r where nth = 1),
+    w as (select *, base || '-' || parent as want, row_number() over (partition by base || '-' || parent order by path) as k from r where nth > 1),
+    second as (select path, want as id from w where k = 1 and want not in (select id from taken)),
+    left_over as (select path, base, row_number() over (partition by base order by path) as j from w where path not in (select path from second)),
+    free as (select base, base || '-' || n as id, row_number() over (partition by base order by n) as j from (select distinct base from left_over), range(2, 400) t(n)
+      where base || '-' || n not in (select id from taken union all select id from second))
+    select path, base as doc_id from r where nth = 1 union all select path, id from second union all select path, id from left_over join free using (base, j)
+    """,
+)
 def assign_doc_ids(spark, d):
     """Page addresses as file paths; ids of one host's pages are held already."""
     pages = load(spark, d, "pages")

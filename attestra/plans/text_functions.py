@@ -221,6 +221,27 @@ def word_numbers(spark, d):
     )
 
 
+@register("sql_literals", "select s_suppkey, 3 as n, s_suppkey + s_nationkey + 7.5::double as total from supplier")
+def sql_literals(spark, d):
+    """The numbers a query text states; digits in names and in quotes are none."""
+    s = load(spark, d, "supplier")
+    text = F.concat(F.lit("select v1 from t2 where a > "), F.col("s_suppkey").cast("string"), F.lit(" and b in ("), F.col("s_nationkey").cast("string"), F.lit(", 7.5) and c = '9'"))
+    found = s.select("s_suppkey", N.sql_numbers(text).alias("v"))
+    return found.select("s_suppkey", F.size("v").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@register(
+    "evidence_values",
+    "select p_partkey, 2 as n, round(p_retailprice, 2) as price, 7.0::double as word from part",
+)
+def evidence_values(spark, d):
+    """A figure and a spelled-out number as evidence."""
+    part = load(spark, d, "part")
+    text = F.concat(F.lit("Each of the crates costs $"), F.format_number("p_retailprice", 2), F.lit(" and holds seven boxes"))
+    found = part.select("p_partkey", N.evidence_numbers(text).alias("v"))
+    return found.select("p_partkey", F.size("v").alias("n"), F.round(F.get("v", F.lit(0)), 2).alias("price"), F.get("v", F.lit(1)).alias("word"))
+
+
 @register("evidence_numbers")
 def evidence_numbers(spark, d):
     docs = load(spark, d, "documents").select("doc_id", N.evidence_numbers(F.col("text")).alias("v"))
