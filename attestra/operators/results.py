@@ -208,6 +208,7 @@ def save_result(spark: SparkSession, df: DataFrame, order: list, sql: str, table
         strings(used).alias("tables"),
         strings(sorted({tables[t] for t in used})).alias("source_files"),
         strings(df.columns).alias("columns"),
+        strings([f.dataType.typeName() if isinstance(f.dataType, NumericType) else "text" for f in df.schema.fields]).alias("types"),
         F.lit(total).cast("long").alias("row_count"),
         F.lit(total > saved).alias("more"),
     )
@@ -223,41 +224,28 @@ def read_result(spark: SparkSession, folder: str, number: int, shown: int | None
 
 
 def export_results(spark: SparkSession, folder: str, numbers: list[int], out: str) -> DataFrame:
-    """Write every result typed again (ISO text that is a date throughout becomes a date) and return the provenance."""
+    """Write every result typed again (ISO text that is a date throughout becomes a date) and return the provenance.
+
+    The registry tells names and kinds of the columns; one job over all asked results finds the columns of dates. Only
+    these facts, a row for each column, come to the driver; each result is then one write of its own rows.
+    """
     registry = spark.read.parquet(f"{folder}/registry").filter(F.col("result_id").isin(numbers))
-    rows = spark.read.parquet(f"{folder}/rows")
-    for number in numbers:
-        mine = rows.filter(F.col("result_id") == number).select("row_no", "row_json")
-        fields = mine.select(F.explode(F.from_json("row_json", "map<string,variant>")).alias("k", "x"))
-        fields = fields.select("k", F.schema_of_variant("x").alias("kind")).filter("kind <> 'VOID'").groupBy("k")
-        kinds = fields.agg(F.bool_and(~F.col("kind").isin("STRING", "BOOLEAN")).alias("numeric")).collect()
-        numeric = {r["k"] for r in kinds if r["numeric"]}
-        columns = registry.filter(F.col("result_id") == number).first()["columns"]
-        values = F.from_json("row_json", "map<string,string>")
-        wide = mine.select("row_no", values.alias("m")).orderBy("row_no").select(
-            *[F.col("m").getItem(c).cast("double" if c in numeric else "string").alias(c) for c in columns]
-        )
-        typed_dates(wide).write.mode("overwrite").parquet(f"{out}/result_{number}")
+    rows = spark.read.parquet(f"{folder}/rows").filter(F.col("result_id").isin(numbers))
+    known = {r["result_id"]: list(zip(r["columns"], r["types"])) for r in registry.select("result_id", "columns", "types").collect()}
+    cells = F.from_json("row_json", "map<string,string>")
+    values = rows.select("result_id", F.explode(cells).alias("k", "x")).filter("x is not null")
+    iso = F.col("x").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("x").try_cast("date").isNotNull()
+    dates = {(r["result_id"], r["k"]) for r in values.groupBy("result_id", "k").agg(F.bool_and(iso).alias("d")).filter("d").collect()}
+    for number, columns in known.items():
+        kinds = {c: "double" if t != "text" else "date" if (number, c) in dates else "string" for c, t in columns}
+        wide = rows.filter(F.col("result_id") == number).select("row_no", cells.alias("m")).sort("row_no")
+        wide.select(*(F.col("m").getItem(c).cast(kinds[c]).alias(c) for c, _ in columns)).write.mode("overwrite").parquet(f"{out}/result_{number}")
     return registry.select(
         F.concat(F.lit("calc:"), F.col("result_id").cast("string")).alias("result"),
         "created", "row_count", F.array_join("source_files", ", ").alias("source_files"), "sql",
     )
 
 
-def typed_dates(df: DataFrame) -> DataFrame:
-    """Text columns that hold an ISO date or nothing in every row become dates. One pass decides for all."""
-    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    if not text:
-        return df
-    fits = [
-        F.coalesce(F.bool_and(F.col(c).isNull() | (F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col(c).try_cast("date").isNotNull())), F.lit(False))
-        & (F.count(c) > 0)
-        for c in text
-    ]
-    flags = df.agg(*[f.alias(c) for f, c in zip(fits, text)]).first()
-    return df.select(*[F.col(c).cast("date").alias(c) if c in text and flags[c] else F.col(c) for c in df.columns])
-
-
 def chart_data(df: DataFrame, x: str | None = None, ys: list[str] | None = None) -> DataFrame:
     """(x, series, value) of a chart: the first column against all numeric ones unless named; gaps are 0."""
     x = x or df.columns[0]

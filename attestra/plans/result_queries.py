@@ -172,6 +172,26 @@ def save_result(spark, d):
     return rows.join(info, "result_id").select("result_id", "row_count", "tables", "more", "row_no", "row_json")
 
 
+@register(
+    "export_results",
+    """
+    select 'calc:1' as result, (select count(*) from orders) as row_count, o_orderkey as k, o_orderdate::date as day, o_totalprice as v from orders
+    union all select 'calc:2', (select count(*) from nation), n_nationkey, null, n_regionkey::double from nation
+    """,
+)
+def export_results(spark, d):
+    """Two saved results exported with their types and read back beside their provenance."""
+    folder = f"{scratch_folder(spark)}/results-{uuid.uuid4().hex}"
+    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("v"))
+    nation = load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("v"))
+    R.save_result(spark, orders, ["k"], "select * from orders", {"orders": "orders.parquet"}, folder)
+    R.save_result(spark, nation, ["k"], "select * from nation", {"nation": "nation.parquet"}, folder)
+    kept = R.export_results(spark, folder, [1, 2], f"{folder}/out").select("result", "row_count")
+    one = spark.read.parquet(f"{folder}/out/result_1").select(F.lit("calc:1").alias("result"), "k", "day", "v")
+    two = spark.read.parquet(f"{folder}/out/result_2").select(F.lit("calc:2").alias("result"), "k", F.lit(None).cast("date").alias("day"), "v")
+    return one.unionByName(two).join(kept, "result").select("result", "row_count", F.col("k").cast("long").alias("k"), "day", "v")
+
+
 @register(
     "chart_data",
     """

@@ -204,11 +204,13 @@ def borrow_citations(spark, d):
 @register(
     "evidence",
     """
-    with p as (select p_partkey as k, p_partkey // 100 as g, regexp_extract(p_brand, '(\\d+)$', 1) as b from part)
-    select 'parts-' || g || '#R' || (k % 100 + 1) as ref, 1::bigint as n_blocks, true as dated, 'none' as error from p
-    union all select 'parts-' || g, count(*), true, 'none' from p group by g
-    union all select distinct 'calc:' || b, 0, false, 'none' from p
-    union all select 'parts-' || g || '#R101', 0, true, 'Anchor ''R101'' not found in parts-' || g from p group by g
+    with p as (select p_partkey as k, p_partkey // 100 as g, regexp_extract(p_brand, '(\\d+)$', 1) as b, p_brand,
+      'key: ' || p_partkey || ' | name: ' || p_name || ' | brand: ' || p_brand || ' | size: ' || p_size || ' | price: ' || p_retailprice as t from part)
+    select 'parts-' || g || '#R' || (k % 100 + 1) as ref, 1::bigint as n_blocks, true as dated, 'none' as error, md5(t) as body from p
+    union all select 'parts-' || g, count(*), true, 'none', md5(string_agg(t, chr(10) order by k)) from p group by g
+    union all select distinct 'calc:' || b, 0, false, 'none', md5('select p_brand, avg(p_retailprice) from part where p_brand = ''' || p_brand || ''' group by 1' || chr(10) ||
+      'p_brand avg_price | ' || p_brand) from p
+    union all select 'parts-' || g || '#R101', 0, true, 'Anchor ''R101'' not found in parts-' || g, md5('') from p group by g
     """,
 )
 def evidence(spark, d):
@@ -218,7 +220,7 @@ def evidence(spark, d):
     refs = load(spark, d, "part", spread=True).select(F.explode(asked).alias("ref"))
     ev = V.evidence(refs, docs, blocks, heads, rows)
     dated = F.array_contains("numbers", F.lit(20240305.0))
-    return ev.select("ref", "n_blocks", dated.alias("dated"), F.coalesce("error", F.lit("none")).alias("error"))
+    return ev.select("ref", "n_blocks", dated.alias("dated"), F.coalesce("error", F.lit("none")).alias("error"), F.md5("text").alias("body"))
 
 
 @register(
