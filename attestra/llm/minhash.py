@@ -115,17 +115,18 @@ def near_duplicates(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
     classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     classes = durable(classes.filter(F.col("rep") < F.col("last")).select("s1", "s2", "n", "rep"))
     members = some.join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = members.filter(F.col("rep") == F.col("doc_id")).select("rep", "sig")
+    reps = members.filter(F.col("rep") == F.col("doc_id")).select("rep", F.col("n").cast("int").alias("n"), "sig")
     keys = _table_keys(reps)
     sets = durable(_sets(docs, keys.select("rep").distinct(), width, doc_id, text))
     # 3. stars
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"))
-    stars = keys.join(hubs, "key").filter(F.col("rep") != F.col("hub"))
-    links = durable(_similar(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), sets))
+    hubs = keys.groupBy("key").agg(F.min("rep").alias("b"), F.min_by("n", "rep").alias("m"))
+    stars = keys.join(hubs, "key").filter(F.col("rep") != F.col("b"))
+    links = durable(_similar(stars.select(F.col("rep").alias("a"), "n", "b", "m"), sets))
     labels = durable(components(links))
     # 4. what stars leave open: once more with other hubs, then exactly
-    for open_pairs in (_other_stars, _open_pairs):
-        found = durable(_similar(open_pairs(keys, labels, sets), sets))
+    for salt in (1, 2, None):
+        rest = _open_pairs(keys, labels, sets) if salt is None else _other_stars(keys, labels, salt)
+        found = durable(_similar(rest, sets))
         if not found.isEmpty():
             links = links.union(found)
             labels = durable(components(links))
@@ -137,15 +138,15 @@ def near_duplicates(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
 
 
 def _table_keys(reps: DataFrame) -> DataFrame:
-    """``rep, key``: the combined keys that at least two classes have."""
-    own = reps.select("rep", F.posexplode("sig").alias("slot", "s")).select("rep", (F.col("slot") < TABLES).alias("first"), "s")
+    """``rep, n, key``: the combined keys that at least two classes have."""
+    own = reps.select("rep", "n", F.posexplode("sig").alias("slot", "s")).select("rep", "n", (F.col("slot") < TABLES).alias("first"), "s")
     shared = _in_two(own, "s")
-    shared = own.join(shared, "s").groupBy("rep").agg(
+    shared = own.join(shared, "s").groupBy("rep", "n").agg(
         F.collect_set(F.when(F.col("first"), F.col("s"))).alias("u"), F.collect_set(F.when(~F.col("first"), F.col("s"))).alias("v")
     )
-    pairs = shared.select("rep", F.explode("u").alias("x"), "v").select("rep", "x", F.explode("v").alias("y"))
-    keys = durable(pairs.select("rep", F.xxhash64("x", "y").alias("key")))
-    return durable(keys.join(_in_two(keys, "key"), "key").select("rep", "key"))
+    pairs = shared.select("rep", "n", F.explode("u").alias("x"), "v").select("rep", "n", "x", F.explode("v").alias("y"))
+    keys = durable(pairs.select("rep", "n", F.xxhash64("x", "y").alias("key")))
+    return durable(keys.join(_in_two(keys, "key"), "key").select("rep", "n", "key"))
 
 
 def _in_two(df: DataFrame, key: str) -> DataFrame:
@@ -161,29 +162,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough. Sizes are compared before the sets are fetched."""
-    sizes = sets.select("rep", "n")
-    near = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b")
+    """The pairs ``a, b`` (with sizes ``n, m``) whose full sets are similar enough. Sizes are compared before the sets are fetched."""
+    near = pairs.filter(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")).select("a", "b").distinct()
     near = near.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return near.filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def _in_mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, rep, label`` of the groups that hold more than one component."""
+    """``key, rep, n, label`` of the groups that hold more than one component."""
     labelled = keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    labelled = durable(labelled.select("key", "rep", "label"))
+    labelled = durable(labelled.select("key", "rep", "n", "label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter(F.col("_low") < F.col("_high"))
     return labelled.join(mixed.select("key"), "key")
 
 
-def _other_stars(keys: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """In every mixed group, a hub by chance, and the members of other components than its own."""
+def _other_stars(keys: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
+    """In every mixed group, the hub that comes first in an order by chance, and the members of other components than its own.
+
+    One order serves all groups, so that the many groups of one family share few hubs.
+    """
     mixed = durable(_in_mixed(keys, labels))
-    hubs = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep", "label")).alias("hub")).select("key", "hub.rep", "hub.label")
-    hubs = hubs.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    return mixed.join(hubs, "key").filter(F.col("label") != F.col("lb")).select(F.col("rep").alias("a"), "b").distinct()
+    h = F.xxhash64(F.lit(salt), "rep")
+    hubs = mixed.groupBy("key").agg(F.min_by("rep", h).alias("b"), F.min_by("label", h).alias("lb"), F.min_by("n", h).alias("m"))
+    return mixed.join(hubs, "key").filter(F.col("label") != F.col("lb")).select(F.col("rep").alias("a"), "n", "b", "m")
 
 
 def _open_pairs(keys: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,4 +209,4 @@ def _open_pairs(keys: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     enough = (100 + PERCENT) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= PERCENT * (F.col("n") + F.col("m"))
     similar_size = (F.col("n") <= F.col("m")) & (100 * F.col("n") >= PERCENT * F.col("m"))
     pairs = first.filter("short").join(other, (first["s"] == other["s"]) & (F.col("label") != F.col("lb")) & similar_size & enough)
-    return pairs.select(F.col("rep").alias("a"), "b").distinct()
+    return pairs.select(F.col("rep").alias("a"), "n", "b", "m")
