@@ -14,20 +14,22 @@ import heapq
 import json
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 NEVER = 1 << 60
+ROWS_AT_ONCE = 128
 SHORT = 96  # parts; longer words are merged with a heap, which gives the same merges
-KNOWN_CHUNKS = 250_000  # entries of the newer of two tables a worker keeps; when full, it becomes the older one
+KNOWN_CHUNKS = 120_000  # entries of the newer of two tables a worker keeps; when full, it becomes the older one
 
 
 def byte_letters() -> list[str]:
@@ -161,13 +163,21 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encoded(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
-    """Struct ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (text of those ids)."""
-    kind = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
+def encoded(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
+    """``keep``, then ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (text of those ids).
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        b = bpe(vocabulary)
-        ids = [b.encode(t) if t else b"" for t in texts]
-        return pd.DataFrame({"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [b.decode(x) for x in ids]})
+    A batch of rows is taken a few at a time, so that a task holds the tokens of few texts besides its input.
+    """
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    made = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())]
 
-    return F.pandas_udf(run, kind)(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = bpe(vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids = [b.encode(t) if t else b"" for t in part.column(part.num_columns - 1).to_pylist()]
+                new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([b.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*part.schema.names[:-1], "ids", "n_tokens", "decoded"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made]))

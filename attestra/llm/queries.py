@@ -57,8 +57,8 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encoded("text").alias("e"))
-    return docs.select("doc_id", "e.n_tokens", F.sha2("e.ids", 256).alias("ids_sha256"), F.sha2("e.decoded", 256).alias("decoded_sha256"))
+    docs = bpe.encoded(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @register

@@ -28,10 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.bpe import KNOWN_CHUNKS, SHORT, VOCABULARY, normalised, spaced
+from attestra.llm.bpe import SHORT, VOCABULARY, normalised, spaced
 from attestra.session import durable
 
 SHARD_TOKENS = 4_000_000
+KNOWN_CHUNKS = 500_000  # a worker keeps; when more, it starts anew
 END_ID = 1
 MAGIC = b"WVM1"
 FILE = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("blob", pa.binary())])
@@ -180,7 +181,7 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit numbers. White space separates words in the tokenizer's own rule,
         so a text's ids are those of its chunks, one after the other; texts that may hold special tokens go whole."""
         known = self.known
-        if len(known) > 2 * KNOWN_CHUNKS:
+        if len(known) > KNOWN_CHUNKS:
             known.clear()
         cut = [spaced(normalised(t)) if t and "<|" not in t else None for t in texts]
         new: set[str] = set()

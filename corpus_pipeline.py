@@ -41,8 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of every document, and the digest of the text they decode to."""
-    rows = docs.select("doc_id", "lang", "source", bpe.encoded("text").alias("_e"))
-    return rows.select("doc_id", "lang", "source", "_e.n_tokens", "_e.ids", F.sha2("_e.decoded", 256).alias("decoded_sha256"))
+    rows = bpe.encoded(docs, keep=("doc_id", "lang", "source"))
+    return rows.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -129,10 +129,10 @@ def test_bpe_equals_the_library(frame, docs):
     extra = ["a<|endoftext|>b <|startoftext|>", "İΣΑΣ ΟΔΟΣ x\x1fy\x85z", "é ́x it's I'VE 12ab3 …", "x" * 5000, "ab" * 3000 + "<|endoftext|", "١٢ ½ ⅷ", "\u00a0a\u2003b"]
     tables = frame.select("doc_id", "text").union(frame.sparkSession.createDataFrame(list(enumerate(extra, 5000)), "doc_id long, text string"))
     texts = {d[0]: d[1] or "" for d in docs} | dict(enumerate(extra, 5000))
-    for r in tables.select("doc_id", bpe.encoded("text").alias("e")).collect():
+    for r in bpe.encoded(tables).collect():
         want = library.encode(texts[r["doc_id"]], add_special_tokens=False)
-        assert np.frombuffer(r["e"]["ids"], "<u4").tolist() == want.ids
-        assert r["e"]["decoded"] == library.decode(want.ids, skip_special_tokens=False) and r["e"]["n_tokens"] == len(want.ids)
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want.ids
+        assert r["decoded"] == library.decode(want.ids, skip_special_tokens=False) and r["n_tokens"] == len(want.ids)
 
 
 def test_token_files(spark, frame, docs, tmp_path):
