@@ -90,6 +90,9 @@ class TextModel:
 def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> TextModel:
     """From ``labelled`` (text, language). Counting runs on the tasks; the counted model is collected: GRAMS rows."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.left(text, F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64(doc_id, F.lit(11)).alias("h"))
+    # Drawn by hash in two steps, so that what is ranked in one place does not grow with the corpus.
+    many = durable(rows.groupBy("lang").agg(F.count("*").alias("many")))
+    rows = rows.join(many, "lang").filter(F.pmod("h", F.lit(1_000_000)) * F.col("many") < 4 * sample * 1_000_000)
     first = Window.partitionBy("lang").orderBy("h", "text")
     rows = rows.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= sample).select("lang", "text")
 
