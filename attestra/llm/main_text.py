@@ -21,8 +21,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}')*|[^>]*)>|<[!?][^>]*>""", re.S)
-NAMED = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# A quote counts where a value begins; a value that is never closed ends with the tag, at the first ">". Possessive, so linear in the tag.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>|<[!?][^>]*>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
 
 # Values that follow from HTML itself.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math"}
@@ -66,7 +67,7 @@ def boxed(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in KEPT:
         return False
-    for name, value in NAMED.findall(attributes):
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             if CUT_NAMES.intersection(WORD.findall(value)):

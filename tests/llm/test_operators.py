@@ -178,6 +178,17 @@ def test_main_text(spark):
     assert [got[i] for i in range(len(PAGES) * 2)] == [want for _, want in PAGES * 2]
 
 
+@pytest.mark.parametrize("size", [100, 10_000, 1_000_000])
+def test_main_text_of_pages_with_long_attribute_values(size):
+    """Values are read to their closing quote; quotes that never close, or stand where no value begins, end with the tag."""
+    value = '{"class": "ad", "id": "x", hidden role=menu <b>leaks, a lot</b>} ' * (size // 60)
+    assert main_text.main_text(f"<article><p data-x='{value}'>One, two.</p><p>Three.</p></article>") == "One, two.\nThree."
+    assert main_text.main_text(f'<article><p data-x="{value.replace(chr(34), chr(39))}">One, two.</p></article>') == "One, two."
+    words = "word " * (size // 5)
+    assert main_text.main_text(f"<article><p title=\"open>One, two.</p><p>{words}</p></article>") == f"One, two.\n{words.strip()}"
+    assert main_text.main_text(f"<article><p it's>One, it's two.</p><p>{words}</p></article>") == f"One, it's two.\n{words.strip()}"
+
+
 def test_url_filter(spark):
     rng = random.Random(4)
     hosts = ["a.net", "Example.NET", "x.example.net", "example.com", "q.example.com", "notexample.com", "e.org", "spam-farm.example.com", "net", ""]
