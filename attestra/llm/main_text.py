@@ -1,7 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree in one pass. Parts that are never the article (menus, headers, footers, sidebars, forms,
-scripts, and boxes named as adverts, notices or comments) are cut off. Every paragraph then passes points for its
+scripts) are cut off, and so are boxes whose class or id names adverts, notices or comments, unless they hold the page's
+text: a box with such a name as a whole (``comments``) stays where nothing else of the page is a paragraph, one with the name as a part
+(``has-sidebar``) where boxes of its name hold more than half of the unlinked text, though its points then count less
+than those of other paragraphs. A page that is empty without its named boxes is read with them. Every paragraph then passes points for its
 length and commas to its ancestors, half as much with each step up; a container's points are discounted by the
 share of its text that stands in links. The best container is kept, with those of its siblings that look like
 parts of the same article.
@@ -51,14 +54,18 @@ WORD = re.compile(r"[a-z]+")
 PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
 START = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
 SIBLING_SHARE = 0.2  # of the best score that a sibling container needs
+LONG = 80  # unlinked characters of a paragraph that speaks for an article
+NEARLY_ALL = 0.8  # share of the unlinked text that makes a box named as a whole the page
+NAMED_WEIGHT = 0.2  # of points from a named box that is kept beside other paragraphs
 LINKED = 0.5  # share of link text above which a sibling paragraph or a list is left out
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "up", "items", "score", "chars", "linked", "commas", "name", "weight")
 
-    def __init__(self, tag: str, up: Node | None):
+    def __init__(self, tag: str, up: Node | None, name: str = ""):
         self.tag, self.up, self.items, self.score, self.chars, self.linked, self.commas = tag, up, [], None, 0, 0, 0
+        self.name, self.weight = name, 1.0  # of an advert, notice or the like; share of its points that count
 
 
 def boxed(tag: str, attributes: str) -> bool:
@@ -69,10 +76,7 @@ def boxed(tag: str, attributes: str) -> bool:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id"):
-            if CUT_NAMES.intersection(WORD.findall(value)):
-                return True
-        elif name == "role":
+        if name == "role":
             if value in CUT_ROLES:
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
@@ -80,6 +84,21 @@ def boxed(tag: str, attributes: str) -> bool:
     return False
 
 
+def named(tag: str, attributes: str) -> str:
+    """The class or id by which an element may be an advert, notice or the like: one of CUT_NAMES as a whole, else one with such a part, else empty."""
+    found = ""
+    if attributes and tag not in KEPT:
+        for name, value in ATTRIBUTE.findall(attributes):
+            if name.lower() in ("class", "id"):
+                for token in value.strip("\"'").lower().split():
+                    words = WORD.findall(token)
+                    if CUT_NAMES.intersection(words):
+                        if len(words) == 1:
+                            return words[0]
+                        found = found or "-".join(words)
+    return found
+
+
 def parse(page: str) -> Node:
     """The tree of what is not cut off. Items of a node are its text pieces and child nodes in page order."""
     root = at = Node("html", None)
@@ -127,7 +146,7 @@ def parse(page: str) -> Node:
             continue
         if tag in BLOCK:
             at = _implied(at, tag)
-        child = Node(tag, at)
+        child = Node(tag, at, named(tag, m[3]))
         at.items.append(child)
         at = child
     return root
@@ -164,10 +183,82 @@ def _closed(at: Node, tag: str) -> Node:
     return node.up if node.up is not None else at
 
 
+def _ordered(root: Node) -> list[Node]:
+    """Parents before children, without recursion: misnested pages can be thousands of levels deep."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in node.items if isinstance(x, Node))
+    return order
+
+
+def _measured(root: Node) -> tuple[dict[Node, int], dict[Node, bool]]:
+    """Unlinked characters of every node with all it holds, and whether it is itself a paragraph of some length."""
+    order, free, long = _ordered(root), {}, {}
+    for node in reversed(order):
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        free[node] = 0 if node.tag == "a" else own + sum(free[x] for x in node.items if isinstance(x, Node))
+        long[node] = free[node] >= LONG and (node.tag in PARAGRAPH or (node.tag in START and own >= LONG))
+    return free, long
+
+
+def _cut_named(root: Node) -> None:
+    """Cut named boxes off the tree, but for those that hold the page's text."""
+    if not any(x.name for x in _ordered(root)):
+        return
+    free, long = _measured(root)
+    whole: dict[Node, Node] = {}  # the nearest box named as a whole around a node, or the root
+    direct = {root: False}
+    for node in _ordered(root):
+        whole[node] = node if node is root or node.name in CUT_NAMES else whole[node.up]
+        direct[whole[node]] = direct.get(whole[node], False) or long[node]
+    if not direct[root]:  # boxes within each other that hold nearly all: the outer ones are no boxes, up to the first paragraph
+        for node in _ordered(root):
+            if whole[node] is node and node is not root and free[node] > NEARLY_ALL * free[root]:
+                node.name = ""
+                if direct[node]:
+                    break
+    for node in _ordered(root):
+        if node.name in CUT_NAMES:
+            _cut(node)
+    free, long = _measured(root)
+    sums: dict[str, int] = {}  # unlinked characters by name, a box within a box of its name not counted again
+    around: dict[Node, Node | None] = {root: None}
+    for node in _ordered(root):
+        above = around.get(node.up) if node.up is not None else None
+        around[node] = node if node.name else above
+        if node.name and (above is None or above.name != node.name):
+            sums[node.name] = sums.get(node.name, 0) + free[node]
+    kept = {name for name, n in sums.items() if 2 * n > free[root]}
+    light, outside = set(), False
+    for node in _ordered(root):
+        if node.name and node.name not in kept:
+            _cut(node)
+        elif node.name or node.up in light:
+            light.add(node)
+        outside = outside or (long[node] and node not in light and node.tag != "cut")
+    if outside:
+        for node in light:
+            node.weight = NAMED_WEIGHT
+
+
+def _cut(node: Node) -> None:
+    node.items.clear()
+    node.name = ""
+    node.tag = "cut" if node.tag in BLOCK else "span"
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _cut_named(root)
+    text = _written(root)
+    return text or _written(parse(page))
+
+
+def _written(root: Node) -> str:
     best = _scored(root)
     keep = [best]
     if best.up is not None and best.tag not in ("article", "main"):
@@ -181,15 +272,8 @@ def main_text(page: str | None) -> str:
 
 
 def _scored(root: Node) -> Node:
-    """Sum lengths, links and commas upwards, pass points, and return the container with the most.
-
-    Nodes are visited without recursion: misnested pages can be thousands of levels deep.
-    """
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(x for x in node.items if isinstance(x, Node))
+    """Sum lengths, links and commas upwards, pass points, and return the container with the most."""
+    order = _ordered(root)
     for node in reversed(order):
         for x in node.items:
             if isinstance(x, Node):
@@ -205,7 +289,7 @@ def _scored(root: Node) -> Node:
         loose = node.tag in START and node is not root and any(isinstance(x, str) and len(x.strip()) >= 25 for x in node.items)
         if (node.tag in PARAGRAPH or loose) and node.chars:
             points = 1.0 + node.commas + min(node.chars / 100, 3.0)
-            points *= 1 - node.linked / node.chars
+            points *= (1 - node.linked / node.chars) * node.weight
             up, share = (node if loose and node.tag not in PARAGRAPH else node.up), 1.0
             while up is not None and share > 0.1:
                 up.score = (START.get(up.tag, 0.0) if up.score is None else up.score) + points * share
@@ -227,12 +311,12 @@ def _scored(root: Node) -> Node:
 
 
 def _belongs(node: Node, best: Node) -> bool:
-    if not node.chars:
+    if not node.chars or node.weight < best.weight:
         return False
     linked = node.linked / node.chars
     if node.tag in PARAGRAPH and node.tag != "li":
         return linked < 0.25 if node.chars > 80 else linked == 0
-    return (node.score or 0.0) * (1 - linked) >= max(10.0, best.score * SIBLING_SHARE) and linked < LINKED
+    return (node.score or 0.0) * (1 - linked) >= max(10.0 * best.weight, best.score * SIBLING_SHARE) and linked < LINKED
 
 
 def _write(top: Node, blocks: list[str], line: list[str]) -> None:

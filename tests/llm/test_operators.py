@@ -189,6 +189,26 @@ def test_main_text_of_pages_with_long_attribute_values(size):
     assert main_text.main_text(f"<article><p it's>One, it's two.</p><p>{words}</p></article>") == f"One, it's two.\n{words.strip()}"
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "content with-comments", "entry social-share-enabled", "elementor-widget-container", "widget", "banner"])
+def test_main_text_in_wrappers_named_like_boxes(name):
+    text = "A long sentence, with commas, that goes on and on for the reader. " * 3
+    want = "\n".join([text.strip()] * 3)
+    box = f"<div class='comments'><p>{text * 2}</p></div><div class='ad-slot'><p>Buy, buy, buy</p></div>"
+    side = "<div class='sidebar'><p>About, us, and, more</p></div>"
+    whole = "".join(f"<p>{text}</p>" for _ in range(3))
+    assert main_text.main_text(f"<body>{side}<div class='{name}'><div class='post'>{whole}{box}</div></div><p>Copyright</p></body>") == want
+    parts = "".join(f"<div class='{name}'><p>{text}</p></div>" for _ in range(3))
+    assert main_text.main_text(f"<body><article>{parts}</article></body>") == want
+
+
+def test_main_text_without_comments_that_are_longer():
+    text = "A long sentence, with commas, that goes on and on for the reader. " * 3
+    for name in ("comments", "comment-list"):
+        assert main_text.main_text(f"<body><div><p>{text}</p><p>{text}</p></div><div class='{name}'>" + f"<p>{text}</p>" * 3 + "</div></body>") == f"{text.strip()}\n{text.strip()}"
+    assert main_text.main_text("<div class='notice'><p>Closed, today</p></div>") == "Closed, today"
+    assert main_text.main_text("<div class='widget'>" * 20000 + f"<p>{text}</p>") == text.strip()
+
+
 def test_url_filter(spark):
     rng = random.Random(4)
     hosts = ["a.net", "Example.NET", "x.example.net", "example.com", "q.example.com", "notexample.com", "e.org", "spam-farm.example.com", "net", ""]
