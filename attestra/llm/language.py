@@ -1,7 +1,8 @@
 """Language of web pages by fusing what the text, the markup, the address and the host say.
 
 Text likelihoods come from a multinomial model over the letters' sequences of up to ``ORDER`` characters, trained on a
-sample of at most ``SAMPLE`` labelled documents per language, drawn by hash. Everything else is counted over all pages:
+sample of at most ``SAMPLE`` labelled documents per language, drawn by hash and counted whole; it keeps the ``GRAMS``
+sequences whose share within some language is highest. Everything else is counted over all pages:
 
 * how often each declared language goes with each language of the text (a confusion table, smoothed);
 * how often each language part of the address does (the first part of the path, as in ``/fr/``);
@@ -33,9 +34,8 @@ from attestra.llm.url_filter import host_and_path
 from attestra.session import durable
 
 SAMPLE = 1000  # labelled documents per language
-SAMPLE_CHARS = 20_000  # of a sample document that are counted
 ORDER = 3
-GRAMS = 30_000  # most frequent sequences the model keeps
+GRAMS = 30_000  # sequences the model keeps: those with the highest share within a language
 TRUST = 0.05  # weight of a sequence's likelihood: neighbouring sequences are not independent
 STRENGTH = 5.0  # pseudo-pages behind each level of the host prior
 SMOOTH = 1.0
@@ -89,7 +89,7 @@ class TextModel:
 
 def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> TextModel:
     """From ``labelled`` (text, language). Counting runs on the tasks; the counted model is collected: GRAMS rows."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.left(text, F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64(doc_id, F.lit(11)).alias("h"))
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, F.lit(11)).alias("h"))
     # Drawn by hash in two steps, so that what is ranked in one place does not grow with the corpus.
     many = durable(rows.groupBy("lang").agg(F.count("*").alias("many")))
     rows = rows.join(many, "lang").filter(F.pmod("h", F.lit(1_000_000)) * F.col("many") < 4 * sample * 1_000_000)
@@ -110,7 +110,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not languages:
         raise ValueError("language identification needs labelled documents")
-    often = counted.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(GRAMS)
+    sums = counted.groupBy("lang").agg(F.sum("n").alias("all"))
+    often = counted.join(sums, "lang").groupBy("gram").agg(F.max(F.col("n") / F.col("all")).alias("share")).orderBy(F.desc("share"), "gram").limit(GRAMS)
     table: dict[str, list[float]] = {}
     for r in counted.join(often, "gram").select("gram", "lang", "n").collect():
         table.setdefault(r["gram"], [0.0] * len(languages))[languages.index(r["lang"])] = float(r["n"])

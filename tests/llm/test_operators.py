@@ -254,6 +254,16 @@ def test_language_on_held_out_documents(spark):
     assert language.identify(odd, model).count() == 4 and language.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_model_counts_whole_documents_and_small_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "GRAMS", 60)
+    rng = random.Random(6)
+    many = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(50)), "en") for i in range(100)]
+    docs = spark.createDataFrame(many + [(1000, "ñ " * 15_000 + "öö " * 15_000, "xx")], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(model.index) == 60 and {"ñ", "ö", "öö"} <= set(model.index)
+    assert model.likelihoods("ñ ñ öö")[model.languages.index("xx")] == 0.0
+
+
 def test_markup_and_host_decide_where_the_text_does_not():
     model = language.TextModel(["de", "en"], {"a": [5.0, 5.0]})
     assert model.likelihoods(None) == [0.0, 0.0] and model.likelihoods("a a") == [0.0, 0.0]
