@@ -13,7 +13,8 @@ Counts weigh pages by what the text alone says (its posterior), summed by groupe
 weight is taken off its host's counts before they judge it. The posterior is the normalised product.
 
 Defined results: a null or empty page, or one without letters, is judged by the other evidence; a null url has the
-empty host and suffix; no evidence at all gives the prior of all pages; rows that repeat are judged alike; an empty
+empty host and suffix; no evidence at all gives the prior of all pages; rows that repeat are judged alike and count once in
+the sample, labelled rows may share an id or have none; an empty
 table gives no rows; a sample without labels is an error that says so; other columns are left out.
 """
 
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm.line_dedup import sent
 from attestra.llm.main_text import main_text
 from attestra.llm.url_filter import host_and_path
 from attestra.session import durable
@@ -89,12 +91,14 @@ class TextModel:
 
 def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> TextModel:
     """From ``labelled`` (text, language). Counting runs on the tasks; the counted model is collected: GRAMS rows."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, F.lit(11)).alias("h"))
-    # Drawn by hash in two steps, so that what is ranked in one place does not grow with the corpus.
-    many = durable(rows.groupBy("lang").agg(F.count("*").alias("many")))
-    rows = rows.join(many, "lang").filter(F.pmod("h", F.lit(1_000_000)) * F.col("many") < 4 * sample * 1_000_000)
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    rows = rows.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= sample).select("lang", "text")
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text, F.lit(11)).alias("h"))
+    # Hashes are drawn in two steps, so that what is ranked in one place does not grow with the corpus; rows that repeat count once.
+    drawn = durable(rows.select("lang", "h").distinct())
+    many = durable(drawn.groupBy("lang").agg(F.count("*").alias("many")))
+    drawn = drawn.join(many, "lang").filter(F.pmod("h", F.lit(1_000_000)) * F.col("many") < 4 * sample * 1_000_000)
+    first = Window.partitionBy("lang").orderBy("h")
+    drawn = durable(drawn.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= sample).select("lang", "h"))
+    rows = rows.join(sent(drawn, drawn.count()), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

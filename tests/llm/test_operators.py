@@ -264,6 +264,12 @@ def test_language_model_counts_whole_documents_and_small_languages(spark, monkey
     assert model.likelihoods("ñ ñ öö")[model.languages.index("xx")] == 0.0
 
 
+def test_language_sample_of_rows_that_share_an_id(spark):
+    rows = [(i if i else None, f"text {i} {k}", f"l{i}") for i in range(10) for k in range(200)] + [(77, "same", "same")] * 200
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=10)
+    assert model.languages == sorted([f"l{i}" for i in range(10)] + ["same"])
+
+
 def test_markup_and_host_decide_where_the_text_does_not():
     model = language.TextModel(["de", "en"], {"a": [5.0, 5.0]})
     assert model.likelihoods(None) == [0.0, 0.0] and model.likelihoods("a a") == [0.0, 0.0]
