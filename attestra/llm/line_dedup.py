@@ -114,7 +114,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """All rows of ``docs`` as ``_row``, with ``_text`` (what remains), ``_lines`` and ``_dropped`` (numbers of lines)."""
     drops = dropped_lines(docs, doc_id, text)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
-    rows = rows.join(sent(drops, drops.count()), ["_id", "_t"], "left")
+    size = drops.agg(F.sum(F.size("drops") + 1)).first()[0] or 0  # a row is as long as its array
+    rows = rows.join(sent(drops, size), ["_id", "_t"], "left")
     lines = F.split("_text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
     kept = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")

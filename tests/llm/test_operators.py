@@ -106,6 +106,15 @@ def test_line_dedup_of_random_edits(spark, monkeypatch, sent):
     assert [got[i] for i, _ in rows] == plain.line_dedup(rows)
 
 
+def test_line_dedup_sends_no_long_arrays(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SENT_ROWS", 50)
+    sizes = []
+    monkeypatch.setattr(line_dedup, "sent", lambda df, rows: sizes.append((df.columns, rows)) or df)
+    docs = spark.createDataFrame([(1, "a"), (2, "\n".join(["a"] * 100))], "doc_id long, text string")
+    assert [r["_dropped"] for r in line_dedup.deduplicated(docs).orderBy("_row.doc_id").collect()] == [0, 100]
+    assert sizes[-1] == (["_id", "_t", "drops"], 101)
+
+
 def test_quality(frame, docs):
     got = {r["doc_id"]: r for r in quality.quality_report(frame.withColumnRenamed("n_words", "_m")).collect()}
     for d in docs:
