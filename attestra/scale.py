@@ -10,29 +10,35 @@ from attestra.session import durable
 SHIFT = 33  # monotonically_increasing_id keeps the partition number above the low 33 bits
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` for keys that may hold any share of the rows.
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with every row's place (from 0) in the order, without one task ever holding all rows.
 
-    A window would put one key into one task. Here the rows are range-sorted by (keys, order) — a hot
-    key then spans many tasks — and numbered by their place; the first place of each key is an
-    aggregate with map-side combine, and there is one count per task of the sort (a number the session
-    fixes). The sorted rows are written once, so that places cannot move between the passes. A NULL key is
-    a key like any other, as in a window.
+    The rows are range-sorted and numbered by their place within their task; there is one count per task of
+    the sort, a number the session fixes. The sorted rows are written once, so that places cannot move
+    between the passes.
     """
-    placed = durable(df.sort(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = durable(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_task", F.shiftright("_at", SHIFT))
     counts = placed.groupBy("_task").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     local = F.col("_at").bitwiseAND((1 << SHIFT) - 1)
-    numbered = placed.join(starts, "_task").withColumn("_i", F.col("_start") + local)
-    firsts = numbered.groupBy(*keys).agg(F.min("_i").alias("_first"))
+    return placed.join(starts, "_task").withColumn(name, F.col("_start") + local).drop("_at", "_task", "_start")
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` for keys that may hold any share of the rows.
+
+    A window would put one key into one task. Here the rows are numbered in the order (keys, order) — a hot key
+    then spans many tasks — and the first place of each key is an aggregate with map-side combine. A NULL key is
+    a key like any other, as in a window.
+    """
+    placed = numbered(df, [*keys, *order], "_i")
+    firsts = placed.groupBy(*keys).agg(F.min("_i").alias("_first"))
     firsts = firsts.select("_first", *(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
-    same = [numbered[k].eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-    out = numbered.join(firsts, same).drop(*(f"_key{i}" for i in range(len(keys))))
-    return out.withColumn(name, (F.col("_i") - F.col("_first") + 1).cast("long")).drop(
-        "_at", "_task", "_start", "_i", "_first"
-    )
+    same = [placed[k].eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    out = placed.join(firsts, same).drop(*(f"_key{i}" for i in range(len(keys))))
+    return out.withColumn(name, (F.col("_i") - F.col("_first") + 1).cast("long")).drop("_i", "_first")
 
 
 def pinned(df: DataFrame, name: str, value) -> DataFrame:
