@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, decontam, language, line_dedup, main_text, minhash, personal, quality, token_files, url_filter
+from attestra.llm import bpe, decontam, exact_dedup, fim, language, line_dedup, main_text, minhash, personal, prefix_trie, quality, token_files, url_filter
 from attestra.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,3 +200,75 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
        (f1 OR f2) AS base_failed, (NOT (f1 OR f2) AND bad.source IS NULL) AS kept
 FROM f LEFT JOIN bad USING (source)
 """
+
+
+@register
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("_output", 256).alias("output_sha256"), F.sha2(fim.restored("_output", "_form"), 256).alias("restored_sha256")]
+    return docs.select("_row.doc_id", F.col("_n").alias("n"), F.col("_form").alias("form"), F.col("_prefix_chars").alias("prefix_chars"), F.col("_middle_chars").alias("middle_chars"), *digests)
+
+
+ORACLES["op11_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+f AS (
+  SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b
+  FROM h
+), p AS (SELECT *, left(t, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+
+@register
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = """
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) t(i)
+), o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), t AS (SELECT conv_id, pos, length(text) AS chars, sha256(length(role)::VARCHAR || ':' || role || ':' || text) AS id FROM o),
+c AS (SELECT conv_id, list(struct_pack(id := id, chars := chars) ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, turns, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT), lambda r, b: xor(r >> 8, tab[xor(r, b) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h
+  FROM c, crc
+), r AS (SELECT a.conv_id, coalesce(b.turns[1:a.h], []) || a.turns[a.h + 1:] AS turns FROM h a LEFT JOIN c b ON b.conv_id = a.base),
+p AS (
+  SELECT conv_id, d, len(turns) = d AS ended, sha256(array_to_string(list_transform(turns[1:d], lambda x: x.id), '/')) AS node,
+         CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(turns[1:d - 1], lambda x: x.id), '/')) END AS parent, CASE WHEN d > 0 THEN turns[d].chars ELSE 0 END AS chars
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)
+), n AS (
+  SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends
+  FROM p GROUP BY d, node
+), k AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, node)),
+s AS (
+  SELECT a.d, a.node, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars)::BIGINT AS saved_tokens
+  FROM v b JOIN p a ON a.conv_id = b.conv_id AND a.d <= b.d GROUP BY ALL
+)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN s USING (d, node) LEFT JOIN n u ON u.d = v.d - 1 AND u.node = v.parent
+"""
