@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.scale import pinned
 from attestra.session import durable
 
 NEAR_WORDS = 8
@@ -42,7 +43,9 @@ def _place(doc: Column, pos: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # Id and digest are computed below the explode, so that a line does not carry its whole text.
+    cut = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_t"), F.split(text, "\n").alias("lines"))
+    rows = cut.select("_id", "_t", F.posexplode("lines").alias("pos", "line"))
     return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -116,7 +119,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
     size = drops.agg(F.sum(F.size("drops") + 1)).first()[0] or 0  # a row is as long as its array
     rows = rows.join(sent(drops, size), ["_id", "_t"], "left")
-    lines = F.split("_text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
-    kept = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
-    return rows.select("_row", F.when(F.col("drops").isNull(), F.col("_text")).otherwise(kept).alias("_text"), F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("_dropped"))
+    # Only texts that lose lines are cut, each once.
+    rows = pinned(rows, "_cut", F.when(F.col("drops").isNotNull(), F.split("_text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), F.col("drops"))
+    kept = F.array_join(F.transform(stay, lambda i: F.element_at("_cut", i + 1)), "\n")
+    count = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
+    return rows.select("_row", F.when(F.col("drops").isNull(), F.col("_text")).otherwise(kept).alias("_text"), F.when(F.col("_text").isNull(), 0).otherwise(count).cast("long").alias("_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("_dropped"))
