@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.line_dedup import sent
 from attestra.llm.url_filter import LOWER, UPPER
+from attestra.scale import pinned
 from attestra.session import durable
 
 SPAN = 13
@@ -87,7 +88,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, span: int = SP
     places = durable(places)
     asked = places.select("_id", "_t")
     texts = keyed.join(sent(asked, asked.count()), ["_id", "_t"], "left_semi")  # only these texts may travel
-    found = texts.join(places, ["_id", "_t"]).select("_id", "_t", "places", word_list("_text").alias("w"))
+    found = texts.join(places, ["_id", "_t"]).select("_id", "_t", "places", "_text")
+    found = pinned(found, "w", word_list("_text"))  # once per text, not once per place
     if slop:
         first = lambda p: F.greatest(p["start"] - slop, F.lit(0))
         stretch = lambda p: F.slice(F.col("w"), first(p) + 1, p["start"] + p["n"] + slop - first(p))
