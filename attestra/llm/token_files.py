@@ -2,9 +2,9 @@
 
 Documents are sorted by id over many tasks; every task cuts its part of the order into shards of about
 ``SHARD_TOKENS`` ids. A shard is one file entry: a header with the ids and lengths of its documents, and a wavelet
-matrix over their tokens, that is one bit plane per bit of the ids, each compressed. ``rank`` and ``select`` on the
-planes read single tokens, count a token in a range and find its occurrences without unpacking the sequence. The
-entries are written as a table in any folder Spark can reach, so a lost task is written again and committed once.
+matrix over their tokens, that is one bit plane per bit of the ids, each compressed. Opening a shard unpacks its planes to
+bits and counts the ones before each block; ``rank`` and ``select`` on the planes then read single tokens, count a token in a
+range and find its occurrences without the sequence. The entries are written as a table in any folder Spark can reach, so a lost task is written again and committed once.
 
 Defined results: a null or empty text has the end id alone; rows that share an id follow one another, by text; a
 null id comes first; an empty table gives an empty file; one document may be longer than a shard and then is one by
@@ -13,15 +13,18 @@ itself; columns besides the named ones are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 import zstandard
 from pyspark import TaskContext
@@ -32,7 +35,10 @@ from attestra.llm.bpe import SHORT, VOCABULARY, normalised, spaced
 from attestra.session import durable
 
 SHARD_TOKENS = 4_000_000
-KNOWN_CHUNKS = 500_000  # a worker keeps; when more, it starts anew
+KNOWN_CHUNKS = 400_000  # entries of the newer of two tables a worker keeps
+TOGETHER = 256  # words that the library is given as one text
+MARK = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])(\s|$)"
+PIECE_BYTES = 4_000_000  # of text that are encoded at once
 END_ID = 1
 MAGIC = b"WVM1"
 FILE = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("blob", pa.binary())])
@@ -80,11 +86,15 @@ class WaveletMatrix:
     def pack(ids: np.ndarray, bits: int) -> list[bytes]:
         """Planes from the highest bit on; each reorders the sequence, zeros first."""
         planes, now, kind = [], ids, ids.dtype.type
+        spare, other = np.empty_like(ids), np.empty_like(ids)
         for b in reversed(range(bits)):
-            ones = (now & kind(1 << b)).astype(bool)
+            ones = (now & kind(1 << b)) != 0
             planes.append(np.packbits(ones, bitorder="little").tobytes())
             if b:
-                now = np.concatenate([now[~ones], now[ones]])
+                zeros = len(now) - int(np.count_nonzero(ones))
+                np.compress(ones, now, out=spare[zeros:])
+                np.compress(~ones, now, out=spare[:zeros])
+                now, spare, other = spare, other, spare
         return planes
 
     def all(self) -> np.ndarray:
@@ -165,50 +175,84 @@ def shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byt
 
 
 class Encoder:
-    """The tokenizers library, asked once per worker for each frequent chunk between white space."""
+    """The tokenizers library, asked for each chunk between white space once while a worker remembers it.
+
+    What is remembered is held in two tables of bounded size: when the newer is full it becomes the older, and chunks
+    that are met again move up.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use the cores
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            end = json.load(f)["model"]["end_of_word_suffix"]
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts after one another, and how many each has. White space separates words in the tokenizer's
+        own rule, so a text's ids are those of its chunks; texts that may hold special tokens go whole. A letter and the
+        mark after it are never one word, so a space between them changes no ids and leaves fewer distinct chunks.
+
+        Arrow numbers the distinct chunks, so that each is looked up once a batch, and the ids are gathered by number.
+        """
+        apart = pc.replace_substring_regex(texts, MARK, r"\1 \2\3").to_pylist()
+        cut = [[texts[i].as_py()] if t and "<|" in t else spaced(normalised(t)) if t else [] for i, t in enumerate(apart)]
+        chunks = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        ids = self._ids(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, number = np.frombuffer(b"".join(ids), "<u4"), chunks.indices.to_numpy()
+        size = sizes[number]
+        ends = np.cumsum(size)
+        shift = np.repeat((np.cumsum(sizes) - sizes)[number] - (ends - size), size)
+        shift += np.arange(len(shift))
+        before = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+        return flat[shift], np.diff(before).tolist()
+
+    def _ids(self, wanted: list[str]) -> list[bytes]:
+        """Of distinct chunks."""
+        out = list(map(self.known.get, wanted))
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        if gaps:
+            new = self._asked([wanted[i] for i in gaps])
+            for i in gaps:
+                out[i] = new[wanted[i]]
+            if len(self.known) >= KNOWN_CHUNKS:
+                self.known, self.older = {}, self.known
+            self.known.update(new)
+            for c in new:
+                if len(c) > SHORT:
+                    del self.known[c]
+        return out
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers. White space separates words in the tokenizer's own rule,
-        so a text's ids are those of its chunks, one after the other; texts that may hold special tokens go whole."""
-        known = self.known
-        if len(known) > KNOWN_CHUNKS:
-            known.clear()
-        cut = [spaced(normalised(t)) if t and "<|" not in t else None for t in texts]
-        new: set[str] = set()
-        for c in set().union(*filter(None, cut)).difference(known):
-            if _ends_plain(c):
-                new.add(c[:-1])
-                new.add(c[-1])
+    def _asked(self, chunks: list[str]) -> dict[str, bytes]:
+        """Of distinct chunks that the newer table lacks."""
+        new, words, rest, older = {}, [], [], self.older
+        for c in chunks:
+            if c in older:
+                new[c] = older[c]
+            elif c.isalpha() and len(c) <= SHORT:
+                words.append(c)
             else:
-                new.add(c)
-        asked = [c for c in new if c not in known]
-        for c, e in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False)):
-            known[c] = array("I", e.ids).tobytes()
-        find = known.get
-        out = []
-        for text, chunks in zip(texts, cut):
-            if chunks is None:
-                out.append(self.whole(text) if text else b"")
+                rest.append(c)
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):  # one word each
+                raw, at = ids.tobytes(), 0
+                for c, to in zip(group, (4 * ends).tolist()):
+                    new[c], at = raw[at:to], to
             else:
-                out.append(b"".join([find(c) or known[c[:-1]] + known[c[-1]] for c in chunks]))
-        for c in asked:
-            if len(c) > SHORT:
-                del known[c]
-        return out
-
-
-def _ends_plain(chunk: str) -> bool:
-    return len(chunk) > 1 and chunk[:-1].isalpha() and not chunk[-1].isalpha()
+                rest += group
+        for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            new[c] = array("I", e.ids).tobytes()
+        return new
 
 
 @lru_cache(maxsize=4)
@@ -216,32 +260,42 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of the pieces in which a batch is encoded: about ``PIECE_BYTES`` of text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES)))
+        yield at, to - at
+        at = to
+
+
 def write_tokens(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the shard files of ``docs`` in ascending order of ids to ``folder``: ``part, seq, n_docs, n_tokens, blob``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         names, lengths, held, n = [], [], [], 0
 
         def entry() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = {"part": part, "seq": seq, "n_docs": len(names), "n_tokens": len(ids), "blob": shard(names, lengths, ids)}
+            row = {"part": part, "seq": seq, "n_docs": len(names), "n_tokens": n, "blob": shard(names, lengths, np.concatenate(held))}
             return pa.RecordBatch.from_pylist([row], FILE)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for i, ids in zip(some.column(0).to_pylist(), encoder(vocabulary).batch(some.column(1).to_pylist())):
-                    names.append(i)
-                    lengths.append(len(ids) // 4 + 1)
-                    held += (ids, end)
-                    n += lengths[-1]
-                    if n >= shard_tokens:
-                        yield entry()
-                        names, lengths, held, n, seq = [], [], [], 0, seq + 1
+            for at, count in pieces(batch.column(1)):
+                some = batch.slice(at, count)
+                ids, sizes = encoder(vocabulary).batch(some.column(1))
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends, end_id)  # after each document
+                names += some.column(0).to_pylist()
+                lengths += [size + 1 for size in sizes]
+                held.append(ids)
+                n += len(ids)
+                if n >= shard_tokens:
+                    yield entry()
+                    names, lengths, held, n, seq = [], [], [], 0, seq + 1
         if names:
             yield entry()
 
