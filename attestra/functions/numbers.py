@@ -18,6 +18,7 @@ NUMBER = (
     r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
     r"\s?(%|k\b|K\b|M\b|m\b(?!m)|bn\b|B\b)?(?!\w)"
 )
+UNIT = r"(?U)^(k\b|K\b|M\b|m\b(?!m)|bn\b|B\b)"  # a power of ten at the beginning of a text
 APPROX_BEFORE = (
     r"(?iU)(about|approx\.?|approximately|around|roughly|nearly|almost|circa|ca\.|~|≈|some|khoảng|gần|xấp xỉ)"
     r"\s*[$€£¥₫]?\s*$"
@@ -210,7 +211,8 @@ def sql_numbers(c: Column) -> Column:
 MAX_WRITTEN_DECIMALS = 15  # a double holds no more; figures written longer only match as equal
 
 
-def _round_half_up(x: Column, decimals: Column) -> Column:
+def round_half_up(x: Column, decimals: Column) -> Column:
+    """``x`` at a number of decimals that is a column; null beyond what a double holds."""
     out = F.round(x, 0)
     branch = F.when(decimals == 0, out)
     for d in range(1, MAX_WRITTEN_DECIMALS + 3):
@@ -218,11 +220,14 @@ def _round_half_up(x: Column, decimals: Column) -> Column:
     return branch
 
 
+def is_close(claimed: Column, found: Column) -> Column:
+    """Equal but for the noise of floating point."""
+    return F.abs(claimed - found) <= F.greatest(F.lit(1e-12), F.lit(1e-9) * F.greatest(F.abs(claimed), F.abs(found)))
+
+
 def _same(claimed: Column, found: Column, decimals: Column, zeros: Column) -> Column:
-    close = F.abs(claimed - found) <= F.greatest(
-        F.lit(1e-12), F.lit(1e-9) * F.greatest(F.abs(claimed), F.abs(found))
-    )
-    written = F.abs(_round_half_up(found, decimals) - claimed) < F.pow(F.lit(10.0), -decimals) / 1000
+    close = is_close(claimed, found)
+    written = F.abs(round_half_up(found, decimals) - claimed) < F.pow(F.lit(10.0), -decimals) / 1000
     step = F.pow(F.lit(10.0), zeros)
     coarse = (zeros > 0) & (F.abs(F.bround(found / step, 0) * step - claimed) < 1e-9)
     return close | F.coalesce(written, F.lit(False)) | coarse

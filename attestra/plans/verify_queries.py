@@ -7,11 +7,16 @@ right or wrong with its paragraph follows from k % 12, so the expected outcome i
 
 from pyspark.sql import functions as F
 
+from attestra.functions.text import norm_quote
 from attestra.operators import citations as C
+from attestra.operators import evidence as E
 from attestra.operators import results as R
 from attestra.operators import verify as V
 from attestra.plans.registry import register
-from attestra.session import load
+from attestra.plans.text_functions import WS
+from attestra.scale import pinned
+from attestra.session import durable, load
+
 
 def _k():
     return F.col("p_partkey")
@@ -206,40 +211,59 @@ def borrow_citations(spark, d):
     """
     with p as (select p_partkey as k, p_partkey // 100 as g, regexp_extract(p_brand, '(\\d+)$', 1) as b, p_brand,
       'key: ' || p_partkey || ' | name: ' || p_name || ' | brand: ' || p_brand || ' | size: ' || p_size || ' | price: ' || p_retailprice as t from part)
-    select 'parts-' || g || '#R' || (k % 100 + 1) as ref, 1::bigint as n_blocks, true as dated, 'none' as error, md5(t) as body from p
-    union all select 'parts-' || g, count(*), true, 'none', md5(string_agg(t, chr(10) order by k)) from p group by g
-    union all select distinct 'calc:' || b, 0, false, 'none', md5('select p_brand, avg(p_retailprice) from part where p_brand = ''' || p_brand || ''' group by 1' || chr(10) ||
-      'p_brand avg_price | ' || p_brand) from p
-    union all select 'parts-' || g || '#R101', 0, true, 'Anchor ''R101'' not found in parts-' || g, md5('') from p group by g
+    select 'parts-' || g || '#R' || (k % 100 + 1) as ref, 1::bigint as n_blocks, true as dated, 'none' as error, 0::bigint as pos, md5(t) as body from p
+    union all select 'parts-' || g, count(*) over (partition by g), true, 'none', row_number() over (partition by g order by k) - 1, md5(t) from p
+    union all select distinct 'calc:' || b, 0, false, 'none', 0, md5('select p_brand, avg(p_retailprice) from part where p_brand = ''' || p_brand || ''' group by 1') from p
+    union all select distinct 'calc:' || b, 0, false, 'none', 1, md5('p_brand avg_price') from p
+    union all select distinct 'calc:' || b, 0, false, 'none', 2, md5('| ' || p_brand) from p
+    union all select 'parts-' || g || '#R101', 0, true, 'Anchor ''R101'' not found in parts-' || g, null, null from p group by g
     """,
 )
 def evidence(spark, d):
+    """Every piece of every reference, and whether the day in the document's name is among its values."""
     _, docs, blocks, heads, rows = _inputs(spark, d)
     calc = F.concat(F.lit("calc:"), F.regexp_extract("p_brand", r"(\d+)$", 1))
     asked = F.array(_ref(), _doc(), calc, F.concat(_doc(), F.lit("#R101")))
     refs = load(spark, d, "part", spread=True).select(F.explode(asked).alias("ref"))
-    ev = V.evidence(refs, docs, blocks, heads, rows)
-    dated = F.array_contains("numbers", F.lit(20240305.0))
-    return ev.select("ref", "n_blocks", dated.alias("dated"), F.coalesce("error", F.lit("none")).alias("error"), F.md5("text").alias("body"))
+    ev = E.evidence(refs, docs, blocks, heads, rows)
+    dated = ev.values.groupBy("ref").agg(F.bool_or(F.col("value") == 20240305.0).alias("dated"))
+    told = ev.refs.join(dated, "ref", "left").join(ev.pieces, "ref", "left")
+    return told.select("ref", "n_blocks", F.coalesce("dated", F.lit(False)).alias("dated"), F.coalesce("error", F.lit("none")).alias("error"), "pos", F.md5("text").alias("body"))
 
 
 @register(
     "quote_check",
-    "select doc_id, true as whole, len(string_split(text, ' ')) > 1 as gapped, false as altered from documents where length(trim(text)) > 0",
+    f"""
+    with t as (select doc_id, lower(trim(regexp_replace(translate(text, '’‘“”–—' || chr(160), '''''""-- '), '{WS}', ' ', 'g'))) as t from documents),
+    w as (select doc_id, t, string_split(t, ' ') as w from t where t <> ''),
+    n as (select *, greatest(len(w) // 3, 1) as a, greatest(2 * len(w) // 3, 1) as b from w),
+    q as (select *, array_to_string(w[a : a + 5], ' ') as x, array_to_string(w[b : b + 3], ' ') as y from n),
+    k as (
+      select doc_id, t, 0 as kind, [x] as parts from q
+      union all select doc_id, t, 1, [x, y] from q union all select doc_id, t, 2, [y, x] from q
+      union all select doc_id, t, 3, [x || ' qqzzqq'] from q
+      union all select doc_id, t, 4, [substring(t, length(t) // 4 + 1, 12), substring(t, length(t) // 2 + 1, 2)] from q
+    ), p as (select doc_id, kind, t, list_filter(list_transform(parts, lambda p: trim(p, ' .,;:')), lambda p: p <> '') as p from k),
+    f as (select *, case when len(p) = 0 then 1 else strpos(t, p[1]) end as first from p)
+    select doc_id, kind, first > 0 and (len(p) < 2 or strpos(substring(t, first + length(p[1])), p[2]) > 0) as found from f
+    """,
 )
 def quote_check(spark, d):
-    """Each document against itself in capitals, with a gap, and with a word that is not there."""
-    docs = load(spark, d, "documents").filter(F.length(F.trim("text")) > 0)
-    n = docs.select("doc_id", "text", V.norm_quote(F.col("text")).alias("normed"), F.split("text", " ").alias("ws"))
-    tail = F.element_at("ws", -1)
-    gapped = F.concat(F.get("ws", F.lit(0)), F.lit(" … "), tail)
-    altered = F.concat("text", F.lit(" qqzzqq"))
-    return n.select(
-        "doc_id",
-        V.quote_found(F.col("text"), F.col("normed")).alias("whole"),
-        (V.quote_found(gapped, F.col("normed")) & (F.size("ws") > 1)).alias("gapped"),
-        V.quote_found(altered, F.col("normed")).alias("altered"),
-    )
+    """Quotes from a third and two thirds of each document, against its lines as pieces: over line ends, with a gap, in
+    the wrong order, with a word too many, and cut inside words."""
+    docs = load(spark, d, "documents")
+    lines = F.filter(F.split("text", "\n"), lambda x: norm_quote(x) != "")
+    pieces = docs.select(F.col("doc_id").cast("string").alias("ref"), F.posexplode(lines).alias("pos", "text"))
+    pieces = pieces.withColumn("pos", F.col("pos").cast("long"))
+    rows = pinned(docs.select("doc_id", norm_quote(F.col("text")).alias("t")).filter("t <> ''"), "w", F.split("t", " "))
+    n = F.size("w")
+    words = lambda at, k: F.array_join(F.slice("w", F.greatest((n * at / 3).cast("int"), F.lit(1)), F.lit(k)), " ")
+    piece = lambda at, k: F.substring("t", (F.length("t") / at).cast("int") + 1, F.lit(k))
+    x, y = words(1, 6), words(2, 4)
+    made = [x, F.concat(x, F.lit(" … "), y), F.concat(y, F.lit("..."), x), F.concat(x, F.lit(" qqzzqq")), F.concat(piece(4, 12), F.lit(" [...] "), piece(2, 2))]
+    quoted = durable(rows.select(F.col("doc_id").cast("string").alias("ref"), F.posexplode(F.array(*made)).alias("kind", "quote")))
+    found = E.quotes_found(quoted, pieces)
+    return quoted.join(found, ["ref", "quote"]).select(F.col("ref").cast("long").alias("doc_id"), "kind", "found")
 
 
 @register(
