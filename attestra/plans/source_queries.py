@@ -1,11 +1,13 @@
 """Sources: filters, decoding, segmentation, pages, grids and crawl planning over the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attestra.operators.chunks import split_long
 from attestra.plans.derived import PART_CELLS_SQL, SECTIONED_SQL, part_cells, sectioned
 from attestra.plans.registry import register
-from attestra.session import load
+from attestra.session import load, scratch_folder
 from attestra.sources import blocks as B
 from attestra.sources import delimited, grid, html, web
 
@@ -117,6 +119,10 @@ def pipe_tables(spark, d):
 )
 def delimited_rows(spark, d):
     """Customers as files of 50 records; the delimiter differs by file, names hold it and quotes, blank lines are skipped."""
+    return _row_blocks(delimited.read_delimited(_customer_files(spark, d)))
+
+
+def _customer_files(spark, d):
     c = load(spark, d, "customer").withColumn("g", F.floor(F.col("c_custkey") / 50).cast("long"))
     sep = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t"), F.lit("|")), (F.col("g") % 4 + 1).cast("int"))
     name = F.concat(F.lit('"""'), "c_name", F.lit('"", the;"'))
@@ -124,11 +130,35 @@ def delimited_rows(spark, d):
     recs = F.array_sort(F.collect_list(F.struct("c_custkey", rec.alias("rec"))))
     head = F.first(F.concat(F.lit("key"), sep, F.lit("name"), sep, F.lit("\n\n")))
     files = c.groupBy("g").agg(F.concat(head, F.array_join(F.transform(recs, lambda x: x["rec"]), "\r\n")).alias("text"))
-    rows = delimited.read_delimited(files.withColumn("doc_id", F.concat(F.lit("c"), F.col("g").cast("string"))))
+    return files.select(F.concat(F.lit("c"), F.col("g").cast("string")).alias("doc_id"), "text")
+
+
+def _row_blocks(rows):
     blocks = delimited.delimited_blocks(rows)
     return blocks.select("doc_id", (F.col("seq") + 1).cast("int").alias("r"), F.col("text").alias("body"))
 
 
+@register(
+    "delimited_files",
+    """
+    select 's' || s_nationkey as doc_id, (row_number() over (partition by s_nationkey order by s_suppkey) + 1)::int as r,
+      'key: ' || s_suppkey || ' | note: "' || s_name || '";' || chr(10) || chr(10) || 'second, line | balance: ' || s_acctbal::varchar as body from supplier
+    union all select distinct 's' || s_nationkey, 1, 'Columns: key, note, balance' from supplier
+    """,
+)
+def delimited_files(spark, d):
+    """Suppliers written as files, one per nation, with line breaks and quotes inside fields, and read in splits."""
+    s = load(spark, d, "supplier")
+    note = F.concat(F.lit('"""'), "s_name", F.lit('"";\r\n\nsecond, line"'))
+    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), note, F.col("s_acctbal").cast("string"))
+    head = s.select("s_nationkey", F.lit(-1).cast("long").alias("k"), F.lit("key,note,balance\n").alias("value")).distinct()
+    rows = head.unionByName(s.select("s_nationkey", F.col("s_suppkey").alias("k"), line.alias("value")))
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "k").select("value", "s_nationkey").write.partitionBy("s_nationkey").text(folder)
+    found = delimited.read_delimited_files(spark, folder, "part-*")
+    return _row_blocks(found.withColumn("doc_id", F.concat(F.lit("s"), F.regexp_extract("doc_id", r"s_nationkey=(\d+)/", 1))))
+
+
 UNESC = "replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
 
 
