@@ -11,3 +11,4 @@ from attestra.plans import search_queries  # noqa: E402,F401
 from attestra.plans import ref_queries  # noqa: E402,F401
 from attestra.plans import result_queries  # noqa: E402,F401
 from attestra.plans import verify_queries  # noqa: E402,F401
+from attestra.plans import ingest_queries  # noqa: E402,F401
