@@ -8,6 +8,8 @@ in which version the rows of a document are. ``compact`` writes everything into
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,11 +98,13 @@ class Corpus:
         added = assign_doc_ids(diff.filter("status = 'new'"), ids)
         fresh = files.join(diff.filter("status in ('new', 'modified')"), "path").join(ids.unionByName(added), "path")
         fresh = durable(fresh.select("doc_id", "path", doc_type(F.col("path")).alias("doc_type"), "text", F.col("size").cast("long").alias("size"), F.col("mtime").cast("double").alias("mtime"), "sha256"))
+        parts = {kind: fresh.filter(F.col("doc_type") == kind) for (kind,) in fresh.select("doc_type").distinct().collect()}  # the kinds of TYPES
         # what both blocks and cells are made of is read once
-        text = durable(segment_text(fresh.filter("doc_type = 'md'")))
-        lists = durable(read_delimited(fresh.filter("doc_type = 'csv'")))
-        blocks = durable(_blocks(fresh, text, lists))
-        cells = durable(_cells(fresh, text, lists))
+        read = {kind: durable(READERS[kind](part)) for kind, part in parts.items()}
+        empty = lambda name: self.spark.createDataFrame([], TABLES[name])
+        blocks = durable(reduce(DataFrame.unionByName, [_blocks(kind, df) for kind, df in read.items()], empty("blocks")))
+        none = self.spark.createDataFrame([], f"{CELLS}, kind string")
+        cells = durable(reduce(DataFrame.unionByName, [_cells(kind, df, parts[kind]) for kind, df in read.items() if kind != "txt"], none))
         columns = durable(_columns(cells))
         fit = cells.filter("r > 1").join(columns.select(*TABLE, "c", "type"), [*TABLE, "c"])
         value = F.lit(None).cast("string")
@@ -145,27 +149,30 @@ def _documents(fresh: DataFrame, blocks: DataFrame) -> DataFrame:
     return with_meta.select("doc_id", "path", "doc_type", title.alias("title"), "meta", "sha256", "size", "mtime")
 
 
-def _blocks(fresh: DataFrame, text: DataFrame, lists: DataFrame) -> DataFrame:
-    of = lambda kind: fresh.filter(F.col("doc_type") == kind)
-    columns = ["doc_id", "seq", "anchor", "kind", "section", "text", "level"]
-    page = html_sections(html_blocks(of("html"), "doc_id", "text")).withColumn("anchor", F.concat(F.lit("b"), (F.col("seq") + 1).cast("string")))
-    rows = delimited_blocks(lists).withColumn("level", F.lit(None).cast("int"))
-    parts = [text, segment_text(of("txt"), markdown=False), page, rows]
-    out = parts[0].select(columns)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(columns))
-    return out
-
-
-def _cells(fresh: DataFrame, text: DataFrame, lists: DataFrame) -> DataFrame:
-    """(doc_id, sheet, r, c, v, kind): tables of Markdown and pages, and delimited files; row 1 is the header."""
-    listed = lists.select("doc_id", F.lit("rows").alias("sheet"), "r", F.posexplode("fitted").alias("c", "v"))
-    listed = listed.withColumn("c", F.col("c") + 1)
-    pipes = pipe_table_cells(text).select("doc_id", "sheet", "r", "c", "v")
-    page = html_table_cells(fresh.filter("doc_type = 'html'"), "doc_id", "text")
-    page = page.select("doc_id", F.concat(F.lit("Table "), F.col("t").cast("string")).alias("sheet"), "r", "c", "v")
-    cells = listed.unionByName(pipes).unionByName(page)
-    return cells.select("doc_id", "sheet", F.col("r").cast("long").alias("r"), "c", coerce_cell(F.col("v")).alias("x"), "v").select("doc_id", "sheet", "r", "c", "x.v", "x.kind")
+READERS = {
+    "md": segment_text,
+    "txt": lambda files: segment_text(files, markdown=False),
+    "html": lambda files: html_sections(html_blocks(files, "doc_id", "text")).withColumn("anchor", F.concat(F.lit("b"), (F.col("seq") + 1).cast("string"))),
+    "csv": read_delimited,
+}
+
+
+def _blocks(kind: str, read: DataFrame) -> DataFrame:
+    if kind == "csv":
+        read = delimited_blocks(read).withColumn("level", F.lit(None).cast("int"))
+    return read.select(*(F.col(n).cast(t).alias(n) for n, t in (f.split() for f in BLOCKS.split(", "))))
+
+
+def _cells(kind: str, read: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, sheet, r, c, v, kind): a delimited file, or the tables of Markdown and pages; row 1 is the header."""
+    if kind == "csv":
+        cells = read.select("doc_id", F.lit("rows").alias("sheet"), "r", F.posexplode("fitted").alias("c", "v")).withColumn("c", F.col("c") + 1)
+    elif kind == "md":
+        cells = pipe_table_cells(read)
+    else:
+        cells = html_table_cells(files, "doc_id", "text").withColumn("sheet", F.concat(F.lit("Table "), F.col("t").cast("string")))
+    cells = cells.select(*TABLE, F.col("r").cast("long").alias("r"), "c", coerce_cell(F.col("v")).alias("x"))
+    return cells.select(*TABLE, "r", "c", "x.v", "x.kind")
 
 
 def _columns(cells: DataFrame) -> DataFrame:
