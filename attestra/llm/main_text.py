@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
-A page is read into a tree in one pass. Parts that are never the article (menus, headers, footers, sidebars, forms,
-scripts) are cut off, and so are boxes whose class or id names adverts, notices or comments, unless they hold the page's
-text: a box with such a name as a whole (``comments``) stays where nothing else of the page is a paragraph, one with the name as a part
+A page is read into a tree in one pass, in time that grows with its length whatever it holds. Parts that are never the
+article (menus, footers, controls, scripts) are cut off, and so are headers, sidebars, forms and boxes whose class or id names
+adverts, notices or comments, unless they hold the page's text: a box with such a name as a whole (``comments``) stays where nothing else of the page is a paragraph, one with the name as a part
 (``has-sidebar``) where boxes of its name hold more than half of the unlinked text, though its points then count less
 than those of other paragraphs. A page that is empty without its named boxes is read with them. Every paragraph then passes points for its
 length and commas to its ancestors, half as much with each step up; a container's points are discounted by the
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A quote counts where a value begins; a value that is never closed ends with the tag, at the first ">". Possessive, so linear in the tag.
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>|<[!?][^>]*>""", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""", re.S)
+BARE_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
 
 # Values that follow from HTML itself.
@@ -41,7 +42,15 @@ CLOSES = {  # an opening tag ends an open one of these, up to the given containe
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 
-CUT = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "head"}
+ENDS: dict[str, list[str]] = {}  # by tag, the opening tags that end it, and those that stop at it
+STOPS: dict[str, list[str]] = {}
+for _kind, (_ends, _stops) in CLOSES.items():
+    for _tag in _ends:
+        ENDS.setdefault(_tag, []).append(_kind)
+    for _tag in _stops:
+        STOPS.setdefault(_tag, []).append(_kind)
+
+CUT = {"nav", "footer", "button", "select", "label", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "head"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 CUT_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
@@ -49,6 +58,8 @@ CUT_NAMES = {
     "notices", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
+BOXES = {"header", "aside", "form"}  # cut like boxes of such a name
+WHOLE = CUT_NAMES | BOXES
 KEPT = {"html", "body", "article", "main"}  # never cut for what they are named
 WORD = re.compile(r"[a-z]+")
 PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -61,11 +72,16 @@ LINKED = 0.5  # share of link text above which a sibling paragraph or a list is
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "score", "chars", "linked", "commas", "name", "weight")
+    __slots__ = ("tag", "up", "items", "score", "chars", "linked", "commas", "name", "weight", "block", "inner", "near")
 
     def __init__(self, tag: str, up: Node | None, name: str = ""):
         self.tag, self.up, self.items, self.score, self.chars, self.linked, self.commas = tag, up, [], None, 0, 0, 0
         self.name, self.weight = name, 1.0  # of an advert, notice or the like; share of its points that count
+        # While the tree grows: the nearest block, the open inline tags in it, and the open items that a next one closes.
+        self.block, self.inner = (self, {}) if up is None or tag in BLOCK else (up.block, None)
+        self.near = up.near if up is not None else {}
+        if tag in ENDS or tag in STOPS:
+            self.near = self.near | {kind: self for kind in ENDS.get(tag, ())} | {kind: None for kind in STOPS.get(tag, ()) if kind not in ENDS.get(tag, ())}
 
 
 def boxed(tag: str, attributes: str) -> bool:
@@ -86,6 +102,8 @@ def boxed(tag: str, attributes: str) -> bool:
 
 def named(tag: str, attributes: str) -> str:
     """The class or id by which an element may be an advert, notice or the like: one of CUT_NAMES as a whole, else one with such a part, else empty."""
+    if tag in BOXES:
+        return tag
     found = ""
     if attributes and tag not in KEPT:
         for name, value in ATTRIBUTE.findall(attributes):
@@ -99,24 +117,97 @@ def named(tag: str, attributes: str) -> str:
     return found
 
 
+class Tags:
+    """The tags of a page in order. Where a tag's end is hidden by quotes to the end of the page, this and all tags after it
+    end at their first ``>``; so no place is searched to the end of the page twice."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.pattern = page, page.rfind(">"), TAG
+
+    def next(self, pos: int) -> tuple[int, int, re.Match | None] | None:
+        """(start, end, match) of the next tag from ``pos`` on; without a match it is a comment or declaration."""
+        page, at = self.page, self.page.find("<", pos)
+        while at >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, (end + 3 if end >= 0 else len(page)), None
+            if at > self.last:
+                return None
+            if page[at + 1 : at + 2] in ("!", "?"):
+                return at, page.find(">", at) + 1, None
+            if page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/":
+                m = self.pattern.match(page, at)
+                if m is None and self.pattern is TAG and BARE_TAG.match(page, at):
+                    self.pattern = BARE_TAG
+                    m = BARE_TAG.match(page, at)
+                if m is not None:
+                    return at, m.end(), m
+            at = page.find("<", at + 1)
+        return None
+
+
+class Tree:
+    """The open end of a growing tree. Every node is left once, so closing costs no more than opening."""
+
+    def __init__(self):
+        self.root = self.at = Node("html", None)
+        self.open: dict[str, int] = {}  # open blocks by tag
+
+    def enter(self, tag: str, name: str) -> None:
+        child = Node(tag, self.at, name)
+        self.at.items.append(child)
+        self.at = child
+        counts = self.open if tag in BLOCK else child.block.inner
+        counts[tag] = counts.get(tag, 0) + 1
+
+    def leave(self, node: Node) -> None:
+        """Close ``node`` and all that is open in it."""
+        while True:
+            at = self.at
+            counts = self.open if at.tag in BLOCK else at.block.inner
+            counts[at.tag] -= 1
+            self.at = at.up
+            if at is node:
+                return
+
+    def make_room(self, tag: str) -> None:
+        """Close what the opening of a block closes: an open paragraph (with the inline tags in it) and items of its kind."""
+        block = self.at.block
+        if block.tag == "p":
+            self.leave(block)
+        while tag in CLOSES and self.at.near.get(tag) is not None:
+            self.leave(self.at.near[tag])
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the nearest open element of its kind, if there is one; an inline one does not reach out of its block."""
+        if tag in BLOCK:
+            if not self.open.get(tag):
+                return
+        elif not self.at.block.inner.get(tag):
+            return
+        node = self.at
+        while node.tag != tag:
+            node = node.up
+        self.leave(node)
+
+
 def parse(page: str) -> Node:
     """The tree of what is not cut off. Items of a node are its text pieces and child nodes in page order."""
-    root = at = Node("html", None)
-    pos, end = 0, len(page)
-    depth, cut_tag, last_article = 0, "", None
-    while pos < end:
-        m = TAG.search(page, pos)
-        if m is None:
+    tree, tags = Tree(), Tags(page)
+    pos, depth, cut_tag = 0, 0, ""
+    while pos < len(page):
+        found = tags.next(pos)
+        if found is None:
             if not depth:
-                at.items.append(page[pos:])
+                tree.at.items.append(page[pos:])
             break
-        if m.start() > pos and not depth:
-            at.items.append(page[pos : m.start()])
-        pos = m.end()
-        name = m[2]
-        if name is None:
+        start, end, m = found
+        if start > pos and not depth:
+            tree.at.items.append(page[pos:start])
+        pos = end
+        if m is None:
             continue
-        tag, closing = name.lower(), bool(m[1])
+        tag, closing = m[2].lower(), bool(m[1])
         if depth and cut_tag == "p" and tag in BLOCK and (not closing or tag != "p"):
             depth = 0  # a paragraph ends where the next block begins
         if depth:  # inside a part that is cut off: only its own tag counts
@@ -128,28 +219,23 @@ def parse(page: str) -> Node:
                 depth = 0
             continue
         if closing:
-            at = _closed(at, tag)
-            continue
-        if tag in RAW:
+            tree.close(tag)
+        elif tag in RAW:
             pos = _after_raw(page, tag, pos)
+        elif tag in VOID or m[3].endswith("/"):
+            tree.at.items.append("\n" if tag == "hr" else " ")
+        elif tag in ("html", "body"):
             continue
-        if tag in VOID or m[3].endswith("/"):
-            at.items.append("\n" if tag == "hr" else " ")
-            continue
-        if tag in ("html", "body"):
-            continue
-        if boxed(tag, m[3]):
+        elif boxed(tag, m[3]):
             if tag in BLOCK:
-                at = _implied(at, tag)
-                at.items.append(Node("cut", at))
+                tree.make_room(tag)
+                tree.at.items.append(Node("cut", tree.at))
             depth, cut_tag = 1, tag
-            continue
-        if tag in BLOCK:
-            at = _implied(at, tag)
-        child = Node(tag, at, named(tag, m[3]))
-        at.items.append(child)
-        at = child
-    return root
+        else:
+            if tag in BLOCK:
+                tree.make_room(tag)
+            tree.enter(tag, named(tag, m[3]))
+    return tree.root
 
 
 def _after_raw(page: str, tag: str, pos: int) -> int:
@@ -157,32 +243,6 @@ def _after_raw(page: str, tag: str, pos: int) -> int:
     return m.end() if m else len(page)
 
 
-def _implied(at: Node, tag: str) -> Node:
-    """Close what the opening of a block closes: an open paragraph (with the inline tags in it) and items of its kind."""
-    node = at
-    while node.up is not None and node.tag not in BLOCK:
-        node = node.up
-    if node.tag == "p":
-        at = node.up
-    if tag in CLOSES:
-        ends, stops = CLOSES[tag]
-        node = at
-        while node.up is not None and node.tag not in stops:
-            if node.tag in ends:
-                at = node.up
-            node = node.up
-    return at
-
-
-def _closed(at: Node, tag: str) -> Node:
-    node = at
-    while node.up is not None and node.tag != tag:
-        if tag not in BLOCK and node.tag in BLOCK:
-            return at  # an inline end tag does not reach out of its block
-        node = node.up
-    return node.up if node.up is not None else at
-
-
 def _ordered(root: Node) -> list[Node]:
     """Parents before children, without recursion: misnested pages can be thousands of levels deep."""
     order, stack = [], [root]
@@ -211,7 +271,7 @@ def _cut_named(root: Node) -> None:
     whole: dict[Node, Node] = {}  # the nearest box named as a whole around a node, or the root
     direct = {root: False}
     for node in _ordered(root):
-        whole[node] = node if node is root or node.name in CUT_NAMES else whole[node.up]
+        whole[node] = node if node is root or node.name in WHOLE else whole[node.up]
         direct[whole[node]] = direct.get(whole[node], False) or long[node]
     if not direct[root]:  # boxes within each other that hold nearly all: the outer ones are no boxes, up to the first paragraph
         for node in _ordered(root):
@@ -220,7 +280,7 @@ def _cut_named(root: Node) -> None:
                 if direct[node]:
                     break
     for node in _ordered(root):
-        if node.name in CUT_NAMES:
+        if node.name in WHOLE:
             _cut(node)
     free, long = _measured(root)
     sums: dict[str, int] = {}  # unlinked characters by name, a box within a box of its name not counted again
