@@ -8,7 +8,7 @@ buckets of 256 lines, rows or blocks. No rule pairs all blocks of a document wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.anchors import LINES, parse_cells, parse_lines, parse_ref
@@ -72,55 +72,62 @@ def _exact(blocks: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _direct(blocks: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, target, seq) by exact or child anchor, else by cells, else by lines; no block ranges."""
-    exact = _exact(blocks, targets)
+    """(doc_id, target, seq, exact) by exact or child anchor, else by cells, else by lines; no block ranges."""
+    exact = durable(_exact(blocks, targets))
     rest = targets.join(exact.select(*TARGET).distinct(), TARGET, "left_anti")
     lines = rest.withColumn("s", parse_lines(F.col("target"))).filter("s is not null").select(*TARGET, "s.*")
     spans = blocks.filter(F.col("anchor").rlike(LINES)).withColumn("s", parse_lines(F.col("anchor")))
     spans = spans.filter("s is not null").select("doc_id", "seq", "s.*")
-    found = exact.unionByName(_overlap(spans, lines, ["doc_id", "form"]).select(*TARGET, "seq"))
+    found = _overlap(spans, lines, ["doc_id", "form"]).select(*TARGET, "seq")
     if "sheet" in blocks.columns:
         cells = rest.withColumn("s", parse_cells(F.col("target"))).filter("s is not null").select(*TARGET, "s.*")
         rows = blocks.filter("sheet is not null and r is not null").select(
             "doc_id", "seq", "sheet", F.col("r").cast("long").alias("lo"), F.col("r").cast("long").alias("hi")
         )
         found = found.unionByName(_overlap(rows, cells, ["doc_id", "sheet"]).select(*TARGET, "seq"))
-    return found
+    return exact.withColumn("exact", F.lit(True)).unionByName(found.withColumn("exact", F.lit(False)))
+
+
+def _may_be_range(target: Column) -> Column:
+    return target.contains("-") & parse_cells(target).isNull() & parse_lines(target).isNull()
 
 
 def resolve(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     """Distinct (doc_id, target, seq) for targets (doc_id, target); a null target is the whole document.
 
     Rules are tried in order and the first that applies decides: exact or child anchor, cells of a
-    sheet, lines or rows, then ``a-b`` as everything between the blocks of both ends.
+    sheet, lines or rows, then ``a-b`` as everything between the blocks of both ends. The blocks are read once, cut to
+    the documents that are asked and to what the rules need; targets and all ends they may have are looked up together.
     """
     wanted = durable(targets.select(*TARGET).distinct())
-    whole = wanted.filter("target is null").join(blocks.select("doc_id", "seq"), "doc_id").select(*TARGET, "seq")
-    return whole.unionByName(_named(wanted.filter("target is not null"), blocks))
-
-
-def _named(named: DataFrame, blocks: DataFrame) -> DataFrame:
-    found = _direct(blocks, named)
-    # only what may be a range is looked at again; cells and lines that found nothing stay unresolved
-    may = named.filter(
-        F.col("target").contains("-") & parse_cells(F.col("target")).isNull() & parse_lines(F.col("target")).isNull()
-    )
-    left = may.join(_exact(blocks, may).select(*TARGET).distinct(), TARGET, "left_anti")
-    ranges = durable(
-        left.select(*TARGET, F.substring_index("target", "-", 1).alias("a"), F.regexp_replace("target", r"(?s)^[^-]*-", "").alias("b"))
-    )
-    if ranges.isEmpty():
-        return found
-    ends = ranges.select("doc_id", F.col("a").alias("target")).unionByName(ranges.select("doc_id", F.col("b").alias("target")))
-    # an end that is itself a range takes another round, on fewer and shorter targets each time
-    resolved = _named(durable(ends.distinct()), blocks)
-    at = resolved.groupBy(*TARGET).agg(F.min("seq").alias("f"), F.max("seq").alias("l"))
-    one = at.select("doc_id", F.col("target").alias("a"), F.col("f").alias("f1"), F.col("l").alias("l1"))
-    two = at.select("doc_id", F.col("target").alias("b"), F.col("f").alias("f2"), F.col("l").alias("l2"))
-    spans = ranges.join(one, ["doc_id", "a"]).join(two, ["doc_id", "b"]).select(
-        *TARGET, F.least("f1", "f2").cast("long").alias("lo"), F.greatest("l1", "l2").cast("long").alias("hi")
-    )
-    return found.unionByName(between(blocks, spans).select(*TARGET, "seq"))
+    needed = ["doc_id", "seq", "anchor", *(c for c in ("sheet", "r") if c in blocks.columns)]
+    held = durable(blocks.select(*needed).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))
+    whole = wanted.filter("target is null").join(held.select("doc_id", "seq"), "doc_id").select(*TARGET, "seq")
+    # a target that may be a range has its first part and the rest as ends, and the rest may be a range again
+    words = F.split("target", "-")
+    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array(words[i - 1], F.array_join(F.slice(words, i + 1, F.size(words)), "-"))))
+    asked = F.when(_may_be_range(F.col("target")), F.concat(F.array("target"), ends)).otherwise(F.array("target"))
+    named = durable(wanted.filter("target is not null").select("doc_id", F.explode(asked).alias("target")).distinct())
+    direct = durable(_direct(held, named))
+    found = direct.select(*TARGET, "seq").join(wanted.filter("target is not null"), TARGET, "left_semi")
+    exact = direct.filter("exact").select(*TARGET).distinct()
+    ranges = named.filter(_may_be_range(F.col("target"))).join(exact, TARGET, "left_anti")
+    ranges = durable(ranges.select(*TARGET, F.substring_index("target", "-", 1).alias("a"), F.regexp_replace("target", r"(?s)^[^-]*-", "").alias("b")))
+    rounds = ranges.agg(F.max(F.size(F.split("target", "-")) - 1)).first()[0]
+    if rounds is None:
+        return whole.unionByName(found)
+    placed = direct.groupBy(*TARGET).agg(F.min("seq").cast("long").alias("lo"), F.max("seq").cast("long").alias("hi"))
+    spans = None
+    for k in range(1, rounds + 1):  # the shortest first: a range of k ends has one of k - 1 as its second end
+        some = ranges.filter(F.size(F.split("target", "-")) == k + 1)
+        one = placed.select("doc_id", F.col("target").alias("a"), F.col("lo").alias("f1"), F.col("hi").alias("l1"))
+        two = placed.select("doc_id", F.col("target").alias("b"), F.col("lo").alias("f2"), F.col("hi").alias("l2"))
+        new = some.join(one, ["doc_id", "a"]).join(two, ["doc_id", "b"]).select(*TARGET, F.least("f1", "f2").alias("lo"), F.greatest("l1", "l2").alias("hi"))
+        new = durable(new)
+        spans = new if spans is None else spans.unionByName(new)
+        placed = placed.unionByName(new)
+    asked_spans = spans.join(wanted.filter("target is not null"), TARGET, "left_semi")
+    return whole.unionByName(found).unionByName(between(held, asked_spans).select(*TARGET, "seq"))
 
 
 def between(blocks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -136,20 +143,28 @@ def parsed_refs(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return p.join(find_docs(p.filter("ok"), docs), "doc_key", "left")
 
 
+def place_refs(refs: DataFrame, docs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each distinct ref, parsed, with its doc_id; and (ref, doc_id, seq) of every block it denotes."""
+    p = durable(parsed_refs(refs, docs))
+    known = p.filter("doc_id is not null")
+    at = resolve(known.select(*TARGET), blocks)
+    same = (F.col("x.doc_id") == F.col("p.doc_id")) & F.col("x.target").eqNullSafe(F.col("p.target"))
+    return p, known.alias("p").join(at.alias("x"), same).select("p.ref", "p.doc_id", "x.seq")
+
+
 def resolve_refs(refs: DataFrame, docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(ref, doc_id, seq) of every block each distinct ref denotes."""
-    p = parsed_refs(refs, docs).filter("doc_id is not null")
-    at = resolve(p.select(*TARGET), blocks)
-    same = (F.col("x.doc_id") == F.col("p.doc_id")) & F.col("x.target").eqNullSafe(F.col("p.target"))
-    return p.alias("p").join(at.alias("x"), same).select("p.ref", "p.doc_id", "x.seq")
+    return place_refs(refs, docs, blocks)[1]
 
 
 def unresolved(refs: DataFrame, docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(ref, reason) of refs that are malformed, name no document, or find nothing in it."""
-    p = parsed_refs(refs, docs)
+    return _dead(*place_refs(refs, docs, blocks))
+
+
+def _dead(p: DataFrame, at: DataFrame) -> DataFrame:
     known = p.filter("doc_id is not null and target is not null")
-    at = resolve(known.select(*TARGET), blocks).select(*TARGET).distinct()
-    lost = known.join(at, TARGET, "left_anti").select("ref", F.lit("anchor not found").alias("reason"))
+    lost = known.join(at.select("ref").distinct(), "ref", "left_anti").select("ref", F.lit("anchor not found").alias("reason"))
     bad = p.filter("not ok").select("ref", F.lit("malformed").alias("reason"))
     no_doc = p.filter("ok and doc_id is null").select("ref", F.lit("unknown document").alias("reason"))
     return bad.unionByName(no_doc).unionByName(lost)
@@ -182,8 +197,10 @@ def read_refs(
     asked = refs.select("ref").distinct()
     calc = F.col("ref").rlike(CALC_REF)
     placed = asked.filter(~calc)
-    dead = unresolved(placed, docs, blocks).select("ref", F.concat(F.lit("(unresolved: "), "reason", F.lit(")")).alias("text"), F.lit(False).alias("cut"))
-    out = _read_blocks(placed, docs, blocks, context, max_chars).unionByName(dead.distinct())
+    p, at = place_refs(placed, docs, blocks)
+    at = durable(at)
+    dead = _dead(p, at).select("ref", F.concat(F.lit("(unresolved: "), "reason", F.lit(")")).alias("text"), F.lit(False).alias("cut"))
+    out = _read_blocks(at, blocks, context, max_chars).unionByName(dead.distinct())
     return out.unionByName(_read_results(asked.filter(calc), results, rows, max_chars))
 
 
@@ -201,8 +218,7 @@ def _read_results(asked: DataFrame, results: DataFrame | None, rows: DataFrame |
     return cut.select("ref", F.col("t.text").alias("text"), F.col("t.cut").alias("cut"))
 
 
-def _read_blocks(refs: DataFrame, docs: DataFrame, blocks: DataFrame, context: int, max_chars: int) -> DataFrame:
-    at = resolve_refs(refs, docs, blocks)
+def _read_blocks(at: DataFrame, blocks: DataFrame, context: int, max_chars: int) -> DataFrame:
     spans = at.groupBy("ref", "doc_id").agg(
         (F.min("seq") - context).cast("long").alias("lo"), (F.max("seq") + context).cast("long").alias("hi")
     )
