@@ -38,7 +38,7 @@ SHARD_TOKENS = 4_000_000
 KNOWN_CHUNKS = 400_000  # entries of the newer of two tables a worker keeps
 TOGETHER = 256  # words that the library is given as one text
 MARK = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])(\s|$)"
-PIECE_BYTES = 4_000_000  # of text that are encoded at once
+PIECE_BYTES = 8_000_000  # of text that are encoded at once
 END_ID = 1
 MAGIC = b"WVM1"
 FILE = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("blob", pa.binary())])
