@@ -124,9 +124,8 @@ def near_duplicates(docs: DataFrame, width: int, doc_id: str = "doc_id", text: s
     links = durable(_similar(stars.select(F.col("rep").alias("a"), "n", "b", "m"), sets))
     labels = durable(components(links))
     # 4. what stars leave open: once more with other hubs, then exactly
-    for salt in (1, 2, None):
-        rest = _open_pairs(keys, labels, sets) if salt is None else _other_stars(keys, labels, salt)
-        found = durable(_similar(rest, sets))
+    for rest in (_other_stars, _open_pairs):
+        found = durable(_similar(rest(keys, labels, sets), sets))
         if not found.isEmpty():
             links = links.union(found)
             labels = durable(components(links))
@@ -177,15 +176,20 @@ def _in_mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("key"), "key")
 
 
-def _other_stars(keys: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
-    """In every mixed group, the hub that comes first in an order by chance, and the members of other components than its own.
+def _other_stars(keys: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """In every mixed group, the hubs that come first in two orders by chance, and the members of other components than theirs.
 
-    One order serves all groups, so that the many groups of one family share few hubs.
+    The orders serve all groups, so that the many groups of one family share few hubs; a member of such groups is one row for
+    both its hubs as soon as they have met.
     """
     mixed = durable(_in_mixed(keys, labels))
-    h = F.xxhash64(F.lit(salt), "rep")
-    hubs = mixed.groupBy("key").agg(F.min_by("rep", h).alias("b"), F.min_by("label", h).alias("lb"), F.min_by("n", h).alias("m"))
-    return mixed.join(hubs, "key").filter(F.col("label") != F.col("lb")).select(F.col("rep").alias("a"), "n", "b", "m")
+    order = lambda k: F.xxhash64(F.lit(k), "rep")
+    hubs = mixed.groupBy("key").agg(*(F.min_by(c, order(k)).alias(f"{c}{k}") for k in (1, 2) for c in ("rep", "label", "n")))
+    other = (F.col("label") != F.col("label1")) | (F.col("label") != F.col("label2"))
+    met = mixed.join(hubs, "key").filter(other).drop("key").distinct()
+    both = F.array(*(F.struct(F.col(f"rep{k}").alias("b"), F.col(f"label{k}").alias("lb"), F.col(f"n{k}").alias("m")) for k in (1, 2)))
+    pairs = met.select("rep", "n", "label", F.explode(both).alias("hub")).filter(F.col("label") != F.col("hub.lb"))
+    return pairs.select(F.col("rep").alias("a"), "n", F.col("hub.b").alias("b"), F.col("hub.m").alias("m"))
 
 
 def _open_pairs(keys: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
