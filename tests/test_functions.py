@@ -64,7 +64,7 @@ def test_numbers_match(spark, claim, evidence, expected):
 def test_half_up_equals_decimal(spark):
     values = [(v / 1000 + 0.0005, d) for v in range(0, 3000, 37) for d in (0, 1, 2, 3)]
     df = spark.createDataFrame(values, "x double, d int")
-    for r in df.select("x", "d", N._round_half_up(F.col("x"), F.col("d")).alias("y")).collect():
+    for r in df.select("x", "d", N.round_half_up(F.col("x"), F.col("d")).alias("y")).collect():
         assert r.y == half_up(r.x, r.d)
 
 
