@@ -338,3 +338,28 @@ def number_sources(spark, d):
     _, docs, _, heads, _ = _inputs(spark, d)
     cites = parse_citations(spark, d).filter("ok").select("draft_id", "pos", "ref")
     return R.number_sources(cites, docs, heads)
+
+
+@register(
+    "table_citations",
+    """
+    with p as (select p_partkey // 10 as draft_id, p_partkey as k from part)
+    select draft_id, (case when draft_id % 3 < 2 then count(*) else 0 end)::bigint as n, (case when draft_id % 3 < 2 then count_if(k % 4 <> 0) else 0 end)::bigint as n_ok,
+      (case when draft_id % 3 = 2 then count(*) else 0 end)::bigint as n_uncited
+    from p group by draft_id
+    """,
+)
+def table_citations(spark, d):
+    """Drafts whose figures stand in a table that is cited in the caption above it, in its header, or nowhere; every fourth price is wrong."""
+    cc = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    draft = F.floor(_k() / 10)
+    price = _price(F.col("p_retailprice") + F.when(_k() % 4 == 0, 50000).otherwise(0))
+    rows = load(spark, d, "part", spread=True).groupBy(draft.alias("draft_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", cc("| ", F.col("p_name"), " | $", price, " |").alias("row")))).alias("rs"))
+    kind, cite = F.col("draft_id") % 3, cc(" [@parts-", _s(F.floor(F.col("draft_id") / 10)), "]")
+    caption = cc("### Prices", F.when(kind == 0, cite).otherwise(""))
+    header = cc("| Part | Price", F.when(kind == 1, cite).otherwise(""), " |\n|---|---|\n")
+    drafts = rows.select("draft_id", cc("# List\n\n", caption, "\n\n", header, F.array_join(F.transform("rs", lambda r: r["row"]), "\n")).alias("text"))
+    result = V.verify(drafts, part_docs(spark, d), part_blocks(spark, d), *brand_results(spark, d))
+    figures = result.figures.groupBy("draft_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
+    bare = result.issues().filter("code = 'uncited-figure'").groupBy("draft_id").agg(F.count("*").alias("n_uncited"))
+    return drafts.select("draft_id").join(figures, "draft_id", "left").join(bare, "draft_id", "left").fillna(0)
