@@ -2,7 +2,7 @@
 
 Queries are rows (search_id, query_no, query); one search may hold several phrasings and many searches
 run in one job. Chunks are rows (chunk_id, doc_id, title, section, text). Token postings are produced by
-a narrow explode and cut down to the query tokens before anything is shuffled. Joins with the query side
+a narrow explode and cut down to the words meant before anything is shuffled. Joins with the query side
 carry no broadcast hint: Spark broadcasts it while it is small and shuffles it otherwise.
 """
 
@@ -28,7 +28,6 @@ STOP_WORDS = (
 ).split()
 WORD = r"(?U)\w[\w'.-]*"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
-UNFOLDED_TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"  # as many matches in the text as tokens when folded
 # --------------------------------------------------------------------------------------------------
 
 
@@ -53,22 +52,23 @@ def parse_queries(queries: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, id: str = "chunk_id") -> DataFrame:
-    """One row per token occurrence: id, n_tokens (of the whole chunk), field, pos, token. No shuffle."""
-    fields = [f for f in FIELD_WEIGHTS if f in chunks.columns]
-    parts = chunks.select(F.col(id).alias("chunk_id"), *[tokens(F.col(f)).alias(f) for f in fields])
-    total = sum((F.size(f) for f in fields), F.lit(0))
-    tagged = F.concat(
-        *[
-            F.transform(F.col(f), _tagged(f))
-            for f in fields
-        ]
-    )
-    rows = parts.select("chunk_id", total.alias("n_tokens"), F.explode(tagged).alias("p"))
-    return rows.select("chunk_id", "n_tokens", "p.field", "p.pos", "p.token")
+    """One row per token occurrence: chunk_id, n_tokens (of the whole chunk), token, field, pos. No shuffle.
+
+    Rows that meet the words of a search in a join never leave the task that made them; sorting the words of a chunk
+    into one row per word first takes more than twice as long.
+    """
+    tagged = F.concat(*[F.transform(tokens(F.col(f)), _tagged(f)) for f in _fields(chunks)])
+    rows = chunks.select(F.col(id).alias("chunk_id"), F.explode(F.array(tagged)).alias("_words"))
+    rows = rows.select("chunk_id", F.size("_words").alias("n_tokens"), F.explode("_words").alias("p"))
+    return rows.select("chunk_id", "n_tokens", "p.token", "p.field", "p.pos")
+
+
+def _fields(chunks: DataFrame) -> list[str]:
+    return [f for f in FIELD_WEIGHTS if f in chunks.columns]
 
 
 def _tagged(field: str):
-    return lambda t, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("token"))
+    return lambda t, i: F.struct(t.alias("token"), F.lit(field).alias("field"), i.alias("pos"))
 
 
 def stem_vocab(tokens_df: DataFrame) -> DataFrame:
@@ -82,44 +82,44 @@ def query_tokens(terms: DataFrame) -> DataFrame:
     )
 
 
-def near_occurrences(occurrences: DataFrame, qtokens: DataFrame, stemmed: bool) -> DataFrame:
-    """Occurrences a search may need: of its very tokens or, when stemming, of tokens with the same first letters.
+def corpus_words(chunks: DataFrame, qtokens: DataFrame, stemmed: bool, id: str = "chunk_id") -> DataFrame:
+    """token, n_chunks, n_tokens: words of the corpus a search may mean, and under a NULL token all chunks and their length.
 
-    A word starts with its stem without the stem's last letter: stems of three letters and more share the first two
-    with their words, shorter ones the first. What is left is written once; vocabulary, term rarity and
-    scores all read it from there, so the corpus is not tokenised again for each.
+    One pass gives both. Without stemming these are the very tokens; else those that start like one: a word starts
+    with its stem without the stem's last letter, so stems of three letters and more share the first two letters with
+    their words, shorter ones the first. Each task reduces its rows to words before anything is shuffled.
     """
-    if not stemmed:
-        return durable(occurrences.join(qtokens.select("token").distinct(), "token", "left_semi"))
-    asked = qtokens.select("token").distinct().withColumn("stem", stem(F.col("token")))
-    brief = [r[0] for r in asked.filter(F.length("stem") < 3).select(F.substring("stem", 1, 1)).distinct().collect()]  # single letters
-    start = F.when(F.substring("token", 1, 1).isin(brief), F.substring("token", 1, 1)).otherwise(F.substring("token", 1, 2))
-    starts = asked.select(start.alias("start")).distinct()
-    near = occurrences.withColumn("start", start).join(starts, "start", "left_semi").drop("start")
-    return durable(near.select("token", "chunk_id", "n_tokens", "field", "pos"))
-
-
-def expand_stems(qtokens: DataFrame, near: DataFrame) -> DataFrame:
-    """Replace each query token by every corpus token with the same stem."""
+    parts = chunks.select(F.explode(F.array(F.concat(*[tokens(F.col(f)) for f in _fields(chunks)]))).alias("_words"))
+    whole_chunk = F.array(F.lit(None).cast("string"))
+    rows = parts.select(F.size("_words").alias("n"), F.explode(F.concat(whole_chunk, "_words")).alias("token"))
+    asked = qtokens.select("token").distinct()
+    start = F.col("token")
+    if stemmed:
+        asked = asked.withColumn("stem", stem(F.col("token")))
+        brief = asked.filter(F.length("stem") < 3).agg(F.collect_set(F.substring("stem", 1, 1)).alias("letters"))  # single letters
+        letter = F.substring("token", 1, 1)
+        start = F.when(F.array_contains(brief.select("letters").scalar(), letter), letter).otherwise(F.substring("token", 1, 2))
+    whole = chunks.sparkSession.range(1).select(F.lit("").alias("start"))  # stands for the row of all chunks
+    starts = durable(asked.select(start.alias("start")).distinct().unionByName(whole))
+    near = rows.withColumn("start", F.when(F.col("token").isNull(), "").otherwise(start)).join(starts, "start", "left_semi")
+    all_chunks = F.col("token").isNull()
+    return durable(near.groupBy("token").agg(F.count_if(all_chunks).alias("n_chunks"), F.sum(F.when(all_chunks, F.col("n"))).alias("n_tokens")))
+
+
+def expand_stems(qtokens: DataFrame, words: DataFrame) -> DataFrame:
+    """Replace each query token by every corpus word with the same stem; each word is stemmed once."""
     wanted = qtokens.withColumn("stem", stem(F.col("token"))).drop("token")
-    return wanted.join(stem_vocab(near), "stem").drop("stem")
-
-
-def corpus_stats(chunks: DataFrame, id: str = "chunk_id") -> DataFrame:
-    """One row: n_chunks, avg_tokens."""
-    fields = [f for f in FIELD_WEIGHTS if f in chunks.columns]
-    n = sum((F.regexp_count(F.coalesce(f, F.lit("")), F.lit(UNFOLDED_TOKEN)) for f in fields), F.lit(0))
-    return chunks.select(n.alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("avg_tokens"))
+    return wanted.join(stem_vocab(words.filter("token is not null")), "stem").drop("stem")
 
 
-def term_matches(occurrences: DataFrame, qtokens: DataFrame) -> DataFrame:
+def term_matches(posted: DataFrame, qtokens: DataFrame) -> DataFrame:
     """search_id, query_no, term_no, chunk_id, n_terms, n_tokens, tf (weighted by field).
 
     Each occurrence of the j-th token of a term votes for the place the term would start at; a place
     with all votes is an occurrence of the term, so words and phrases are one aggregation.
     """
-    hits = occurrences.join(qtokens, "token")
     key = ["search_id", "query_no", "term_no", "n_terms", "chunk_id", "n_tokens"]
+    hits = posted.join(qtokens, "token")
     at = hits.groupBy(*key, "field", (F.col("pos") - F.col("j")).alias("start"), "n_tok").agg(F.count("*").alias("votes"))
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in FIELD_WEIGHTS.items()])
     return at.filter("votes = n_tok").groupBy(*key).agg(F.sum(weight).alias("tf"))
@@ -128,12 +128,14 @@ def term_matches(occurrences: DataFrame, qtokens: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, stemmed: bool = True, id: str = "chunk_id") -> DataFrame:
     """search_id, query_no, chunk_id, score, n_hit, n_terms: every chunk with at least one term.
 
-    Term rarity counts all chunks, whatever is filtered afterwards.
+    Term rarity counts all chunks, whatever is filtered afterwards. The corpus is read twice: for the words it has
+    near those asked for, a small table, and for the places of exactly the words meant.
     """
     qtokens = query_tokens(parse_queries(queries))
-    near = near_occurrences(postings(chunks, id), qtokens, stemmed)
-    matches = durable(term_matches(near, expand_stems(qtokens, near) if stemmed else qtokens))
-    stats = corpus_stats(chunks, id)
+    words = corpus_words(chunks, qtokens, stemmed, id)
+    meant = durable(expand_stems(qtokens, words) if stemmed else qtokens)
+    matches = durable(term_matches(postings(chunks, id), meant))
+    stats = words.filter("token is null").select("n_chunks", (F.col("n_tokens") / F.col("n_chunks")).alias("avg_tokens"))
     term = ["search_id", "query_no", "term_no"]
     df = matches.groupBy(*term).agg(F.count("*").alias("df"))
     n = stats.select("n_chunks").scalar()
@@ -142,7 +144,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, stemmed: bool = True, id: str =
     length = 1 - B + B * F.col("n_tokens") / stats.select("avg_tokens").scalar()
     score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
     return matches.join(df, term).groupBy("search_id", "query_no", "n_terms", "chunk_id").agg(
-        F.sum(score).alias("score"), F.count("*").alias("n_hit")
+        F.round(F.sum(score), 9).alias("score"), F.count("*").alias("n_hit")  # equal sums tie, whatever their order
     )
 
 
@@ -162,7 +164,7 @@ def passes(scored: DataFrame, pool: int) -> DataFrame:
 def rrf(ranked: DataFrame, by: list[str], label: str, k: int = RRF_K) -> DataFrame:
     """Fuse rankings: sum of 1 / (k + rank) per item; ``matched`` lists the labels that found it, in order."""
     return ranked.groupBy(*by).agg(
-        F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.array_sort(F.collect_set(label)).alias("matched")
+        F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.array_sort(F.collect_set(label)).alias("matched")
     )
 
 

@@ -31,14 +31,22 @@ _TERMS = [
     (3, 1, 0, 3, 0, "version", 2), (3, 1, 0, 3, 1, "3", 2), (3, 1, 1, 3, 0, "que", 1), (3, 1, 2, 3, 0, "der", 1),
 ]
 TOK = "regexp_extract_all(lower(strip_accents({0})), '[\\p{{L}}\\p{{N}}]+')"
-BM25_SQL = f"""
-  docs as (select doc_id, split_part(text, chr(10), 1) as title, source as section, text from documents),
+DOCS_SQL = "docs as (select doc_id, source as owner, split_part(text, chr(10), 1) as title, source as section, text from documents)"
+
+
+def bm25_sql(docs: str, families: dict[str, list[str]] | None = None) -> str:
+    """CTEs of a search over ``docs`` (doc_id, owner, title, section, text); ``families`` lists further words of a token."""
+    words = [(t, w) for t in sorted({x[5] for x in _TERMS}) for w in [t, *(families or {}).get(t, [])]]
+    return f"""
+  {docs},
   arr as (select doc_id, {TOK.format('title')} as a, {TOK.format('section')} as b, {TOK.format('text')} as c from docs),
   len as (select doc_id, len(a) + len(b) + len(c) as n from arr),
   tok as (select doc_id, 'title' as field, 2.0 as w, unnest(a) as token, generate_subscripts(a, 1) as pos from arr
     union all select doc_id, 'section', 3.0, unnest(b), generate_subscripts(b, 1) from arr
     union all select doc_id, 'text', 1.0, unnest(c), generate_subscripts(c, 1) from arr),
-  q(search_id, query_no, term_no, n_terms, j, token, n_tok) as (values {', '.join(map(str, _TERMS))}),
+  asked(search_id, query_no, term_no, n_terms, j, word, n_tok) as (values {', '.join(map(str, _TERMS))}),
+  fam(word, token) as (values {', '.join(map(str, words))}),
+  q as (select * from asked join fam using (word)),
   places as (select search_id, query_no, term_no, n_terms, doc_id, field, w, pos - j as at_pos from tok join q using (token)
     group by all having count(*) = max(n_tok)),
   tf as (select search_id, query_no, term_no, n_terms, doc_id, sum(w) as tf from places group by all),
@@ -54,13 +62,39 @@ BM25_SQL = f"""
       where n_terms >= 2 and n_hit = n_terms),
   fused as (select search_id, doc_id, sum(1 / (60.0 + rank)) as score, string_agg(distinct query_no::varchar, ',' order by query_no::varchar)
     as matched from ranked where rank <= 32 group by all),
-  owned as (select f.*, source from fused f join documents using (doc_id)),
-  damped as (select *, score / (1 + 0.35 * (row_number() over (partition by search_id, source order by round(score, 12) desc, doc_id) - 1)) as damped
+  owned as (select f.*, owner from fused f join docs using (doc_id)),
+  damped as (select *, score / (1 + 0.35 * (row_number() over (partition by search_id, owner order by round(score, 12) desc, doc_id) - 1)) as damped
     from owned),
   placed as (select *, row_number() over (partition by search_id order by round(damped, 12) desc, round(score, 12) desc, doc_id) as place from damped)
 """
 
 
+BM25_SQL = bm25_sql(DOCS_SQL)
+
+# words of the given tables' language with the stem of a word asked for
+FAMILIES = {
+    "license": "licenses licensed licensing licenser licensers licensable".split(),
+    "version": "versions versioned versioning versional".split(),
+    "token": "tokens tokenize tokenized tokenizer tokenizes tokenizing tokenization".split(),
+    "public": "publication publications publicity publically".split(),
+    "key": "keys keyed keying".split(),
+    "mit": "mits mitted mitting".split(),
+    "que": ["ques"],
+    "der": ["ders"],
+    "apache": ["apaches"],
+}
+LINE_CHUNKS_SQL = f"""
+  line as (select doc_id, seq, ln, text, length(text) as n, row_number() over (partition by doc_id order by ln) as i from {LINES_SQL}),
+  packed(doc_id, i, ln, n, text, start, size) as (
+    select doc_id, i, ln, n, text, i, n + 1 from line where i = 1
+    union all select l.doc_id, l.i, l.ln, l.n, l.text, case when p.size + l.n > 1800 then l.i else p.start end,
+      case when p.size + l.n > 1800 then 0 else p.size end + l.n + 1 from packed p join line l on l.doc_id = p.doc_id and l.i = p.i + 1),
+  piece as (select doc_id, min(ln) as lo, max(ln) as hi, string_agg(text, chr(10) order by i) as text from packed group by doc_id, start),
+  docs as (select d.doc_id || '#L' || lo || case when hi > lo then '-L' || hi else '' end as doc_id, source as owner,
+    split_part(d.text, chr(10), 1) as title, source as section, piece.text from piece join documents d using (doc_id))
+"""
+
+
 def searches(spark):
     return spark.createDataFrame(SEARCHES, SEARCH_SCHEMA)
 
@@ -154,7 +188,7 @@ def rrf_fusion(spark, d):
     return fused.select("search_id", F.col("chunk_id").alias("doc_id"), F.round("score", 9).alias("score"), F.array_join("matched", ",").alias("matched"))
 
 
-@register("diversify", f"with {BM25_SQL} select search_id, place::int as place, doc_id, source, round(score, 9) as score from placed where place <= 8")
+@register("diversify", f"with {BM25_SQL} select search_id, place::int as place, doc_id, owner as source, round(score, 9) as score from placed where place <= 8")
 def diversify(spark, d):
     owner = document_chunks(spark, d).select("chunk_id", F.col("doc_id").alias("source"))
     hits = _fused(spark, d).withColumn("score", F.round("score", 12)).join(owner, "chunk_id")
@@ -162,7 +196,14 @@ def diversify(spark, d):
     return best.select("search_id", "place", F.col("chunk_id").alias("doc_id"), "source", F.round("score", 9).alias("score"))
 
 
-@register("search_documents")
+@register(
+    "search_documents",
+    f"""
+    with recursive {bm25_sql(LINE_CHUNKS_SQL.strip(), FAMILIES)}
+    select search_id, place::int as place, doc_id as chunk_id, owner as doc_id, round(score * 1000, 2) as score,
+      'q00000' || replace(matched, ',', ',q00000') as matched from placed where place <= 8
+    """,
+)
 def search_documents(spark, d):
     """Flagship: lines as blocks, blocks packed into chunks, stemmed ranking, fusion and diversification by source."""
     docs = load(spark, d, "documents").withColumn("title", F.substring_index("text", "\n", 1))
@@ -263,6 +304,27 @@ def vector_topk(spark, d):
     return near.select("vec_id", F.round("sim", 5).alias("sim"))
 
 
+@register(
+    "vector_search",
+    """
+    with q as (select s.vec_id as search_id, e.embedding::double[] as v from embeddings s join embeddings e on e.vec_id between s.vec_id and s.vec_id + 1
+      where s.vec_id < 20),
+    n as (select vec_id, embedding::double[] as v from embeddings join documents on doc_id = vec_id where source not in ('src1', 'src2')),
+    m as (select search_id, vec_id, max(list_cosine_similarity(q.v, n.v)) as sim from q, n group by all),
+    r as (select *, row_number() over (partition by search_id order by round(sim, 9) desc, vec_id) as rank from m)
+    select search_id, rank::int as rank, vec_id, round(sim, 5) as sim from r where rank <= 10
+    """,
+)
+def vector_search(spark, d):
+    """Twenty searches of two phrasings each in one job, among the documents of all but two sources."""
+    e = load(spark, d, "embeddings")
+    both = F.explode(F.array(F.col("vec_id"), F.col("vec_id") - 1))
+    asked = e.filter("vec_id <= 20").select(both.alias("search_id"), "embedding").filter("search_id between 0 and 19")
+    allowed = load(spark, d, "documents").filter("source not in ('src1', 'src2')").select(F.col("doc_id").alias("vec_id"))
+    near = V.nearest_each(e.join(allowed, "vec_id", "left_semi"), asked, 10)
+    return near.select("search_id", "rank", "vec_id", F.round("sim", 5).alias("sim"))
+
+
 @register(
     "l2_normalize",
     "select vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::double))) / sqrt(list_sum(list_transform(embedding, "

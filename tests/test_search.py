@@ -1,10 +1,13 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from attestra.functions.stem import porter
 from attestra.operators import search as S
 from attestra.operators import vectors as V
+from attestra.plans.search_queries import FAMILIES
 from tests import spec
 
 CHUNKS = [
@@ -106,3 +109,35 @@ def test_nearest(spark):
 
     want = sorted(rows, key=lambda r: (-round(max(cos(r[1], q) for q in qs), 12), r[0]))[:10]
     assert [r.vec_id for r in V.nearest(df, qs, 10).collect()] == [w[0] for w in want]
+
+
+@pytest.mark.parametrize("name", ["long", "string"])
+def test_nearest_of_many_searches(spark, monkeypatch, name):
+    """Blocks of searches, ties, phrasings, missing and foreign vectors, ids of text: as by a plain loop."""
+    rng = random.Random(5)
+    given = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(300)]
+    held = [(str(i) if name == "string" else i, v) for i, v in given]
+    odd = [(held[0][0], None), (held[0][0], [1.0])]
+    df = spark.createDataFrame(held + odd, f"vec_id {name}, embedding array<float>").repartition(5)
+    asked = [(s, [rng.uniform(-1, 1) for _ in range(4)]) for s in range(7) for _ in range(1 + s % 2)]
+    qs = spark.createDataFrame(asked + [(3, None), (9, None)], "search_id int, embedding array<double>")
+    monkeypatch.setattr(V, "QUERY_VALUES", 12)
+
+    def cos(a, b):
+        n = max(math.hypot(*a), V.EPS) * max(math.hypot(*b), V.EPS)
+        return sum(x * y for x, y in zip(a, b)) / n
+
+    want = set()
+    for s in {s for s, _ in asked}:
+        sims = [(-round(max(cos(q, v) for t, q in asked if t == s), 9) + 0.0, i) for i, v in held]
+        want |= {(s, r + 1, i) for r, (_, i) in enumerate(sorted(sims)[:6])}
+    got = V.nearest_each(df, qs, 6).collect()
+    assert {(r.search_id, r["rank"], r.vec_id) for r in got} == want and len(got) == len(want)
+    assert V.nearest_each(df, qs.filter("search_id = 9"), 6).count() == 0
+    assert V.nearest_each(df.limit(0), qs, 6).count() == 0
+
+
+def test_word_families_of_the_check():
+    """The words listed for the SQL of the flagship have the stem of the word they are listed under."""
+    for word, family in FAMILIES.items():
+        assert {porter(w) for w in family} == {porter(word)}
