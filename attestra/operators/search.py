@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.stem import stem
 from attestra.functions.text import collapse, fold, glob_to_regex, lead_text
+from attestra.operators.vectors import nearest_each
 from attestra.scale import pinned
 from attestra.session import durable
 
@@ -278,6 +279,43 @@ def search(
     )
 
 
-def with_lead(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with the opening of their chunk, for those no query word points into."""
-    return hits.join(chunks.select("chunk_id", lead_text(F.col("text")).alias("lead")), "chunk_id")
+def search_results(
+    chunks: DataFrame,
+    blocks: DataFrame,
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = 8,
+    types: list[str] | None = None,
+    path_glob: str | None = None,
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
+) -> DataFrame:
+    """What a reader gets of ``search``: search_id, place, chunk_id, ref, path, doc_type, title, section, first_seq, last_seq, snippet, best, score, matched.
+
+    ``chunks`` also need anchor, first_seq, last_seq; ``docs`` doc_id, path, doc_type; ``vectors`` (chunk_id, embedding) and
+    ``query_vectors`` (search_id, embedding) add a ranking by meaning under "~semantic". The snippet marks the words of the
+    searched stems; a hit that no word found shows its opening. ``best`` lists the anchors inside the chunk that answer the
+    search. Everything after the ranking works on k chunks a search.
+    """
+    allowed = filter_docs(docs, types, path_glob) if types or path_glob else None
+    semantic = None
+    if vectors is not None and query_vectors is not None:
+        if allowed is not None:
+            owner = chunks.select("chunk_id", "doc_id").join(allowed.select("doc_id"), "doc_id", "left_semi")
+            vectors = vectors.join(owner, "chunk_id", "left_semi")
+        semantic = nearest_each(vectors, query_vectors, max(4 * k, 20), "chunk_id").select("search_id", "chunk_id", "rank")
+    hits = durable(search(chunks, queries, k, allowed, semantic))
+    about = chunks.select("chunk_id", "anchor", "title", "section", "first_seq", "last_seq", "text")
+    seen = durable(hits.join(about, "chunk_id"))
+    asked = query_tokens(parse_queries(queries))
+    shown = seen.select(F.explode(tokens(F.col("text"))).alias("token"))
+    words = expand_stems(asked, shown).groupBy("search_id").agg(F.collect_set("token").alias("_words"))
+    told = snippets(seen.join(words, "search_id", "left"), "text", F.coalesce("_words", F.array().cast("array<string>")))
+    by_meaning = F.col("matched") == F.array(F.lit("~semantic"))
+    told = told.withColumn("snippet", F.when(by_meaning, lead_text(F.col("text"))).otherwise(F.col("snippet")))
+    pins = pin_blocks(seen, blocks, queries).groupBy("search_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("seq", "anchor"))).alias("_pins"))
+    told = told.join(pins, ["search_id", "chunk_id"], "left").join(docs.select("doc_id", "path", "doc_type"), "doc_id", "left")
+    return told.select(
+        "search_id", "place", "chunk_id", F.concat("doc_id", F.lit("#"), "anchor").alias("ref"), "path", "doc_type", "title", "section",
+        "first_seq", "last_seq", "snippet", F.coalesce(F.col("_pins.anchor"), F.array().cast("array<string>")).alias("best"), "score", "matched",
+    )

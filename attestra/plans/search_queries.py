@@ -34,8 +34,11 @@ TOK = "regexp_extract_all(lower(strip_accents({0})), '[\\p{{L}}\\p{{N}}]+')"
 DOCS_SQL = "docs as (select doc_id, source as owner, split_part(text, chr(10), 1) as title, source as section, text from documents)"
 
 
-def bm25_sql(docs: str, families: dict[str, list[str]] | None = None) -> str:
-    """CTEs of a search over ``docs`` (doc_id, owner, title, section, text); ``families`` lists further words of a token."""
+def bm25_sql(docs: str, families: dict[str, list[str]] | None = None, only: str = "true", semantic: str = "") -> str:
+    """CTEs of a search over ``docs`` (doc_id, owner, title, section, text); ``families`` lists further words of a token.
+
+    ``only`` is a condition on the documents that are ranked, ``semantic`` selects (search_id, label, doc_id, rank) of a ranking by meaning.
+    """
     words = [(t, w) for t in sorted({x[5] for x in _TERMS}) for w in [t, *(families or {}).get(t, [])]]
     return f"""
   {docs},
@@ -57,11 +60,12 @@ def bm25_sql(docs: str, families: dict[str, list[str]] | None = None) -> str:
       * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.n / st.av))) as score
     from tf join df using (search_id, query_no, term_no) join len using (doc_id), st group by all),
   ranked as (
-    select *, 'any' as pass, row_number() over (partition by search_id, query_no order by round(score, 9) desc, doc_id) as rank from scored
+    select *, 'any' as pass, row_number() over (partition by search_id, query_no order by round(score, 9) desc, doc_id) as rank from scored where {only}
     union all select *, 'all', row_number() over (partition by search_id, query_no order by round(score, 9) desc, doc_id) from scored
-      where n_terms >= 2 and n_hit = n_terms),
-  fused as (select search_id, doc_id, sum(1 / (60.0 + rank)) as score, string_agg(distinct query_no::varchar, ',' order by query_no::varchar)
-    as matched from ranked where rank <= 32 group by all),
+      where n_terms >= 2 and n_hit = n_terms and {only}),
+  labelled as (select search_id, query_no::varchar as label, doc_id, rank from ranked where rank <= 32 {semantic}),
+  fused as (select search_id, doc_id, sum(1 / (60.0 + rank)) as score, string_agg(distinct label, ',' order by label)
+    as matched from labelled group by all),
   owned as (select f.*, owner from fused f join docs using (doc_id)),
   damped as (select *, score / (1 + 0.35 * (row_number() over (partition by search_id, owner order by round(score, 12) desc, doc_id) - 1)) as damped
     from owned),
@@ -216,6 +220,69 @@ def search_documents(spark, d):
     return hits.select("search_id", "place", "chunk_id", "doc_id", "score", F.array_join("matched", ",").alias("matched"))
 
 
+NAMED_DOCS_SQL = DOCS_SQL.replace("source as owner", "'doc-' || doc_id as owner")
+SEMANTIC_SQL = """
+    union all select search_id, '~semantic', vec_id, rank from (
+      select search_id, vec_id, row_number() over (partition by search_id order by round(sim, 9) desc, vec_id) as rank from (
+        select s.search_id, n.vec_id, max(list_cosine_similarity(e.embedding::double[], n.embedding::double[])) as sim
+        from (select distinct search_id from asked) s join embeddings e on e.vec_id in (s.search_id, s.search_id + 10), embeddings n
+        join documents on doc_id = n.vec_id where source not in ('src1', 'src2') group by all)) where rank <= 32
+"""
+
+
+@register(
+    "search_results",
+    rf"""
+    with {bm25_sql(NAMED_DOCS_SQL, FAMILIES, "doc_id in (select doc_id from documents where source not in ('src1', 'src2'))", SEMANTIC_SQL)},
+    hit as (select * from placed where place <= 8),
+    word as (select search_id, list(distinct token) as words from q group by 1),
+    part as (select h.search_id, h.place, matched, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as p, words
+      from hit h join documents using (doc_id) join word using (search_id)),
+    mark as (select *, list_transform(p, lambda x: case when len(list_intersect({TOK.format('x')}, words)) > 0 then 1 else 0 end) as f from part),
+    win as (select *, list_transform(range(1, greatest(len(p) - 27, 1) + 1), lambda s: list_sum(f[s : s + 27])) as n from mark),
+    best as (select *, list_position(n, list_max(n)) as b, array_to_string(p, ' ') as flat from win),
+    snip as (select search_id, place, case when matched = '~semantic' then substr(flat, 1, 220) || case when length(flat) > 220 then ' …' else '' end
+      else case when b > 1 then '… ' else '' end || array_to_string(list_transform(range(b, least(b + 28, len(p) + 1)),
+        lambda i: case when f[i] = 1 then '«' || p[i] || '»' else p[i] end), ' ') || case when b + 27 < len(p) then ' …' else '' end end as snippet from best),
+    line as (select doc_id, ln, lower(text) as t from {LINES_SQL}),
+    stem(search_id, stems) as (values (1, ['licen', 'versi', 'apach']), (2, ['mit', 'licen', 'token', 'publi', 'key']), (3, ['versi', 'que', 'der'])),
+    cnt as (select search_id, place, ln, len(list_filter(stems, lambda s: contains(t, s))) as n, count(*) over w as m,
+      max(len(list_filter(stems, lambda s: contains(t, s)))) over w as most from hit join line using (doc_id) join stem using (search_id)
+      window w as (partition by search_id, place)),
+    pin as (select *, row_number() over (partition by search_id, place order by ln) as rn from cnt where n = most and n > 0 and m > 1),
+    pins as (select search_id, place, string_agg('L' || ln, ',' order by ln) as best from pin where rn <= 3 group by all),
+    span as (select doc_id, min(seq)::bigint as first_seq, max(seq)::bigint as last_seq from {LINES_SQL} group by 1)
+    select search_id, place::int as place, 'doc-' || doc_id || '#L' || first_seq + 1 || '-L' || last_seq + 1 as ref, source || '/doc-' || doc_id || '.txt' as path,
+      split_part(text, chr(10), 1) as title, first_seq, last_seq, snippet, coalesce(best, '') as best, round(score * 1000, 2) as score,
+      case when matched[1] = '~' then matched else 'q00000' || replace(replace(matched, ',', ',q00000'), 'q00000~', '~') end as matched
+    from hit join documents using (doc_id) join span using (doc_id) join snip using (search_id, place) left join pins using (search_id, place)
+    """,
+)
+def search_results(spark, d):
+    """Documents of all but two sources as a reader gets them: by words and by meaning, with snippets and the lines that answer."""
+    source = load(spark, d, "documents")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    docs = source.select(name.alias("doc_id"), F.concat("source", F.lit("/"), name, F.lit(".txt")).alias("path"),
+                         F.when(F.col("source").isin("src1", "src2"), "csv").otherwise("txt").alias("doc_type"))
+    blocks = durable(B.line_blocks(source))
+    span = blocks.groupBy("doc_id").agg(F.min("seq").cast("long").alias("first_seq"), F.max("seq").cast("long").alias("last_seq"))
+    at = F.concat(F.lit("L"), F.col("first_seq") + 1, F.lit("-L"), F.col("last_seq") + 1)
+    title = F.split("text", "\n", 2)[0]
+    chunks = source.join(span, "doc_id").select(
+        F.col("doc_id").alias("chunk_id"), name.alias("doc_id"), at.alias("anchor"), title.alias("title"),
+        F.col("source").alias("section"), "first_seq", "last_seq", "text",
+    )
+    e = load(spark, d, "embeddings")
+    asked = e.filter("vec_id in (1, 2, 3, 11, 12, 13)").select((F.col("vec_id") % 10).cast("int").alias("search_id"), "embedding")
+    found = S.search_results(
+        durable(chunks), blocks.withColumn("doc_id", name), docs, searches(spark), 8, ["txt"], "*", e.withColumnRenamed("vec_id", "chunk_id"), asked
+    )
+    return found.select(
+        "search_id", "place", "ref", "path", "title", "first_seq", "last_seq", "snippet", F.array_join("best", ",").alias("best"), "score",
+        F.array_join("matched", ",").alias("matched"),
+    )
+
+
 @register(
     "pin_blocks",
     f"""

@@ -141,3 +141,25 @@ def test_word_families_of_the_check():
     """The words listed for the SQL of the flagship have the stem of the word they are listed under."""
     for word, family in FAMILIES.items():
         assert {porter(w) for w in family} == {porter(word)}
+
+
+def test_search_results_as_read(spark):
+    """Word hits have marked snippets and the anchors that answer; a hit by meaning alone its opening; filters hold for both."""
+    texts = {1: "Frames\nThe frame cracked twice", 2: "Market\nSeats grow", 3: "Notes\n" + "wood " * 80, 4: "Frame\nhidden"}
+    chunks = spark.createDataFrame(
+        [(i, f"d{i}", "L1-L2", t.split("\n")[0], "", 0, 1, t) for i, t in texts.items()],
+        "chunk_id long, doc_id string, anchor string, title string, section string, first_seq long, last_seq long, text string",
+    )
+    blocks = spark.createDataFrame(
+        [(f"d{i}", n, f"L{n + 1}", line) for i, t in texts.items() for n, line in enumerate(t.split("\n"))], "doc_id string, seq long, anchor string, text string"
+    )
+    docs = spark.createDataFrame([(f"d{i}", f"in/d{i}.md", "csv" if i == 4 else "md") for i in texts], "doc_id string, path string, doc_type string")
+    vectors = spark.createDataFrame([(3, [1.0, 0.0]), (4, [1.0, 0.1])], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "search_id int, embedding array<double>")
+    found = S.search_results(chunks, blocks, docs, queries(spark, "frames cracking"), 4, ["md"], "in/*", vectors, asked)
+    got = {r.chunk_id: r for r in found.collect()}
+    assert set(got) == {1, 3}
+    assert got[1].ref == "d1#L1-L2" and got[1].snippet == "«Frames» The «frame» «cracked» twice" and got[1].best == ["L2"]
+    assert got[3].matched == ["~semantic"] and got[3].snippet.startswith("Notes wood") and got[3].snippet.endswith(" …") and got[3].best == []
+    assert S.search_results(chunks.limit(0), blocks, docs, queries(spark, "frames")).count() == 0
+    assert {r.chunk_id for r in S.search_results(chunks, blocks, docs, queries(spark, "frames")).collect()} == {1, 4}
