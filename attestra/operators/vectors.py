@@ -133,8 +133,14 @@ def _scorer(block: dict, k: int, id: str, key: pa.DataType):
     return score
 
 
-def embedding_backlog(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
-    """(chunk_id, input) of chunks without a vector of the model: title, section and text, cut for the model."""
+def embedding_backlog(chunks: DataFrame, vectors: DataFrame, model: str, max_chars: int = MAX_EMBED_CHARS) -> DataFrame:
+    """(chunk_id, input, left_out) of chunks without a vector of the model: title, section and text.
+
+    The input is cut to the ``max_chars`` the model takes; ``left_out`` counts the characters beyond, so that nothing is
+    left out unseen.
+    """
     done = vectors.filter(F.col("model") == model).select("chunk_id")
-    head = F.concat(F.coalesce("title", F.lit("")), F.lit(" | "), F.coalesce("section", F.lit("")), F.lit("\n"), "text")
-    return chunks.join(done, "chunk_id", "left_anti").select("chunk_id", F.substring(head, 1, MAX_EMBED_CHARS).alias("input"))
+    whole = F.concat(F.coalesce("title", F.lit("")), F.lit(" | "), F.coalesce("section", F.lit("")), F.lit("\n"), "text")
+    rows = chunks.join(done, "chunk_id", "left_anti").select("chunk_id", whole.alias("whole"))
+    left_out = F.greatest(F.length("whole") - max_chars, F.lit(0)).cast("long")
+    return rows.select("chunk_id", F.substring("whole", 1, max_chars).alias("input"), left_out.alias("left_out"))

@@ -426,11 +426,11 @@ def hybrid_rrf(spark, d):
 
 @register(
     "embedding_backlog",
-    "select doc_id, md5(substr(split_part(text, chr(10), 1) || ' | ' || source || chr(10) || text, 1, 2000)) as input from documents "
-    "where doc_id not in (select vec_id from embeddings)",
+    "select doc_id, md5(substr(whole, 1, 2000)) as input, greatest(length(whole) - 2000, 0)::bigint as left_out from (select doc_id, "
+    "split_part(text, chr(10), 1) || ' | ' || source || chr(10) || text as whole from documents) where doc_id not in (select vec_id from embeddings)",
 )
 def embedding_backlog(spark, d):
     chunks = document_chunks(spark, d)
     done = load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("m").alias("model"))
     todo = V.embedding_backlog(chunks, done, "m")
-    return todo.select(F.col("chunk_id").alias("doc_id"), F.md5("input").alias("input"))
+    return todo.select(F.col("chunk_id").alias("doc_id"), F.md5("input").alias("input"), "left_out")

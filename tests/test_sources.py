@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from attestra.operators import typed as T
@@ -157,3 +159,19 @@ def test_reading_order_and_wrapping(spark):
     got = {r.slide: r for r in B.reading_order(df).collect()}
     assert got[1].text == "Title\n- left\n  - right" and got[2].text == "(slide 2 has no text)" and got[2].section == "Slide 2"
     assert docs(spark, "Statu\ns of\nit Targe\nt").select(B.rejoin_wrapped(F.col("text"))).first()[0] == "Status of it Target"
+
+
+def test_unique_names_of_wide_and_of_clashing_tables(spark):
+    """16,384 equal names in one table; names that look like given ones, against trying every number in turn."""
+    wide = spark.range(16384).select(F.lit(0).alias("t"), F.col("id").alias("pos"), F.lit("a").alias("ident"))
+    top = T.unique_names(wide, ["t"], "pos").agg(F.countDistinct("unique_name").alias("n"), F.max_by("unique_name", "pos").alias("last")).first()
+    assert tuple(top) == (16384, "a_16384")
+    rng = random.Random(3)
+    rows = [(t, i, rng.choice(["a", "a_2", "a_3", "a_2_2", "b"])) for t in range(20) for i in range(rng.randint(1, 12))]
+    got = {(r.t, r.pos): r.unique_name for r in T.unique_names(spark.createDataFrame(rows, "t int, pos int, ident string"), ["t"], "pos").collect()}
+    for t in range(20):
+        held = []
+        for _, i, n in (r for r in rows if r[0] == t):
+            held.append(n if n not in held else next(f"{n}_{k}" for k in range(2, 99) if f"{n}_{k}" not in held))
+            assert got[t, i] == held[-1]
+    assert len(got) == len(rows)
