@@ -8,8 +8,9 @@ from attestra.operators import typed as T
 from attestra.plans.derived import SECTIONED_SQL, PART_CELLS_SQL, part_cells, sectioned
 from attestra.plans.registry import register
 from attestra.plans.text_functions import ident_sql
-from attestra.session import load
+from attestra.session import durable, load
 from attestra.sources import blocks as B
+from attestra.sources import grid
 
 
 @register(
@@ -48,7 +49,7 @@ TYPES_SQL = f"""
 
 @register("infer_types", TYPES_SQL)
 def infer_types(spark, d):
-    body = part_cells(spark, d).filter("r between 5 and 404 and c <= 7")
+    body = grid.table_body(part_cells(spark, d))
     return T.infer_types(body)
 
 
@@ -75,7 +76,7 @@ def null_tokens(spark, d):
     """,
 )
 def typed_pivot(spark, d):
-    body = part_cells(spark, d).filter("r between 5 and 404 and c <= 7")
+    body = grid.table_body(part_cells(spark, d))
     columns = [
         (2, "part_key", "BIGINT"), (3, "name", "VARCHAR"), (4, "brand", "VARCHAR"), (5, "size", "BIGINT"),
         (6, "retail_price", "DOUBLE"), (7, "note", "VARCHAR"),
@@ -129,9 +130,11 @@ def table_names(spark, d):
 def catalog(spark, d):
     """The workbooks of parts as a table catalog, searched by name."""
     cells = part_cells(spark, d)
-    body = cells.filter("r between 5 and 404 and c <= 7")
+    headers = durable(grid.detect_header(cells))
+    body = grid.table_body(cells, headers)
+    names = cells.join(headers, ["doc_id", "sheet"]).filter("r = header_row")
     types = T.infer_types(body).join(
-        cells.filter("r = 4").select("doc_id", "sheet", "c", F.col("v").alias("orig")), ["doc_id", "sheet", "c"]
+        names.select("doc_id", "sheet", "c", F.col("v").alias("orig")), ["doc_id", "sheet", "c"]
     )
     column = F.struct("c", sql_ident(F.col("orig")).alias("name"), "orig", "type")
     meta = types.groupBy("doc_id", "sheet").agg(

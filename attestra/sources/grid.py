@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.anchors import col_letter, sheet_ref
 from attestra.functions.text import strip
+from attestra.session import durable
 
 # fixed values: how far down a header is looked for
 HEADER_SCAN_ROWS = 25
@@ -64,6 +65,17 @@ def detect_header(cells: DataFrame, overrides: DataFrame | None = None) -> DataF
     )
 
 
+def table_body(cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Cells of each sheet's table: below its header row (``detect_header`` unless given) and inside its extent.
+
+    Sheets without a header have no table. What decides is a row per sheet, so cells are not shuffled to be cut.
+    """
+    found = (detect_header(cells) if headers is None else headers).filter("header_row is not null")
+    size = durable(sheet_extent(cells).join(found.select(*SHEET, "header_row"), SHEET))
+    inside = (F.col("r") > F.col("header_row")) & (F.col("r") <= F.col("n_rows")) & (F.col("c") <= F.col("n_cols"))
+    return cells.join(size, SHEET).filter(inside).drop("header_row", "n_rows", "n_cols")
+
+
 def header_names(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """One row per sheet: first data column, column count and the map column number to name."""
     extent = sheet_extent(cells).join(headers, SHEET)

@@ -175,3 +175,16 @@ def test_unique_names_of_wide_and_of_clashing_tables(spark):
             held.append(n if n not in held else next(f"{n}_{k}" for k in range(2, 99) if f"{n}_{k}" not in held))
             assert got[t, i] == held[-1]
     assert len(got) == len(rows)
+
+
+def test_table_body_lies_below_the_header(spark):
+    """Titles, the header and blank margins are no part of a table; a sheet without a header, or of blanks, has none."""
+    rows = [
+        ("a", 1, 1, "Title", "s"), ("a", 3, 1, "k", "s"), ("a", 3, 2, "v", "s"), ("a", 4, 1, "1", "i"), ("a", 4, 2, "2", "i"), ("a", 9, 9, " ", "s"),
+        ("b", 1, 1, "1", "i"), ("b", 2, 1, "2", "i"), ("c", 1, 1, " ", "s"),
+    ]
+    cells = spark.createDataFrame([("d", *r) for r in rows], "doc_id string, sheet string, r int, c int, v string, kind string")
+    assert sorted((x.sheet, x.r, x.c) for x in grid.table_body(cells).collect()) == [("a", 4, 1), ("a", 4, 2)]
+    assert grid.table_body(cells.limit(0)).count() == 0
+    given = spark.createDataFrame([("d", "b", 1)], "doc_id string, sheet string, header_row long")
+    assert [(x.sheet, x.r) for x in grid.table_body(cells, given).collect()] == [("b", 2)]
