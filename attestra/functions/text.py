@@ -56,14 +56,18 @@ def _fold_table() -> tuple[str, str]:
 
 
 def to_ascii(c: Column) -> Column:
-    """Compatibility-decompose and keep ASCII: accents go, ligatures open, other scripts are dropped."""
+    """Compatibility-decompose and keep ASCII: accents go, ligatures open, other scripts are dropped.
+
+    Text that is ASCII already is left as it is. Characters that open to several letters are looked for by ``translate``, a
+    lookup per character; a class of hundreds of characters in a pattern would be tried one by one.
+    """
     src, dst, longer = _ascii_table()
-    opened = c
-    multi = "[" + "".join(sorted(longer)) + "]"
     expand = F.create_map(*[F.lit(x) for kv in longer.items() for x in kv])
-    letters = F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(expand, ch), ch))
-    opened = F.when(c.rlike(multi), F.array_join(letters, "")).otherwise(c)
-    return F.regexp_replace(F.translate(opened, src, dst), r"[^\x00-\x7F]", "")
+    letters = F.transform(F.split(c, ""), lambda ch: F.coalesce(F.when(ch > "\x7f", F.try_element_at(expand, ch)), ch))
+    opens = F.translate(c, "".join(longer), "") != c
+    opened = F.when(opens, F.array_join(letters, "")).otherwise(c)
+    plain = F.regexp_replace(F.translate(opened, src, dst), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
 
 def fold(c: Column) -> Column:
@@ -77,13 +81,12 @@ def slugify(c: Column, sep: str = "-", max_len: int = 48) -> Column:
     words = F.regexp_replace(F.lower(to_ascii(c)), "[^a-z0-9]+", sep)
     cut = F.substring(F.btrim(words, F.lit(sep)), 1, max_len)
     cut = F.rtrim(cut, F.lit(sep))
-    return F.when(cut == "", "x").otherwise(cut)
+    return F.regexp_replace(cut, "^$", "x")  # the words are read once; with ``when`` they would be read for each use
 
 
 def sql_ident(c: Column) -> Column:
     """Snake-case identifier that never starts with a digit."""
-    ident = slugify(c, "_", 60)
-    return F.when(ident.rlike("^[0-9]"), F.concat(F.lit("c_"), ident)).otherwise(ident)
+    return F.regexp_replace(slugify(c, "_", 60), "^(?=[0-9])", "c_")
 
 
 def decode_text(c: Column) -> Column:

@@ -134,3 +134,11 @@ def test_anchors(spark):
 )
 def test_porter_published_pairs(word, stem):
     assert porter(word) == stem
+
+
+def test_a_slug_reads_its_words_once(spark):
+    df = spark.createDataFrame([("7 ﬁne Straße",), ("plain",), ("…",), ("",), (None,)], "t string")
+    named = df.select(X.sql_ident(F.col("t")).alias("i"), X.slugify(F.col("t"), "-", 5).alias("s"))
+    assert [tuple(r) for r in named.collect()] == [("c_7_fine_strae", "7-fin"), ("plain", "plain"), ("x", "x"), ("x", "x"), (None, None)]
+    plan = df.select(X.sql_ident(F.col("t")).alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]+") == 1
