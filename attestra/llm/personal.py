@@ -2,9 +2,10 @@
 
 The base finds addresses, IP numbers, cards and phone numbers by fixed patterns and checks. Wider generators propose
 overlapping spans with high recall (numbers in groups, addresses written out); gradient-boosted trees score a proposal
-by its format (digits, groups, separators, checks) and its context (words and letters around it). They are trained on a
-sample of at most ``SAMPLE`` labelled proposals, drawn by hash from the whole corpus, and the examples of ``_examples``;
-half of both sets the threshold at which ``PRECISION`` of what is selected was right. Selected proposals that touch no
+by its format (digits, groups, separators, checks) and its context (words and letters around it). They are trained on all
+labelled proposals of the corpus and the examples of ``_examples``, by hash one half of both; the other half sets the
+threshold at which ``PRECISION`` of what is selected was right. Proposals that look the same to the trees are one row with a
+weight, so that the rows of a fit grow with the formats of a corpus, not with its size. Selected proposals that touch no
 base span are added. Base spans always stay.
 
 A proposal is labelled right where a base span confirms it or words before it name its kind and its format fits, and
@@ -23,6 +24,8 @@ without proposals beyond the base gets base spans alone; columns besides the nam
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -32,10 +35,11 @@ from pyspark.sql import functions as F
 from attestra.session import durable
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
 PRECISION = 0.99
 BUCKETS = 20
 TREES, DEPTH = 10, 3
+BINS, BINNED = 32, 10_000  # places where a feature may be cut, and the rows up to which Spark takes them from all rows with so many
+FIT_ROWS = 50_000  # rows of a fit in one task
 
 # Fixed patterns of the base, written possessively: they match what the plain ones match.
 BASE = (
@@ -164,7 +168,7 @@ def labelled(wide: DataFrame) -> DataFrame:
     return wide.withColumn("label", F.when(pro, 1.0).when(con, 0.0))
 
 
-def _views(sample: DataFrame) -> DataFrame:
+def _views(known: DataFrame) -> DataFrame:
     """One row per way in which the trees see a labelled proposal: ``shown`` and ``before``."""
     cut = F.regexp_replace("match", r"^\+[0-9]{1,3}[\x20.-]*(?=[\x20.(-])[\x20.-]*", "")
     whole = F.struct(_shown().alias("shown"), F.col("before").alias("before"))
@@ -175,7 +179,7 @@ def _views(sample: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<shown:string,before:string>>")
     right = F.col("label") == 1
     ways = F.concat(F.array(whole), F.when(right & grouped, also).otherwise(none), F.when(right & short, local).otherwise(none))
-    return sample.withColumn("shown", _shown()).withColumn("_w", F.explode(ways)).withColumns({"shown": F.col("_w.shown"), "before": F.col("_w.before")}).drop("_w")
+    return known.withColumn("shown", _shown()).withColumn("_w", F.explode(ways)).withColumns({"shown": F.col("_w.shown"), "before": F.col("_w.before")}).drop("_w")
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -204,23 +208,31 @@ def marked(found: DataFrame) -> DataFrame:
     return found.withColumn("touches", F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("stop"), F.lit(False)))
 
 
+def counted(known: DataFrame) -> DataFrame:
+    """(half, the features, label, weight) of labelled proposals with ``_h``: every way in which the trees see one, and how often."""
+    return features(_views(known)).groupBy(F.pmod(F.col("_h"), F.lit(2)).alias("half"), *FEATURES, "label").agg(F.count("*").cast("double").alias("weight"))
+
+
 def selector(wide: DataFrame):
-    """A function that keeps the proposals to add, trained on a bounded sample of the labelled rows of ``wide``; None where there is nothing to judge."""
+    """A function that keeps the proposals to add, trained on all labelled rows of ``wide``; None where there is nothing to judge."""
     if wide.filter(~F.col("touches")).isEmpty():
         return None
     columns = ["gen", "match", "before", "after", "label", "_h"]
-    sample = labelled(wide).filter(F.col("label").isNotNull()).withColumn("_h", F.xxhash64("doc_id", "start", "match")).orderBy("_h", "_row", "start").limit(SAMPLE).select(columns)
-    sample = durable(_views(sample.unionByName(_examples(wide.sparkSession).withColumn("_h", F.xxhash64("before", "match")).select(columns))))
+    known = labelled(wide).filter(F.col("label").isNotNull()).withColumn("_h", F.xxhash64("doc_id", "start", "match")).select(columns)
+    seen = durable(counted(known.unionByName(_examples(wide.sparkSession).withColumn("_h", F.xxhash64("before", "match")).select(columns))))
+    learnt = seen.filter("half = 0")
+    n = learnt.count()
     together = VectorAssembler(inputCols=FEATURES, outputCol="_v")
-    half = F.pmod(F.col("_h"), F.lit(2))
-    trees = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7)
+    # beyond ``BINNED`` rows Spark draws as many as the square of the bins to place them; with a bin per root it draws all
+    trees = GBTClassifier(featuresCol="_v", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=BINS if n <= BINNED else math.isqrt(n) + 1)
     trees = trees.setPredictionCol("_y").setRawPredictionCol("_r").setProbabilityCol("_p")
-    model = trees.fit(together.transform(features(sample.filter(half == 0))).coalesce(1))
+    model = trees.fit(together.transform(learnt.repartition(n // FIT_ROWS + 1, *FEATURES).sortWithinPartitions(*FEATURES, "label")))
 
     def scored(df: DataFrame) -> DataFrame:
-        return model.transform(together.transform(features(df))).withColumn("score", vector_to_array("_p")[1])
+        return model.transform(together.transform(df)).withColumn("score", vector_to_array("_p")[1])
 
-    held = scored(sample.filter(half == 1)).groupBy(F.least(F.floor(F.col("score") * BUCKETS), F.lit(BUCKETS - 1)).alias("b")).agg(F.sum("label").alias("right"), F.count("*").alias("n"))
+    bucket = F.least(F.floor(F.col("score") * BUCKETS), F.lit(BUCKETS - 1))
+    held = scored(seen.filter("half = 1")).groupBy(bucket.alias("b")).agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("n"))
     right = n = 0.0
     threshold = 2.0
     for row in sorted(held.collect(), key=lambda r: -r["b"]):  # at most BUCKETS rows
@@ -228,7 +240,7 @@ def selector(wide: DataFrame):
         if right / n < PRECISION:
             break
         threshold = row["b"] / BUCKETS
-    return lambda df: scored(labelled(df).filter(~F.col("label").eqNullSafe(0.0)).withColumn("shown", _shown())).filter(F.col("score") >= threshold)
+    return lambda df: scored(features(labelled(df).filter(~F.col("label").eqNullSafe(0.0)).withColumn("shown", _shown()))).filter(F.col("score") >= threshold)
 
 
 def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

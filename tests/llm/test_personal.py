@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from attestra.llm import personal
 from tests.llm import plain
 
@@ -56,3 +58,12 @@ def test_frequent_kinds_that_the_base_misses_are_added(spark):
 def test_kinds_that_the_base_misses_need_no_confirmed_span(spark):
     rows = personal.report(_docs(spark, [f"Reach us: (212) 555-01{i:02}" for i in range(40)] + ["joe [at] example.org"])).collect()
     assert all(r["spans"] == ("email:0:20" if r["doc_id"] == 40 else "phone:10:24") and r["n_phone"] == 0 for r in rows)
+
+
+def test_every_labelled_proposal_is_counted(spark):
+    """More labelled proposals than any sample held: all of them have a weight in the rows that the trees are fitted to."""
+    docs = spark.range(45_000).select(F.col("id").alias("doc_id"), F.format_string("on 2024-0%d-1%d", F.col("id") % 9 + 1, F.col("id") % 7).alias("text"))
+    wide = personal.marked(personal.proposals(docs)).filter("gen = 'wide_number'")
+    known = personal.labelled(wide).filter("label is not null").withColumn("_h", F.xxhash64("doc_id", "start", "match"))
+    seen = personal.counted(known).agg(F.sum("weight"), F.count("*")).first()
+    assert seen[0] == 45_000 and seen[1] < 100
