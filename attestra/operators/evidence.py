@@ -183,6 +183,7 @@ def figures_found(claims: DataFrame, values: DataFrame) -> DataFrame:
 # --- quotes -----------------------------------------------------------------------------------------------
 
 GRAM = 3  # characters of a key for parts without a whole word inside
+FEW = 10_000  # keys of a reference that are sent to its pieces; more are met by a join
 
 
 def quotes_found(quoted: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -230,6 +231,22 @@ def _grams(c: Column, size: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
+def _keyed_pieces(held: DataFrame, wanted: DataFrame, sizes: DataFrame, keys: Column, kept: list[str]) -> DataFrame:
+    """``kept`` and ``key``: pieces with each of their keys that is wanted of their reference (ref, key).
+
+    The wanted keys of a reference go to its pieces, and only those found leave them: a piece has a key for every character.
+    Where a reference is asked for more than ``FEW``, the keys of its pieces meet them by a join.
+    """
+    each = durable(wanted.select("ref", "key").distinct())
+    n = durable(each.groupBy("ref").agg(F.count("*").alias("n")).join(sizes, "ref"))
+    few = each.join(n.filter(F.col("n") <= FEW).select("ref"), "ref", "left_semi").groupBy("ref").agg(F.collect_list("key").alias("_wanted")).join(n, "ref")
+    out = held.join(few, "ref").select(*kept, F.explode(F.array_intersect(keys, F.col("_wanted"))).alias("key"))
+    more = n.filter(F.col("n") > FEW)
+    if more.isEmpty():
+        return out
+    return out.unionByName(held.join(more, "ref").select(*kept, F.explode(F.array_distinct(keys)).alias("key")).join(each, ["ref", "key"], "left_semi"))
+
+
 def _inside(asked: DataFrame, held: DataFrame) -> DataFrame:
     """(ref, part, pos, t): pieces that hold the whole part."""
     n = F.size("words")
@@ -241,8 +258,7 @@ def _inside(asked: DataFrame, held: DataFrame) -> DataFrame:
     sizes = wanted.groupBy("ref").agg(F.collect_set(F.when(F.substring("key", 1, 1) == "g", F.length("key") - 1)).alias("sizes"))
     own = F.transform(F.split("t", " "), lambda w: F.concat(F.lit("w"), w))
     some = lambda k: F.when(F.array_contains("sizes", k), F.transform(_grams(F.col("t"), k), lambda g: F.concat(F.lit("g"), g))).otherwise(F.array().cast("array<string>"))
-    every = held.join(sizes, "ref").select("ref", "pos", F.explode(F.array_distinct(F.concat(own, *(some(k) for k in range(1, GRAM + 1))))).alias("key"))
-    postings = durable(every.join(wanted.select("ref", "key").distinct(), ["ref", "key"], "left_semi"))
+    postings = durable(_keyed_pieces(held, wanted, sizes, F.concat(own, *(some(k) for k in range(1, GRAM + 1))), ["ref", "pos"]))
     often = postings.groupBy("ref", "key").agg(F.count("*").alias("often"))
     rarest = wanted.join(often, ["ref", "key"], "left").groupBy("ref", "part").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key")).alias("r"))
     rarest = rarest.filter("r.often > 0").select("ref", "part", F.col("r.key").alias("key"))
@@ -264,7 +280,8 @@ def _across(asked: DataFrame, held: DataFrame) -> DataFrame:
     splits = splits.select("ref", "part", key.alias("key"), F.array_join(F.slice("words", F.lit(1), F.col("i")), " ").alias("start"))
     last = F.substring_index("t", " ", -1)
     ends = F.transform(F.filter("sizes", lambda k: k <= F.length(last)), lambda k: F.concat(F.lit("e"), F.right(last, k)))
-    tails = held.join(sizes, "ref").select("ref", "pos", "t", F.explode(F.concat(ends, F.array(F.concat(F.lit("w"), last)))).alias("key"))
+    splits = durable(splits)
+    tails = _keyed_pieces(held, splits, sizes, F.concat(ends, F.array(F.concat(F.lit("w"), last))), ["ref", "pos", "t"])
     met = tails.join(splits, ["ref", "key"]).filter(F.col("t").endswith(F.col("start")))
     begin = F.struct("pos", (F.length("t") - F.length("start") + 1).alias("at"))
     open_ = met.select("ref", "part", begin.alias("begin"), (F.col("pos") + 1).alias("pos"), F.expr("substring(part, length(start) + 2)").alias("rest"))

@@ -125,3 +125,21 @@ def test_a_result_of_more_than_a_million_rows(spark):
     assert sorted((r.draft_id, r.code) for r in checked.issues().collect()) == [(2, "figure-mismatch"), (4, "bad-quote")]
     plan = checked.evidence.values._jdf.queryExecution().toString() + E.figures_found(checked.stated.select(F.lit("calc:1").alias("ref"), F.explode("figures").alias("f")).select("ref", "f.*"), checked.evidence.values)._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+@pytest.mark.parametrize("few", [10_000, 3, 0])
+def test_quotes_are_found_by_few_and_by_many_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(E, "FEW", few)
+    pieces = spark.createDataFrame([("r", 0, "the old mill"), ("r", 1, "stands by a river"), ("s", 0, "nothing here")], "ref string, pos long, text string")
+    told = {"mill stands by": True, "old mi … by a riv": True, "river … mill": False, "ds b": True, "zz": False, "the old mill stands by a river": True}
+    quoted = spark.createDataFrame([("r", q) for q in told] + [("s", "thing")], "ref string, quote string")
+    got = {(r.ref, r.quote): r.found for r in E.quotes_found(quoted, pieces).collect()}
+    assert got == {**{("r", q): f for q, f in told.items()}, ("s", "thing"): True}
+
+
+def test_only_wanted_keys_leave_a_piece(spark):
+    held = spark.createDataFrame([("r", i, "a b c d e f") for i in range(50)] + [("r", 50, "x y z")], "ref string, pos long, t string")
+    wanted = spark.createDataFrame([("r", "y"), ("r", "q")], "ref string, key string")
+    sizes = spark.createDataFrame([("r", [1])], "ref string, sizes array<int>")
+    out = E._keyed_pieces(held, wanted, sizes, F.split("t", " "), ["ref", "pos"])
+    assert [tuple(r) for r in out.collect()] == [("r", 50, "y")]
