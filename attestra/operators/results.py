@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType, NumericType, TimestampNTZType, TimestampType
 
 from attestra.functions.anchors import human_location, parse_ref
-from attestra.scale import rank_within
+from attestra.scale import numbered
 
 # fixed values
 MAX_SAVED_ROWS = 1000
@@ -168,9 +168,8 @@ def result_rows(df: DataFrame, order: list, max_rows: int | None = None) -> Data
     """
     safe_names = df.columns
     kept = df if max_rows is None else row_cap(df, order, max_rows).drop("more")
-    numbered = rank_within(kept.withColumn("_all", F.lit(1)), ["_all"], order, "_no").drop("_all")
-    safe = json_safe(numbered)
-    return safe.select(F.col("_no").alias("row_no"), F.to_json(F.struct(*safe_names), {"ignoreNullFields": "false"}).alias("row_json"))
+    safe = json_safe(numbered(kept, order, "_no"))
+    return safe.select((F.col("_no") + 1).alias("row_no"), F.to_json(F.struct(*safe_names), {"ignoreNullFields": "false"}).alias("row_json"))
 
 
 def save_result(spark: SparkSession, df: DataFrame, order: list, sql: str, tables: dict[str, str], folder: str, max_rows: int | None = None) -> int:

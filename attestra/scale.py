@@ -14,7 +14,7 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with every row's place (from 0) in the order, without one task ever holding all rows.
 
     The rows are range-sorted and numbered by their place within their task; there is one count per task of
-    the sort, a number the session fixes. The sorted rows are written once, so that places cannot move
+    the sort, a number the session fixes, and these few go to all tasks. The sorted rows are written once, so that places cannot move
     between the passes.
     """
     placed = durable(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
@@ -23,7 +23,7 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     local = F.col("_at").bitwiseAND((1 << SHIFT) - 1)
-    return placed.join(starts, "_task").withColumn(name, F.col("_start") + local).drop("_at", "_task", "_start")
+    return placed.join(F.broadcast(starts), "_task").withColumn(name, F.col("_start") + local).drop("_at", "_task", "_start")
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:

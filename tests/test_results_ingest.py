@@ -102,3 +102,10 @@ def test_stream_takes_in_new_files_once(spark, tmp_path):
     stream_ingest(spark, src, table, ckpt, "*.md").awaitTermination(60)
     assert sorted(r.text for r in current_docs(spark, table).collect()) == ["café", "é one"]
     assert spark.read.parquet(table).count() == 2
+
+
+def test_rows_of_a_result_are_numbered_without_a_join_on_one_key(spark):
+    df = spark.range(100).select((99 - F.col("id")).alias("k"))
+    rows = R.result_rows(df, ["k"])
+    assert [(r.row_no, r.row_json) for r in rows.orderBy("row_no").limit(2).collect()] == [(1, '{"k":0}'), (2, '{"k":1}')]
+    assert str(rows._jdf.queryExecution().optimizedPlan().toString()).count("Join ") == 1  # with the starts of the tasks
