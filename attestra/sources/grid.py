@@ -19,6 +19,7 @@ HEADER_SCAN_ROWS = 25
 WIDTH_SCAN_ROWS = 50
 ROWS_BELOW = 3
 SHEET = ["doc_id", "sheet"]
+SENT_SHEETS = 200_000  # extents of at most so many sheets are sent to every task; more are joined by shuffling
 ROW_SPACE = 1 << 21  # more rows than a sheet can have; spaces the block numbers of consecutive sheets
 
 
@@ -35,7 +36,9 @@ def sheet_extent(cells: DataFrame) -> DataFrame:
 
 def trim_grid(cells: DataFrame) -> DataFrame:
     """Cells inside the extent of their sheet: trailing blank rows and columns and empty sheets are gone."""
-    inside = cells.join(sheet_extent(cells), SHEET)
+    size = durable(sheet_extent(cells))
+    # a row per sheet: up to so many go to every task, and no task sorts cells
+    inside = cells.join(F.broadcast(size) if size.count() <= SENT_SHEETS else size, SHEET)
     return inside.filter((F.col("r") <= F.col("n_rows")) & (F.col("c") <= F.col("n_cols")))
 
 

@@ -1,8 +1,11 @@
 """What is worked out once is not worked out again: plans and counts of the steps that round 3 found slow."""
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from attestra.operators import refs as R
+from attestra.sources import grid
 
 
 def plan_of(df) -> str:
@@ -15,3 +18,22 @@ def test_outline_reads_its_blocks_once(spark):
     items = R.outline(blocks.withColumn("text", F.upper("text")), "html")
     assert "upper(" not in plan_of(items).lower()
     assert sorted(map(tuple, items.collect())) == [("d", 0, "[p1] TOP  (1 blocks)"), ("e", 0, "[p1] " + "Y" * 90)]
+
+
+@contextlib.contextmanager
+def setting(spark, name, value):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_cells_are_not_sorted_to_be_trimmed(spark):
+    rows = [("b", "s", 1, 1, "x"), ("b", "s", 2, 1, " "), ("b", "s", 1, 3, None), ("b", "t", 1, 1, ""), (None, "s", 1, 1, "n")]
+    cells = spark.createDataFrame(rows, "doc_id string, sheet string, r int, c int, v string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        inside = grid.trim_grid(cells)
+        assert "SortMergeJoin" not in plan_of(inside)
+        assert [(r.doc_id, r.sheet, r.r, r.c, r.v) for r in inside.collect()] == [("b", "s", 1, 1, "x")]
