@@ -88,10 +88,13 @@ class Corpus:
         """
         old, number = self.read("docs"), self.version() + 1
         old = durable(old)
-        listed = files.select("path", F.col("size").cast("long").alias("size"), F.col("mtime").cast("double").alias("mtime"), "sha256")
+        # sizes and digests come from the texts: they are worked out once
+        bad = doc_type(F.col("path")).isNull() | F.col("text").isNull()
+        listed = files.select("path", F.col("size").cast("long").alias("size"), F.col("mtime").cast("double").alias("mtime"), "sha256", bad.alias("_bad"))
+        listed = durable(listed)
+        bad, listed = listed.filter("_bad").select("path", "_bad"), listed.drop("_bad")
         before = old.select("path", "size", "mtime", "sha256")
         diff = hash_confirm(snapshot_diff(before, listed), before, listed)
-        bad = files.filter(doc_type(F.col("path")).isNull() | F.col("text").isNull()).select("path", F.lit(True).alias("_bad"))
         status = F.when(F.col("_bad") & F.col("status").isin("new", "modified"), "failed").otherwise(F.col("status"))
         diff = durable(diff.join(bad, "path", "left").select("path", status.alias("status")))
         ids = old.select("path", "doc_id")

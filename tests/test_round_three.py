@@ -5,6 +5,7 @@ import contextlib
 from pyspark.sql import functions as F
 
 from attestra.operators import refs as R
+from attestra.operators.corpus import Corpus
 from attestra.sources import grid
 
 
@@ -37,3 +38,20 @@ def test_cells_are_not_sorted_to_be_trimmed(spark):
         inside = grid.trim_grid(cells)
         assert "SortMergeJoin" not in plan_of(inside)
         assert [(r.doc_id, r.sheet, r.r, r.c, r.v) for r in inside.collect()] == [("b", "s", 1, 1, "x")]
+
+
+def test_texts_are_made_once_for_the_listing_and_once_to_be_read(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(text):
+        seen.add(1)
+        return text
+
+    rows = [(f"a/f{i}.md", f"# Head {i}\n\nbody {i}") for i in range(5)]
+    files = spark.createDataFrame(rows, "path string, t string").select("path", F.udf(made, "string")("t").alias("text"))
+    files = files.select("path", F.length("text").alias("size"), F.lit(1.0).alias("mtime"), F.sha2("text", 256).alias("sha256"), "text")
+    corpus = Corpus(spark, str(tmp_path / "corpus"))
+    report = {r.status: r.n for r in corpus.ingest(files).collect()}
+    assert report == {"new": 5}
+    assert seen.value <= 10
+    assert corpus.read("blocks").count() == 10
