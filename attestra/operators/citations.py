@@ -24,17 +24,18 @@ def parse_citations(c: Column) -> Column:
     items = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(ITEMS), F.lit(0))))
     items = F.filter(F.transform(items, strip), lambda i: i != "")
 
-    def one(i: Column) -> Column:
-        ref = F.regexp_extract(i, ITEM, 1)
-        ok = i.rlike(ITEM) & (~ref.startswith("calc:") | ref.rlike(r"^calc:\d+$"))
+    # two steps, so that the pattern is tried once for each part; an item of the right form has a reference
+    def parts(i: Column) -> Column:
+        return F.struct(i.alias("item"), F.regexp_extract(i, ITEM, 1).alias("ref"), F.regexp_extract(i, ITEM, 2).alias("quote"))
+
+    def one(p: Column) -> Column:
+        ref = p["ref"]
+        ok = (ref != "") & (~ref.startswith("calc:") | ref.rlike(r"^calc:\d+$"))
         return F.struct(
-            F.when(ok, ref).alias("ref"),
-            F.when(ok, F.nullif(F.regexp_extract(i, ITEM, 2), F.lit(""))).alias("quote"),
-            i.alias("item"),
-            ok.alias("ok"),
+            F.when(ok, ref).alias("ref"), F.when(ok, F.nullif(p["quote"], F.lit(""))).alias("quote"), p["item"].alias("item"), ok.alias("ok")
         ).cast(CITATION)
 
-    return F.when(c.contains("[@"), F.transform(items, one)).otherwise(F.array().cast(f"array<{CITATION}>"))
+    return F.when(c.contains("[@"), F.transform(F.transform(items, parts), one)).otherwise(F.array().cast(f"array<{CITATION}>"))
 
 
 def strip_citations(c: Column) -> Column:

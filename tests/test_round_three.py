@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestra.operators import refs as R
 from attestra.operators.corpus import Corpus
+from attestra.operators.verify import split_units
 from attestra.sources import grid
 
 
@@ -55,3 +56,12 @@ def test_texts_are_made_once_for_the_listing_and_once_to_be_read(spark, tmp_path
     assert report == {"new": 5}
     assert seen.value <= 10
     assert corpus.read("blocks").count() == 10
+
+
+def test_units_of_text_and_tables_come_out_of_one_pass(spark):
+    text = "First line\ngoes on.\n- item one\n\n### Prices [@a]\n\n| Part | Price |\n|---|---|\n| x | $1 |\n| y | $2 [@b] |\n\n> quoted"
+    units = split_units(spark.createDataFrame([("d", text)], "draft_id string, text string"))
+    plan = units._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    told = sorted((r.line, r.text, r.table_exempt) for r in units.collect())
+    assert told == [(1, "First line goes on.", False), (3, "- item one", False), (9, "| x | $1 | [@a]", False), (10, "| y | $2 [@b] |", False), (12, "quoted", False)]
