@@ -7,6 +7,8 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +95,30 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+STATIC_LIMIT, MEASURED_LIMIT = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send a side of a join to every task only if its rows, once shuffled, are measured to be under the
+    session's limit.
+
+    Else the size of a file decides, and it says little of the rows: a key that repeats takes two or three bytes in a written
+    table and a hundred or more in the table of a broadcast join, which the driver gathers and builds.
+    """
+    limit, measured = spark.conf.get(STATIC_LIMIT), spark.conf.get(MEASURED_LIMIT, None)
+    spark.conf.set(MEASURED_LIMIT, limit if measured is None else measured)
+    spark.conf.set(STATIC_LIMIT, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATIC_LIMIT, limit)
+        if measured is None:
+            spark.conf.unset(MEASURED_LIMIT)
+        else:
+            spark.conf.set(MEASURED_LIMIT, measured)
+
+
 def ships_with_job(module: str) -> None:
     """Python code of this module travels with the task, so executors need no installed copy of it."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
