@@ -287,7 +287,8 @@ def number_sources(citations: DataFrame, docs: DataFrame, results: DataFrame) ->
 
 def gate(drafts: DataFrame, reports: DataFrame, force: bool = False) -> DataFrame:
     """Drafts that may be published: those whose check did not fail; forced ones carry a stamp."""
-    checked = drafts.join(reports.select("draft_id", "status"), "draft_id", "left")
+    # a report for each draft: neither side is one to be sent to every task
+    checked = drafts.join(reports.select("draft_id", "status").hint("merge"), "draft_id", "left")
     failed = F.coalesce(F.col("status"), F.lit("FAIL")) == "FAIL"
     stamped = checked.withColumn("stamp", F.when(failed, "UNVERIFIED"))
     return stamped if force else stamped.filter(~failed)
