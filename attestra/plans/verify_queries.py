@@ -362,4 +362,4 @@ def table_citations(spark, d):
     result = V.verify(drafts, part_docs(spark, d), part_blocks(spark, d), *brand_results(spark, d))
     figures = result.figures.groupBy("draft_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
     bare = result.issues().filter("code = 'uncited-figure'").groupBy("draft_id").agg(F.count("*").alias("n_uncited"))
-    return drafts.select("draft_id").join(figures, "draft_id", "left").join(bare, "draft_id", "left").fillna(0)
+    return result.drafts.select("draft_id").join(figures.hint("merge"), "draft_id", "left").join(bare.hint("merge"), "draft_id", "left").fillna(0)
