@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from attestra.functions.text import sql_ident, strip
 from attestra.operators.chunks import CHUNK_CHARS, assign_doc_ids, make_chunks
 from attestra.operators.ingest import hash_confirm, ingest_report, snapshot_diff
+from attestra.operators.packing import TILE
 from attestra.operators.typed import TABLE, coerce_cell, convert, infer_types, table_names, unique_names
-from attestra.session import durable
+from attestra.session import durable, passing
 from attestra.sources.blocks import KEPT_META, front_matter, pipe_table_cells, segment_text
 from attestra.sources.delimited import delimited_blocks, read_delimited
 from attestra.sources.html import html_blocks, html_sections, html_table_cells, html_title
@@ -86,6 +87,11 @@ class Corpus:
 
         Files that have no reader or no text are reported as failed; the document they had stays as it was.
         """
+        with passing(self.spark):
+            return ingest_report(self._ingest(files, chunk_chars))
+
+    def _ingest(self, files: DataFrame, chunk_chars: int) -> DataFrame:
+        """What became of every file (path, status). Tables go as soon as nothing reads them any more."""
         old, number = self.read("docs"), self.version() + 1
         old = durable(old)
         # sizes and digests come from the texts: they are worked out once
@@ -96,31 +102,36 @@ class Corpus:
         before = old.select("path", "size", "mtime", "sha256")
         diff = hash_confirm(snapshot_diff(before, listed), before, listed)
         status = F.when(F.col("_bad") & F.col("status").isin("new", "modified"), "failed").otherwise(F.col("status"))
-        diff = durable(diff.join(bad, "path", "left").select("path", status.alias("status")))
-        ids = old.select("path", "doc_id")
-        added = assign_doc_ids(diff.filter("status = 'new'"), ids)
-        fresh = files.join(diff.filter("status in ('new', 'modified')"), "path").join(ids.unionByName(added), "path")
-        fresh = durable(fresh.select("doc_id", "path", doc_type(F.col("path")).alias("doc_type"), "text", F.col("size").cast("long").alias("size"), F.col("mtime").cast("double").alias("mtime"), "sha256"))
-        parts = {kind: fresh.filter(F.col("doc_type") == kind) for (kind,) in fresh.select("doc_type").distinct().collect()}  # the kinds of TYPES
-        # what both blocks and cells are made of is read once
-        read = {kind: durable(READERS[kind](part)) for kind, part in parts.items()}
-        empty = lambda name: self.spark.createDataFrame([], TABLES[name])
-        blocks = durable(reduce(DataFrame.unionByName, [_blocks(kind, df) for kind, df in read.items()], empty("blocks")))
-        none = self.spark.createDataFrame([], f"{CELLS}, kind string")
-        cells = durable(reduce(DataFrame.unionByName, [_cells(kind, df, parts[kind]) for kind, df in read.items() if kind != "txt"], none))
+        diff = durable(diff.join(bad, "path", "left").select("path", status.alias("status")), kept=True)
+        touched = listed.join(diff.filter("status = 'touched'"), "path").join(old.drop("size", "mtime", "sha256"), "path")
+        gone = old.join(diff.filter("status = 'deleted'").select("path"), "path", "left_semi").withColumn("live", F.lit(False))
+        # the texts as they came and as they were read are gone before chunks are made
+        with passing(self.spark):
+            ids = old.select("path", "doc_id")
+            added = assign_doc_ids(diff.filter("status = 'new'"), ids)
+            fresh = files.join(diff.filter("status in ('new', 'modified')"), "path").join(ids.unionByName(added), "path")
+            fresh = durable(fresh.select("doc_id", "path", doc_type(F.col("path")).alias("doc_type"), "text", F.col("size").cast("long").alias("size"), F.col("mtime").cast("double").alias("mtime"), "sha256"))
+            parts = {kind: fresh.filter(F.col("doc_type") == kind) for (kind,) in fresh.select("doc_type").distinct().collect()}  # the kinds of TYPES
+            # what both blocks and cells are made of is read once
+            read = {kind: durable(READERS[kind](part)) if kind in ("md", "csv") else READERS[kind](part) for kind, part in parts.items()}
+            empty = lambda name: self.spark.createDataFrame([], TABLES[name])
+            # blocks stay where they are written: nothing reads a version before it is committed
+            self._write(number, {"blocks": reduce(DataFrame.unionByName, [_blocks(kind, df) for kind, df in read.items()], empty("blocks"))})
+            blocks = self.spark.read.schema(BLOCKS).parquet(self._path("blocks", number))
+            none = self.spark.createDataFrame([], f"{CELLS}, kind string")
+            cells = durable(reduce(DataFrame.unionByName, [_cells(kind, df, parts[kind]) for kind, df in read.items() if kind != "txt"], none), kept=True)
+            docs = _documents(fresh, blocks).withColumns({"live": F.lit(True), "content": F.lit(number).cast("long")})
+            self._write(number, {"docs": docs.unionByName(touched.drop("status")).unionByName(gone)})
+            named = durable(fresh.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), kept=True)
         columns = durable(_columns(cells))
         fit = cells.filter("r > 1").join(columns.select(*TABLE, "c", "type"), [*TABLE, "c"])
         value = F.lit(None).cast("string")
         for kind in KINDS:
             value = F.when(F.col("type") == kind, convert(F.col("v"), F.col("kind"), kind)).otherwise(value)
-        touched = listed.join(diff.filter("status = 'touched'"), "path").join(old.drop("size", "mtime", "sha256"), "path")
-        gone = old.join(diff.filter("status = 'deleted'").select("path"), "path", "left_semi").withColumn("live", F.lit(False))
-        docs = _documents(fresh, blocks).withColumns({"live": F.lit(True), "content": F.lit(number).cast("long")})
-        docs = docs.unionByName(touched.drop("status")).unionByName(gone)
-        typed = blocks.join(fresh.select("doc_id", "doc_type"), "doc_id")
-        self._write(number, {"blocks": blocks, "chunks": make_chunks(typed, chunk_chars), "columns": columns, "cells": fit.select(*TABLE, "r", "c", value.alias("v")), "docs": docs})
+        self._write(number, {"columns": columns, "cells": fit.select(*TABLE, "r", "c", value.alias("v"))})
+        self._write(number, {"chunks": make_chunks(_sized(blocks, named), chunk_chars, "_n")})
         self._commit(number, False)
-        return ingest_report(diff)
+        return diff
 
     def compact(self) -> None:
         """Write the newest version as one that needs none before it."""
@@ -133,12 +144,25 @@ class Corpus:
     def _write(self, number: int, tables: dict[str, DataFrame]) -> None:
         for name, df in tables.items():
             fields = [f.split(" ") for f in TABLES[name].split(", ")]
-            df.select(*(F.col(n).cast(t).alias(n) for n, t in fields)).write.mode("overwrite").parquet(self._path(name, number))
+            out = df.select(*(F.col(n).cast(t).alias(n) for n, t in fields))
+            out.write.mode("overwrite").option("compression", "zstd").parquet(self._path(name, number))
 
     def _commit(self, number: int, base: bool) -> None:
         self.spark.createDataFrame([(number, base)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
 
+def _sized(blocks: DataFrame, twice: DataFrame) -> DataFrame:
+    """Blocks with ``_n``, above every seq of a document that is cut in tiles, 0 for others. Only the list of these documents is joined. A document
+    that came ``n`` times (``twice``) has each block as often."""
+    long = durable(blocks.groupBy("doc_id").agg((F.max("seq") + 1).alias("_n")).filter(F.col("_n") > TILE))
+    if not twice.isEmpty():
+        blocks = blocks.join(twice, "doc_id", "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1))))).drop("n", "_i")
+    sized = blocks.filter("doc_id is not null")
+    if long.isEmpty():
+        return sized.withColumn("_n", F.lit(0))
+    return sized.join(long, "doc_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+
+
 def _documents(fresh: DataFrame, blocks: DataFrame) -> DataFrame:
     """Title: that of the front matter or page, else the first heading, else the name of the file. Of the front matter the
     keys of ``KEPT_META`` are kept."""

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -82,19 +83,46 @@ def _drop(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, kept: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and go on from there.
 
     Used where a job reads one intermediate result several times and each read must see the same rows
     (ranks, tiles, matches): a lost executor never recomputes a different version of it, the work before
-    it is not repeated, and its size is known when the joins after it are planned.
+    it is not repeated, and its size is known when the joins after it are planned. Inside ``passing`` the table goes with
+    that scope, or with the scope around it if it is ``kept``.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    scopes = _PASSING.get()
+    for scope in scopes[: len(scopes) - kept][-1:]:
+        scope.append(path)
+    (df.write.option("compression", "zstd") if scopes else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is written to disk for the work inside goes when it is over: tables of ``durable`` at the end, files of a shuffle
+    with the job that wrote them.
+
+    Of what is read later, nothing may come from inside, unless it is ``kept`` or written elsewhere.
+    """
+    paths: list[str] = []
+    token, cleanup = _PASSING.set((*_PASSING.get(), paths)), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, cleanup)
+        _PASSING.reset(token)
+        for path in paths:
+            _drop(spark, path)
+
+
 STATIC_LIMIT, MEASURED_LIMIT = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 

@@ -1,14 +1,16 @@
 """What round 4 found to grow in the driver or on disk: joins planned by the size of files, tables kept after their use."""
 
 import importlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import results as R
 from attestra.operators import verify as V
+from attestra.operators.corpus import Corpus
 from attestra.plans.verify_queries import table_citations
-from attestra.session import MEASURED_LIMIT, STATIC_LIMIT, measured_joins
+from attestra.session import MEASURED_LIMIT, STATIC_LIMIT, durable, measured_joins, passing, scratch_folder
 
 USERS = [importlib.import_module(f"attestra.{m}") for m in ("operators.verify", "operators.evidence", "operators.refs", "scale")]
 
@@ -89,3 +91,39 @@ def test_limits_come_back_after_an_error(spark):
         assert spark.conf.get(MEASURED_LIMIT) == "1m" and spark.conf.get(STATIC_LIMIT) != "-1"
     finally:
         spark.conf.unset(MEASURED_LIMIT)
+
+
+def test_passing_tables_go_but_for_those_kept(spark):
+    rows = spark.range(3)
+    with passing(spark):
+        outer = durable(rows)
+        with passing(spark):
+            inner, kept = durable(rows), durable(rows, kept=True)
+            assert inner.count() == kept.count() == 3
+        gone = [f for f in inner.inputFiles() if Path(f.removeprefix("file://")).exists()]
+        assert gone == [] and kept.count() == outer.count() == 3
+        last = durable(rows, kept=True)
+    files = outer.inputFiles() + kept.inputFiles()
+    assert [f for f in files if Path(f.removeprefix("file://")).exists()] == [] and last.count() == 3
+
+
+def test_an_ingest_leaves_its_version_and_the_list_for_its_report(spark, tmp_path):
+    rows = [("a/x.md", "# X\n\n| k | v |\n|---|---|\n| a | 1 |\n"), ("a/y.html", "<h1>Y</h1><p>one</p>"), ("a/y.html", "<h1>Y</h1><p>one</p>"), ("a/z.txt", "\n".join("word %d\n" % i for i in range(1500)))]
+    files = spark.createDataFrame(rows, "path string, text string")
+    files = files.select("path", F.length("text").alias("size"), F.lit(1.0).alias("mtime"), F.sha2("text", 256).alias("sha256"), "text")
+    scratch = Path(scratch_folder(spark).removeprefix("file://"))
+    before = set(scratch.iterdir()) if scratch.exists() else set()
+    corpus = Corpus(spark, str(tmp_path / "corpus"))
+    report = corpus.ingest(files)
+    assert len(set(scratch.iterdir()) - before) == 1
+    assert [(r.status, r.n, r.listed) for r in report.collect()] == [("new", 3, "a/x.md, a/y.html, a/z.txt")]
+    assert sorted(p.name for p in (tmp_path / "corpus").iterdir()) == ["blocks", "cells", "chunks", "columns", "docs", "manifest"]
+    n = {r.doc_id: r.n for r in corpus.read("blocks").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert n == {"x": 2, "y": 4, "z": 1500}
+    chunks = {}
+    for r in corpus.read("chunks").orderBy("doc_id", "first_seq").collect():
+        chunks.setdefault(r.doc_id, []).append(r)
+    assert (len(chunks["x"]), sum(len(c.text.split("\n")) for c in chunks["z"])) == (1, 1500)
+    # a file that is listed twice has its blocks twice, each as often as before
+    assert sum(c.text.split("\n").count("one") for c in chunks["y"]) == 4
+    assert [(r.r, r.c, r.v) for r in corpus.read("cells").orderBy("r", "c").collect()] == [(2, 1, "a"), (2, 2, "1")]
