@@ -131,8 +131,8 @@ def measured_joins(spark: SparkSession) -> Iterator[None]:
     """Jobs that run inside send a side of a join to every task only if its rows, once shuffled, are measured to be under the
     session's limit.
 
-    Else the size of a file decides, and it says little of the rows: a key that repeats takes two or three bytes in a written
-    table and a hundred or more in the table of a broadcast join, which the driver gathers and builds.
+    Else the size of a file decides, and it says little of the rows: a key that repeats takes a few bytes in a written
+    table and many times that in the table of a broadcast join, which the driver gathers and builds.
     """
     limit, measured = spark.conf.get(STATIC_LIMIT), spark.conf.get(MEASURED_LIMIT, None)
     spark.conf.set(MEASURED_LIMIT, limit if measured is None else measured)
